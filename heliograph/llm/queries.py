@@ -8,6 +8,7 @@ from importlib import import_module
 #: Query, module, function, and the function that gives its SQL.
 _QUERIES = (
     ("op1_secret_scan", "secret_scan", "op1", "op1_sql"),
+    ("op2_source_mix", "mixing", "op2", None),
     ("op4_minhash_dedup", "minhash_dedup", "op4", "op4_sql"),
 )
 
