@@ -9,6 +9,7 @@ from importlib import import_module
 _QUERIES = (
     ("op1_secret_scan", "secret_scan", "op1", "op1_sql"),
     ("op2_source_mix", "mixing", "op2", None),
+    ("op3_language_id", "language_id", "op3", None),
     ("op4_minhash_dedup", "minhash_dedup", "op4", "op4_sql"),
 )
 
