@@ -160,6 +160,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
     for f, y in pairs:
         u, c = np.unique(f, return_counts=True)
         sparse.append((u, (c / len(f)).astype(np.float32), y))
+    epochs = max(epochs, -(-400 * batch // max(1, len(fit))))  # few texts: 400 steps all the same
     steps, step = max(1, epochs * -(-len(fit) // batch)), 0
     for _ in range(epochs):
         rng.shuffle(fit)

@@ -11,6 +11,7 @@ _QUERIES = (
     ("op2_source_mix", "mixing", "op2", None),
     ("op3_language_id", "language_id", "op3", None),
     ("op4_minhash_dedup", "minhash_dedup", "op4", "op4_sql"),
+    ("op5_toxicity", "toxicity", "op5", None),
 )
 
 

@@ -43,8 +43,9 @@ ASSIGN_WORDS = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][
 
 BASE_RULES = (
     Rule("assign", 1, ASSIGN_WORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", least=6, group=2),
-    Rule("access", 1, "AKIA[A-Z0-9]+", least=20, hint="AKIA"),
-    Rule("hex", 1, "[0-9a-f]+", least=24),
+    # runs that are long enough: the same matches as those of the open runs that aren't dropped as too short
+    Rule("access", 1, "AKIA[A-Z0-9]{16,}", hint="AKIA"),
+    Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 #: What the ledger's rule set adds to the base ones.
 MORE_RULES = (
@@ -61,7 +62,7 @@ def _quick(rule: Rule, text: Column) -> Column:
     """A cheap test that holds wherever the rule has a match that stays."""
     if rule.hint:
         return text.contains(rule.hint)
-    return text.rlike(rule.pattern if rule.least == 1 else "[0-9a-f]{%d}" % rule.least if rule.kind == "hex" else rule.pattern)
+    return text.rlike(rule.pattern)
 
 
 def _matches(rule: Rule, text: Column) -> Column:
@@ -205,9 +206,13 @@ def _sql_spans(kind: str, pattern: str, group: int, least: int) -> str:
 
 def op1_sql() -> str:
     parts, names = [], []
+    # the base rules as they are stated: open runs, of which short ones drop
+    base = {"access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-9a-f]+", 24)}
     for n, r in enumerate(RULES):
-        hint = f"t LIKE '%{r.hint}%'" if r.hint else f"regexp_matches(t, '[0-9a-f]{{{r.least}}}')" if r.kind == "hex" else "regexp_matches(t, '" + r.pattern.replace("'", "''") + "')"
-        parts.append(f"CASE WHEN {hint} THEN {_sql_spans(r.kind, r.pattern, r.group, r.least)} ELSE [] END AS f{n}")
+        pattern, least = base.get(r.kind, (r.pattern, r.least))
+        quoted = pattern.replace("'", "''")
+        hint = f"t LIKE '%{r.hint}%'" if r.hint else f"regexp_matches(t, '[0-9a-f]{{{least}}}')" if r.kind == "hex" else f"regexp_matches(t, '{quoted}')"
+        parts.append(f"CASE WHEN {hint} THEN {_sql_spans(r.kind, pattern, r.group, least)} ELSE [] END AS f{n}")
         names.append(f"list_transform(f{n}, lambda x: {{'s': x.s, 'k': {n}, 'v': '{r.kind}:' || x.s || ':' || (x.s + x.l)}})")
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

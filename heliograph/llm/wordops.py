@@ -13,6 +13,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators of terms: ASCII other than letters and digits.
+ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: An odd base, and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -32,45 +34,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of the words of a stretch of at most CHUNK bytes."""
-    space = np.concatenate([[True], _SPACE[data], [True]])
+    space = np.concatenate([[True], gap[data], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[0::2], edges[1::2]
     sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers[: len(data)])])
     return mix((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def hash_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_bytes(data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of all words of ``data``, however long it is."""
     if len(data) <= CHUNK:
-        return _hashed(data)
+        return _hashed(data, gap)
     parts, at = [], 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
         if end < len(data):
-            gaps = np.flatnonzero(_SPACE[data[at:end]])
+            gaps = np.flatnonzero(gap[data[at:end]])
             if len(gaps) and gaps[-1] > 0:
                 end = at + int(gaps[-1])
             else:  # one word longer than a chunk: its pieces' hashes are folded into one
                 stop = end
-                while stop < len(data) and not _SPACE[data[stop]]:
+                while stop < len(data) and not gap[data[stop]]:
                     stop += 1
                 folded = np.uint64(0)
                 for k in range(at, stop, CHUNK):
-                    h, _, _ = _hashed(data[k : min(stop, k + CHUNK)])
+                    h, _, _ = _hashed(data[k : min(stop, k + CHUNK)], gap)
                     with np.errstate(over="ignore"):
                         folded = np.uint64(folded * np.uint64(_BASE)) + (h[0] if len(h) else np.uint64(0))
-                lead = at + int(_SPACE[data[at]])
+                lead = at + int(gap[data[at]])
                 parts.append((mix(np.array([folded])), np.array([lead]), np.array([stop])))
                 at = stop
                 continue
-        h, s, e = _hashed(data[at:end])
+        h, s, e = _hashed(data[at:end], gap)
         parts.append((h, s + at, e + at))
         at = end
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
 
 
+def prefix_hashes(data: np.ndarray | None, lengths: tuple[int, ...], gap: np.ndarray = _SPACE) -> np.ndarray:
+    """Hashes of the first bytes of each word that is longer than so many, for each of ``lengths``."""
+    out = [np.zeros(0, np.uint64)]
+    if data is not None and len(data):
+        _, starts, ends = hash_bytes(data, gap)
+        low = (_LOWER[data].astype(np.uint64) + np.uint64(1)) if len(data) else np.zeros(0, np.uint64)
+        most = max(lengths)
+        h = np.zeros(len(starts), np.uint64)
+        for n in range(1, most + 1):
+            long_enough = ends - starts >= n
+            starts, ends, h = starts[long_enough], ends[long_enough], h[long_enough]
+            h = h * np.uint64(_BASE) + low[starts + n - 1]
+            if n in lengths:
+                out.append(mix(h[ends - starts > n] + np.uint64(n << 32)))
+    return np.concatenate(out)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array):
     """The bytes of each text, as views of the Arrow buffer; None for nulls."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
@@ -85,8 +104,8 @@ def texts_of(column: pa.ChunkedArray | pa.Array):
             yield body[at[k] : at[k + 1]] if valid[k] else None
 
 
-def words(data: np.ndarray | None) -> np.ndarray:
-    return np.zeros(0, np.uint64) if data is None else hash_bytes(data)[0]
+def words(data: np.ndarray | None, gap: np.ndarray = _SPACE) -> np.ndarray:
+    return np.zeros(0, np.uint64) if data is None else hash_bytes(data, gap)[0]
 
 
 def shingles(w: np.ndarray, n: int) -> np.ndarray:
