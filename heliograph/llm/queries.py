@@ -12,6 +12,8 @@ _QUERIES = (
     ("op3_language_id", "language_id", "op3", None),
     ("op4_minhash_dedup", "minhash_dedup", "op4", "op4_sql"),
     ("op5_toxicity", "toxicity", "op5", None),
+    ("op6_url_filter", "url_filter", "op6", None),
+    ("op7_decontaminate", "decontaminate", "op7", None),
 )
 
 
