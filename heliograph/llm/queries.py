@@ -14,6 +14,8 @@ _QUERIES = (
     ("op5_toxicity", "toxicity", "op5", None),
     ("op6_url_filter", "url_filter", "op6", None),
     ("op7_decontaminate", "decontaminate", "op7", None),
+    ("op9_license_scan", "license_scan", "op9", None),
+    ("op10_token_scan", "token_scan", "op10", None),
 )
 
 
