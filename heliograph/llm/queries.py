@@ -14,6 +14,7 @@ _QUERIES = (
     ("op5_toxicity", "toxicity", "op5", None),
     ("op6_url_filter", "url_filter", "op6", None),
     ("op7_decontaminate", "decontaminate", "op7", None),
+    ("op8_embedding_dedup", "embedding_dedup", "op8", "op8_sql"),
     ("op9_license_scan", "license_scan", "op9", None),
     ("op10_token_scan", "token_scan", "op10", None),
 )
