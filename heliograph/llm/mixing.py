@@ -32,7 +32,7 @@ MAX_SOURCES = 100_000
 #: Words a block at least; it grows so that there are at most MOST_BLOCKS in all.
 BLOCK, MOST_BLOCKS = 256, 200_000_000
 #: Rows of a source aimed at in a bucket.
-BUCKET_ROWS = 2_000
+BUCKET_ROWS = 250
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, limit: float = 2.0) -> list[float]:
