@@ -3,10 +3,11 @@
 Texts with equal shingle sets form a class first, so exact copies cost one row each. Of each class one document's
 minima are kept: 7-row bands (for a similarity of 0.85) give candidate buckets, and the packed low bits of all minima
 give a collision-corrected estimate by bit counts. Buckets of any size are dealt in cells of bounded size that cover
-all their pairs; a cell hands on only a spanning forest of its plausible pairs, and after those links are confirmed on
-the full sets, the plausible pairs that still cross components. So no group is expanded into all its pairs, and no
-link between different texts is lost but by the bands (one in a million at the threshold) or the estimate's margin
-of 3.5 standard deviations.
+all their pairs; a cell hands on only a spanning forest of its plausible pairs, which are confirmed on the full sets.
+Where some fail, the components that they would have joined are dealt in cells again, with the full sets, and each cell
+hands on a forest of the links that it confirms between them. So no group is expanded into all its pairs, and no link
+between different texts is lost but by the bands (one in a million at the threshold) or the estimate's margin of 3.5
+standard deviations.
 
 Rows: a null or wordless text has an empty set and links with nothing; with fewer words than a shingle has, the whole
 sequence is one; a null id links with nothing and is kept; rows that share an id are one document; an empty table gives
@@ -32,6 +33,8 @@ MINIMA, BITS = 256, 2
 _PER_WORD = 64 // BITS
 #: Most documents of a bucket in a side of a cell.
 SIDE = 512
+#: The same where rows carry full sets.
+FULL_SIDE = 256
 #: Ids that may be broadcast: 8 bytes each.
 FEW_IDS = 500_000
 _rng = np.random.default_rng(20240229)
@@ -108,94 +111,35 @@ def _sketch(n: int, rows: int):
     return run
 
 
-def _cells(low_est: float, crossing: bool):
-    """mapInArrow over rows (key, cell, side, id, sig[, comp]) sorted by key and cell -> plausible pairs (a, b).
-
-    Without components, a maximal spanning forest of each cell's pairs with an estimate of at least ``low_est``; with
-    them, all such pairs of different components. In a cell of two sides, pairs of both sides only.
-    """
-
-    def pairs(side: np.ndarray, ids: np.ndarray, sig: np.ndarray, comp: np.ndarray | None, two: bool):
-        n = len(ids)
-        if n == 2:
-            ok = ids[0] != ids[1] and (not two or side[0] != side[1]) and (comp is None or comp[0] != comp[1]) and estimate(sig[0], sig[1]) >= low_est
-            return (ids[:1], ids[1:]) if ok else None
-        if comp is None:  # Prim's walk, from the smallest id; rows of the matrix are made as they are needed
-            order = np.argsort(ids, kind="stable")
-            ids, sig, side = ids[order], sig[order], side[order]
-            best, parent, done = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, bool)
-            out, at = [], 0
-            for _ in range(n):
-                done[at] = True
-                est = estimate(sig[at][None, :], sig)
-                if two:
-                    est = np.where(side == side[at], -1.0, est)
-                better = ~done & (est > best)
-                best[better], parent[better] = est[better], at
-                left = np.where(done, -2.0, best)
-                nxt = int(left.argmax())
-                if left[nxt] <= -2.0:
-                    break
-                if best[nxt] >= low_est:
-                    out.append((parent[nxt], nxt))
-                at = nxt
-            if not out:
-                return None
-            i, j = np.array(out).T
-            return ids[i], ids[j]
-        a, b = [], []
-        if len(np.unique(comp)) < 2:
-            return None
-        for k in range(n - 1):
-            est = estimate(sig[k][None, :], sig[k + 1 :])
-            hit = (est >= low_est) & (comp[k + 1 :] != comp[k])
-            if two:
-                hit &= side[k + 1 :] != side[k]
-            w = np.flatnonzero(hit)
-            a.append(np.full(len(w), ids[k]))
-            b.append(ids[k + 1 :][w])
-        return np.concatenate(a), np.concatenate(b)
+def _by_cell(of_cell, columns: tuple[str, ...]):
+    """mapInArrow over rows sorted by key and cell: ``of_cell(table, two_sides)`` -> pairs (a, b) of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        found_a, found_b, held = [], [], 0
+        rest, found, held = None, [], 0
 
         def flush():
-            nonlocal found_a, found_b, held
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            found_a, found_b, held = [], [], 0
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
-
-        def split(t: pa.Table, last: bool):
-            nonlocal rest
+            nonlocal found, held
+            a, b = (np.concatenate(x) for x in zip(*found))
+            found, held = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        def walk(t: pa.Table, last: bool):
+            nonlocal rest, held
             key, cell = (t.column(c).to_numpy() for c in ("key", "cell"))
             cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1, [len(key)]])
-            if not last:
-                rest = t.slice(cuts[-2])
-                t, cuts = t.slice(0, cuts[-2]), cuts[:-1]
-            else:
-                rest = None
-            if not t.num_rows:
-                return
-            side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+            rest = None if last else t.slice(cuts[-2])
+            cuts = cuts if last else cuts[:-1]
+            plain = {c: t.column(c).to_numpy() for c in columns}
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-            comp = t.column("comp").to_numpy() if crossing else None
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if e - s > 1:
-                    c = cell[s]
-                    got = pairs(side[s:e], ids[s:e], sig[s:e], comp[s:e] if crossing else None, c // 1_000_000 != c % 1_000_000)
+                    sets = t.column("set").slice(s, e - s) if "set" in t.column_names else None
+                    got = of_cell({c: v[s:e] for c, v in plain.items()} | {"sig": sig[s:e], "set": sets}, cell[s] // 1_000_000 != cell[s] % 1_000_000)
                     if got is not None and len(got[0]):
-                        yield got
-
-        def walk(t, last):
-            nonlocal held
-            for a, b in split(t, last):
-                found_a.append(a)
-                found_b.append(b)
-                held += len(a)
-                if held > 20_000:
-                    yield flush()
+                        found.append(got)
+                        held += len(got[0])
+                        if held > 20_000:
+                            yield flush()
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -210,6 +154,84 @@ def _cells(low_est: float, crossing: bool):
     return run
 
 
+def _forest(low_est: float):
+    """Of each cell: a maximal spanning forest of its pairs with an estimate of at least ``low_est``.
+
+    Prim's walk from the smallest id; rows of the matrix are made as they are needed. In a cell of two sides, pairs of
+    both sides only.
+    """
+
+    def of_cell(t: dict, two: bool):
+        ids, sig, side = t["id"], t["sig"], t["side"]
+        n = len(ids)
+        if n == 2:
+            ok = ids[0] != ids[1] and (not two or side[0] != side[1]) and estimate(sig[0], sig[1]) >= low_est
+            return (ids[:1], ids[1:]) if ok else None
+        order = np.argsort(ids, kind="stable")
+        ids, sig, side = ids[order], sig[order], side[order]
+        best, parent, done = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, bool)
+        out, at = [], 0
+        for _ in range(n):
+            done[at] = True
+            est = estimate(sig[at][None, :], sig)
+            if two:
+                est = np.where(side == side[at], -1.0, est)
+            better = ~done & (est > best)
+            best[better], parent[better] = est[better], at
+            left = np.where(done, -2.0, best)
+            nxt = int(left.argmax())
+            if left[nxt] <= -2.0:
+                break
+            if best[nxt] >= low_est:
+                out.append((parent[nxt], nxt))
+            at = nxt
+        if not out:
+            return None
+        i, j = np.array(out).T
+        return ids[i], ids[j]
+
+    return of_cell
+
+
+def _crossing(low_est: float, percent: int):
+    """Of each cell: confirmed links between its components, enough to join those that any plausible pair joins."""
+
+    def of_cell(t: dict, two: bool):
+        ids, sig, side, comp = t["id"], t["sig"], t["side"], t["comp"].copy()
+        _, comp, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(sizes) < 2:
+            return None
+        flat = [np.frombuffer(v.as_buffer(), np.uint64) for v in t["set"]]
+        long = np.array([len(x) for x in flat])
+        out = []
+        # nodes of small components first: what they join needs no further test
+        for u in np.argsort(sizes[comp], kind="stable"):
+            cand = (comp != comp[u]) & (100 * np.minimum(long, long[u]) >= percent * np.maximum(long, long[u]))
+            if two:
+                cand &= side != side[u]
+            cand = np.flatnonzero(cand)
+            if not len(cand):
+                continue
+            est = estimate(sig[u][None, :], sig[cand])
+            cand = cand[est >= low_est]
+            if not len(cand):
+                continue
+            values = np.concatenate([flat[k] for k in cand])
+            at = np.searchsorted(flat[u], values)
+            at[at == len(flat[u])] = 0
+            both = np.add.reduceat((flat[u][at] == values).astype(np.int64), np.concatenate([[0], np.cumsum(long[cand])[:-1]]))
+            for k in cand[100 * both >= percent * (long[u] + long[cand] - both)]:
+                if comp[k] != comp[u]:
+                    out.append((u, k))
+                    comp[comp == comp[k]] = comp[u]
+        if not out:
+            return None
+        i, j = np.array(out).T
+        return ids[i], ids[j]
+
+    return of_cell
+
+
 def _full_sets(n: int):
     def run(batches):
         for whole in batches:
@@ -240,6 +262,13 @@ def _confirm(percent: int):
     return run
 
 
+def _cells(grouped: DataFrame, most: int) -> DataFrame:
+    """Rows (key, n: size of the key's group, id, ...) dealt in cells of at most about ``most`` rows a side, which cover all pairs."""
+    sided = grouped.withColumn("sides", F.ceil(F.col("n") / most).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    other = F.explode(F.when(F.col("sides") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return sided.withColumn("other", other).withColumn("cell", (F.least("side", "other") * 1_000_000 + F.greatest("side", "other")).cast("long"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words_a_shingle: int = 3, percent: int = 85) -> DataFrame:
     """doc_id-named id, n_shingles, component_id, kept - a row for each row of ``docs``."""
     spark, threshold = docs.sparkSession, percent / 100
@@ -262,40 +291,41 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     banded = reps.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     hot = hot_keys(sizes, "key", "n", total)
-    in_buckets = salted_join(banded, sizes, "key", hot, spread="id").withColumn("sides", F.ceil(F.col("n") / SIDE).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-    in_cells = in_buckets.withColumn("other", F.explode(F.when(F.col("sides") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1))))
-    in_cells = in_cells.select("key", (F.least("side", "other") * 1_000_000 + F.greatest("side", "other")).cast("long").alias("cell"), "side", "id")
-    celled = materialize(in_cells.join(reps.select("id", "sig"), "id"))
-
-    def plausible(cells: DataFrame, crossing: bool) -> DataFrame:
-        cols = ["key", "cell", "side", "id", "sig"] + ["comp"] * crossing
-        dealt = cells.select(*cols).repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
-        return dealt.mapInArrow(_cells(low_est, crossing), "a long, b long").distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        ids = materialize(ids)
-        count = ids.count()
-        wanted = ids.select("id")
-        texts = source.join(F.broadcast(wanted) if count <= FEW_IDS else wanted, "id", "left_semi")
-        sets = materialize(texts.mapInArrow(_full_sets(words_a_shingle), "id long, set binary").dropDuplicates())
-        hot = hot_keys(ids, "id", "n", 2 * pairs.count()).select(F.col("id"))
-        one = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a", hot.select(F.col("id").alias("a")), spread="b")
-        two = salted_join(one, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", hot.select(F.col("id").alias("b")), spread="a")
-        return two.mapInArrow(_confirm(percent), "a long, b long, ok boolean")
-
-    first = materialize(plausible(celled, False))
-    tested = materialize(confirmed(first))
-    same = member.filter("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b")).distinct()
+    in_cells = _cells(salted_join(banded, sizes, "key", hot, spread="id"), SIDE).select("key", "cell", "side", "id")
+    celled = in_cells.join(reps.select("id", "sig"), "id")
+    dealt = celled.select("key", "cell", "side", "id", "sig").repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
+    pairs = materialize(dealt.mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct())
+
+    # the forests' links are confirmed on the full sets
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    count, wanted = ids.count(), ids.select("id")
+    texts = source.join(F.broadcast(wanted) if count <= FEW_IDS else wanted, "id", "left_semi")
+    sets = materialize(texts.mapInArrow(_full_sets(words_a_shingle), "id long, set binary").dropDuplicates(["id"]))
+    hot = hot_keys(ids, "id", "n", 2 * pairs.count())
+    one = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a", hot.select(F.col("id").alias("a")), spread="b")
+    two = salted_join(one, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", hot.select(F.col("id").alias("b")), spread="a")
+    tested = materialize(two.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
     comps = connected_components(tested.filter("ok").select("a", "b"))
-    # what still crosses components: each plausible pair that the forests passed over
-    marked = celled.join(comps.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    second = plausible(marked, True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialize(second)
-    if not second.isEmpty():
-        more = materialize(confirmed(second))
-        if not more.filter("ok").isEmpty():
-            comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more.filter("ok").select("a", "b")))
+
+    # components that a failed link would have joined: other pairs of theirs may do so
+    def component(col: str) -> DataFrame:
+        return comps.select(F.col("id").alias(col), F.col("component_id").alias(f"c{col}"))
+
+    failed = tested.filter("not ok").join(component("a"), "a", "left").join(component("b"), "b", "left")
+    failed = materialize(failed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
+    if not failed.isEmpty():
+        around = connected_components(failed).select(F.col("id").alias("comp"), F.col("component_id").alias("key"))
+        around = materialize(around.unionByName(around.select(F.col("key").alias("comp"), "key")).distinct())
+        members = materialize(wanted.join(comps, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp")))
+        hot = hot_keys(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp", "n", count)
+        near = materialize(salted_join(members, around, "comp", hot, spread="id"))
+        sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        near = salted_join(near, sizes, "key", hot_keys(sizes, "key", "n", count), spread="id")
+        cells = _cells(near, FULL_SIDE).select("key", "cell", "side", "id", "comp").join(reps.select("id", "sig"), "id").join(sets, "id")
+        dealt = cells.repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
+        more = materialize(dealt.mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
+        if not more.isEmpty():
+            comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     # a class has its smallest id's component
     by_class = classes.select("set_key", "cls", "n").join(comps.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select("set_key", "n", F.coalesce("component_id", "cls").alias("component_id"))
     hot = hot_keys(classes, "set_key", "n", total)
