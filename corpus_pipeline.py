@@ -1,11 +1,62 @@
-"""The corpus pipeline: STAGES over documents, each (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, secret redaction and source mixing over documents.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Null
+texts are rejected by the first stage. Ids are taken as they are: rows that share one are one document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heliograph.llm import decontaminate, language_id, minhash_dedup, mixing, secret_scan
+from heliograph.llm.common import materialize, table
+
+
+def languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected (no letters, or a calibrated score below the threshold) go."""
+    model = language_id.fit(docs, F.col("text").isNotNull())
+    return language_id.identify(docs, model).filter("accepted").select(*docs.columns)
+
+
+def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at a similarity of 0.8 or more on five-word shingles, the smallest id stays, once."""
+    linked = minhash_dedup.near_duplicates(docs, words_a_shingle=5, percent=80)
+    return minhash_dedup.keep_one(docs, linked)
+
+
+def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark; n_chars follows."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
+def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words of, with how many, and where each stretch goes (shard, place)."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
+    return mixing.mix(docs, carry=rest).filter("taken > 0")
+
+
+STAGES = [
+    ("language_id", languages),
+    ("minhash_dedup", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("secret_scan", secrets),
+    ("source_mix", mixed),
+]
+#: Language models, CGK walks and keyed permutations aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = materialize(docs)  # else each stage would run again in every pass of the next
     return docs

@@ -226,14 +226,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents that match an item; no join is needed for that."""
     for index in _blocks(benchmark, item, "text", similarity):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(~_dirty(docs.sparkSession.sparkContext.broadcast(index))(F.col(text)))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def dirty(column: pa.Array, shared=shared) -> pa.Array:
-            return pa.array([bool(matches(shared.value, words(d, ALNUM), first_only=True)) for d in texts_of(column)], pa.bool_())
 
-        docs = docs.filter(~dirty(F.col(text)))
-    return docs
+def _dirty(shared):
+    @F.arrow_udf("boolean")
+    def dirty(column: pa.Array) -> pa.Array:
+        return pa.array([bool(matches(shared.value, words(d, ALNUM), first_only=True)) for d in texts_of(column)], pa.bool_())
+
+    return dirty
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

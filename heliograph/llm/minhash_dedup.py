@@ -334,6 +334,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, linked: DataFrame, id: str = "doc_id") -> DataFrame:
+    """``docs`` without those that ``linked`` (of near_duplicates) doesn't keep, and with one row of each id."""
+    linked = materialize(linked.select(id, "kept"))
+    gone = linked.filter("not kept").select(id).distinct()
+    few = gone.count() <= FEW_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, id, "left_anti")
+    repeated = linked.filter("kept").groupBy(id).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 and {id} is not null")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter(F.col(id).isNull()).unionByName(kept.filter(F.col(id).isNotNull()).dropDuplicates([id]))
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
