@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import table
 
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 50_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 50_000
 BITS = 14
 BUCKETS, DIM, GRAMS = 1 << BITS, 16, (1, 2, 3)
 #: Labels that may be learned, at most: a class a language.
@@ -148,18 +148,18 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
     """SGD on the averaged embeddings; every fifth text is kept out, for the temperature and the threshold."""
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    pairs = [(f, labels.index(g)) for t, g in zip(texts, langs) if len(f := features(t))]
-    if not pairs:
+    sparse = []  # (buckets, shares, label): 6 bytes a distinct subword
+    for t, g in zip(texts, langs):
+        if len(f := features(t)):
+            u, c = np.unique(f, return_counts=True)
+            sparse.append((u.astype(np.uint16), (c / len(f)).astype(np.float32), labels.index(g)))
+    if not sparse:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    order = rng.permutation(len(pairs))
-    held = set(order[::5].tolist()) if len(pairs) >= 20 else set()
+    order = rng.permutation(len(sparse))
+    held = set(order[::5].tolist()) if len(sparse) >= 20 else set()
     fit = np.array([k for k in order if k not in held])
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32)
-    sparse = []
-    for f, y in pairs:
-        u, c = np.unique(f, return_counts=True)
-        sparse.append((u, (c / len(f)).astype(np.float32), y))
     epochs = max(epochs, -(-400 * batch // max(1, len(fit))))  # few texts: 400 steps all the same
     steps, step = max(1, epochs * -(-len(fit) // batch)), 0
     for _ in range(epochs):
@@ -181,9 +181,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
             used = np.unique(np.concatenate([u for u, *_ in part]))
             emb[used] -= lr * 20 * (x[:, used].T @ back)  # rows of rare subwords see small weights
     model = Model(labels, (emb @ w).astype(np.float64), b.astype(np.float64))
-    test = [k for k in range(len(pairs)) if k in held] or list(range(len(pairs)))
-    z = np.stack([model.logits[pairs[k][0]].mean(axis=0, dtype=np.float64) + model.bias for k in test])
-    y = np.array([pairs[k][1] for k in test])
+    test = [k for k in range(len(sparse)) if k in held] or list(range(len(sparse)))
+    z = np.stack([sparse[k][1].astype(np.float64) @ model.logits[sparse[k][0]] + model.bias for k in test])
+    y = np.array([sparse[k][2] for k in test])
     grid = np.geomspace(0.05, 5, 40)
     # targets short of 1, as of so many texts: a clean separation doesn't make every score 1
     off = 1 / (len(y) + 2)
