@@ -22,24 +22,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> list:
     """Keys of ``counted`` (a row a key, with its count ``n``) that hold at least 1 / HOT_SHARE of ``total`` rows.
 
-    At most HOT_SHARE rows, so that they may be broadcast at any size of the input.
+    At most HOT_SHARE keys, whatever the size of the input.
     """
-    return counted.filter(F.col(n) * HOT_SHARE >= F.lit(max(total, HOT_SHARE))).filter(F.col(n) > SALTS).select(key)
+    found = counted.filter((F.col(n) * HOT_SHARE >= F.lit(max(total, HOT_SHARE))) & (F.col(n) > SALTS) & F.col(key).isNotNull())
+    return [r[0] for r in found.select(key).limit(HOT_SHARE + 1).collect()]
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner", spread: str | None = None) -> DataFrame:
-    """Join ``many`` with ``one`` (one row a key) on ``key``; rows of keys in ``hot`` are dealt over SALTS tasks.
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner", spread: str | None = None) -> DataFrame:
+    """Join ``many`` with ``one`` (one row a key) on ``key``; rows of the ``hot`` keys are dealt over SALTS tasks.
 
-    ``hot`` has at most HOT_SHARE keys (see hot_keys) and is broadcast. ``spread`` names the column of ``many`` whose
-    hash deals its rows; by default all its columns count.
+    Without hot keys it is a plain join. ``spread`` names the column of ``many`` whose hash deals its rows; by default
+    all its columns count.
     """
-    flag = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
+    if not hot:
+        return many.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     by = [F.col(spread)] if spread else [F.col(c) for c in many.columns if not c.startswith("_")]
-    left = many.join(flag, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
-    right = one.join(flag, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import hot_keys, materialize, salted_join
+from heliograph.llm.common import materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(id, component_id) for each id that has an edge to another; component_id is the smallest id reachable.
 
-    Each step links nodes to the smallest node that they know of; a node's links are merged on the map side, and joins
-    on nodes with very many links are salted. Edges with a null end, and loops, are passed over.
+    Each step links nodes to the smallest node that they know of. A node's links are merged on the map side before they
+    are dealt; rows here are pairs of numbers, and Spark splits the join where a node has very many of them. Edges with a null end, and loops, are passed over.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = materialize(edges)
     before = None
     for _ in range(most):
         # large star: each node's larger neighbours are linked with the smallest node near it
-        n = edges.count()
-        edges = materialize(_star(_star(edges, True, 2 * n), False, n))
+        edges = materialize(_star(_star(edges, True), False))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
@@ -28,14 +27,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
     raise RuntimeError(f"components did not settle in {most} steps")
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """edges: u > v, distinct; total: about as many rows as are dealt by node."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: u > v, distinct."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    low = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "x"))
-    hot = hot_keys(low, "x", "n", total)
-    joined = salted_join(both, low.select("x", "m"), "x", hot, spread="y")
+    low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
+    joined = both.join(low.select("x", "m"), "x")
     if large:
         out = joined.filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:

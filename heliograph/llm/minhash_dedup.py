@@ -282,14 +282,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     real = sketched.filter("id is not null and set_key is not null")
     classes = real.groupBy("set_key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes)
-    hot = hot_keys(classes, "set_key", "n", total)
-    member = salted_join(real.select("id", "set_key"), classes.select("set_key", "cls"), "set_key", hot, spread="id")
     reps = real.select("id", "set_key", "sig", "bands").join(classes.select("set_key", F.col("cls").alias("id")), ["set_key", "id"], "left_semi").dropDuplicates(["set_key"])
     reps = materialize(reps.select("id", "sig", "bands"))
 
     # buckets of bands with two classes or more, in cells of bounded size
     banded = reps.select("id", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     hot = hot_keys(sizes, "key", "n", total)
     in_cells = _cells(salted_join(banded, sizes, "key", hot, spread="id"), SIDE).select("key", "cell", "side", "id")
     celled = in_cells.join(reps.select("id", "sig"), "id")
@@ -302,8 +300,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     texts = source.join(F.broadcast(wanted) if count <= FEW_IDS else wanted, "id", "left_semi")
     sets = materialize(texts.mapInArrow(_full_sets(words_a_shingle), "id long, set binary").dropDuplicates(["id"]))
     hot = hot_keys(ids, "id", "n", 2 * pairs.count())
-    one = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a", hot.select(F.col("id").alias("a")), spread="b")
-    two = salted_join(one, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", hot.select(F.col("id").alias("b")), spread="a")
+    one = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a", hot, spread="b")
+    two = salted_join(one, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", hot, spread="a")
     tested = materialize(two.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
     comps = connected_components(tested.filter("ok").select("a", "b"))
 

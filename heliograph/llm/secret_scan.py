@@ -165,7 +165,7 @@ def spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each stretch of overlapping findings in its text replaced by ``mark``; other rows are as they were.
 
     Each distinct blob is scanned once; the redacted text is made beside the row's own text, from its blob's spans.
@@ -181,7 +181,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]", rules:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col(text).alias("of"))
     clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(acc["of"], acc["at"] + 1, F.length(acc["of"]))))
-    hit = salted_join(docs.withColumn("blob", blob_of(F.col(text))), found, "blob", hot, "left", spread="blob")
+    hit = salted_join(docs.withColumn("blob", blob_of(F.col(text))), found, "blob", hot, "left", spread=id)
     return hit.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
 
 
