@@ -7,7 +7,8 @@ walk as long as the class's items runs, and several tables sample a few of its s
 simulated edits at the threshold are found as often as ``target`` asks. Windows that share a sample with an item are
 verified by the exact edit distance of the item to the best substring near the window.
 
-A window is walked only if enough of its words are words of the benchmark, which a match within the threshold implies.
+A window is walked only if a short run of words that an item has lies where such a window would have it: edits within
+the threshold leave at least one run of each item whole, and can't move it by more than their number.
 Benchmarks are read in blocks of bounded size, each of them against all documents.
 
 A document and an item match if the item is within (1 - similarity) * its length of word edits of a substring of the
@@ -81,7 +82,7 @@ class Index:
     similarity: float
     ids: list
     items: list[np.ndarray]
-    vocabulary: np.ndarray
+    runs: dict  # length of a run -> (sorted hashes, item, offset)
     classes: list[Class]
     recall: dict
 
@@ -106,6 +107,19 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, np.uint64)
 
 
+def whole_run(n: int, similarity: float) -> int:
+    """Words, 3 at most, of a run that an item of ``n`` words keeps whole whatever edits within the threshold there are."""
+    k = allowed(n, similarity)
+    return max(1, min(3, n, (n - k) // (k + 1)))
+
+
+def runs_of(w: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+    for k in range(n):
+        h = mix(h) + w[k : len(w) - n + 1 + k]
+    return mix(h)
+
+
 def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: float = 0.95, seed: int = 3) -> Index:
     classes: list[Class] = []
     lengths = sorted({len(i) for i in items if len(i)})
@@ -140,52 +154,87 @@ def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: f
             keys = _key(walks[w], steps)
             order = np.argsort(keys, kind="stable")
             c.tables.append((w, steps, keys[order], np.array(members)[order]))
-    return Index(similarity, ids, items, np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64), classes, recall)
-
-
-def matches(index: Index, w: np.ndarray, first_only: bool = False, seed: int = 3) -> list[tuple[int, int, int]]:
-    """(item, distance, start of the window) for each item found in words ``w``."""
-    out = []
-    if not len(w) or not len(index.vocabulary):
-        return out
-    at = np.searchsorted(index.vocabulary, w)
-    at[at == len(index.vocabulary)] = 0
-    strange = np.concatenate([[0], np.cumsum(index.vocabulary[at] != w)])
+    runs = {}
+    for n in (1, 2, 3):
+        parts = [(runs_of(i, n), np.full(len(i) - n + 1, k), np.arange(len(i) - n + 1)) for k, i in enumerate(items) if len(i) and whole_run(len(i), similarity) == n]
+        if parts:
+            h, item, offset = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            runs[n] = h[order], item[order], offset[order]
+    return Index(similarity, ids, items, runs, classes, recall)
+
+
+def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[int, int, int, int]]:
+    """(document, item, distance, start of the match) for each item found in each of ``docs``, lists of words.
+
+    Documents are laid end to end, padded apart, so that all steps run over many of them at once.
+    """
+    if not index.runs or not any(len(d) for d in docs):
+        return []
+    gap = np.zeros(max(c.low for c in index.classes) + 2, np.uint64)
+    stream = np.concatenate([x for d in docs for x in (d, gap)])
+    sizes = np.array([len(d) for d in docs])
+    begin = np.concatenate([[0], np.cumsum(sizes + len(gap))[:-1]])
+    # places of windows, by item: where a run puts its start, and as far around as edits can
+    lengths = np.array([len(i) for i in index.items])
+    spots, owners = [], []
+    for n, (hashes, item, offset) in index.runs.items():
+        h = runs_of(stream, n)
+        left = np.searchsorted(hashes, h)
+        left[left == len(hashes)] = 0
+        at = np.flatnonzero(hashes[left] == h)
+        left, right = left[at], np.searchsorted(hashes, h[at], side="right")
+        count = right - left
+        which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
+        spots.append(np.repeat(at, count) - offset[which])
+        owners.append(item[which])
+    spot, owner = np.concatenate(spots), np.concatenate(owners)
+    if not len(spot):
+        return []
+    pairs = np.unique(np.stack([spot, owner], 1), axis=0)
+    spot, owner = pairs[:, 0], pairs[:, 1]
+    out: list[tuple[int, int, int, int]] = []
+    found: set[tuple[int, int]] = set()
     for c in index.classes:
-        # of a window's first words, at most so many can be words that no item has
-        most, least = allowed(c.high, index.similarity), c.low - allowed(c.low, index.similarity)
-        if len(w) < least:
-            continue
-        starts = np.flatnonzero(strange[least:] - strange[: len(w) - least + 1] <= most)
-        if not len(starts):
+        mine = (lengths[owner] >= c.low) & (lengths[owner] <= c.high)
+        if not mine.any():
             continue
-        stream = np.concatenate([w, np.zeros(c.low + 2, np.uint64)])
-        found: set[int] = set()
-        tried: set[tuple[int, int]] = set()
-        for lo in range(0, len(starts), 20_000):
-            part = starts[lo : lo + 20_000]
-            walks = [walk(stream, part, c.low, seed + k) for k in range(WALKS)]
-            for k, steps, keys, owner in c.tables:
-                key = _key(walks[k], steps)
-                left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for p in np.flatnonzero(right > left):
-                    for item in owner[left[p] : right[p]]:
-                        start = int(part[p])
-                        if item in found or (item, start) in tried:
-                            continue
-                        tried.add((item, start))
-                        target = index.items[item]
-                        edits = allowed(len(target), index.similarity)
-                        near = w[max(0, start - edits) : start + len(target) + edits]
-                        if np.isin(target, near).sum() < len(target) - edits:
-                            continue
-                        distance, _ = edit_distance_in(target, near)
-                        if distance <= edits:
-                            found.add(item)
-                            out.append((int(item), distance, start))
-                            if first_only:
-                                return out
-    return out
+        k = allowed(c.high, index.similarity)
+        starts = np.unique((spot[mine][:, None] + np.arange(-k, k + 1)[None, :]).ravel())
+        starts = starts[(starts >= 0) & (starts < len(stream))]
+        inside = np.searchsorted(begin, starts, side="right") - 1
+        starts = starts[starts < begin[inside] + sizes[inside]]
+        for lo in range(0, len(starts), 50_000):
+            part = starts[lo : lo + 50_000]
+            walks = [walk(stream, part, c.low, seed + w) for w in range(WALKS)]
+            hits = []
+            for w, steps, keys, items in c.tables:
+                key = _key(walks[w], steps)
+                left = np.searchsorted(keys, key)
+                left[left == len(keys)] = 0
+                at = np.flatnonzero(keys[left] == key)
+                if len(at):
+                    count = np.searchsorted(keys, key[at], side="right") - left[at]
+                    which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left[at], count)
+                    hits.append(np.stack([np.repeat(part[at], count), items[which]], 1))
+            if not hits:
+                continue
+            for start, item in np.unique(np.concatenate(hits), axis=0).tolist():
+                doc = int(np.searchsorted(begin, start, side="right") - 1)
+                if (doc, item) in found:
+                    continue
+                target = index.items[item]
+                edits = allowed(len(target), index.similarity)
+                origin = max(begin[doc], start - edits)
+                near = stream[origin : min(begin[doc] + sizes[doc], start + len(target) + edits)]
+                if sum(map(set(near.tolist()).__contains__, target.tolist())) < len(target) - edits:
+                    continue
+                distance, end = edit_distance_in(target, near)
+                if distance <= edits:
+                    _, back = edit_distance_in(target[::-1], near[:end][::-1])
+                    found.add((doc, item))
+                    out.append((doc, item, distance, int(origin + end - back - begin[doc])))
+    return sorted(out)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, similarity: float) -> Iterator[Index]:
@@ -200,6 +249,18 @@ def _blocks(benchmark: DataFrame, item: str, text: str, similarity: float) -> It
         yield build([i for i, _ in items], [w for _, w in items], similarity)
 
 
+def _all(index: Index, column: pa.Array, most: int = 300_000) -> list[tuple[int, int, int, int]]:
+    """matches() over a column of texts, about ``most`` words at a time."""
+    out, held, first, size = [], [], 0, 0
+    for r, data in enumerate(texts_of(column)):
+        held.append(words(data, ALNUM))
+        size += len(held[-1])
+        if size >= most:
+            out += [(first + d, *m) for d, *m in matches(index, held)]
+            held, first, size = [], r + 1, 0
+    return out + [(first + d, *m) for d, *m in matches(index, held)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", similarity: float = 0.8) -> DataFrame:
     """id, item, distance, similarity, word_start: a row for each document and item that match."""
     spark, out = docs.sparkSession, None
@@ -211,7 +272,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in batches:
-                rows = [(r, *m) for r, data in enumerate(texts_of(b.column(1))) for m in matches(index, words(data, ALNUM))]
+                rows = _all(index, b.column(1))
                 sims = [1 - d / len(index.items[i]) for _, i, d, _ in rows]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([r for r, *_ in rows], pa.int64())), pa.array([index.ids[i] for _, i, _, _ in rows], pa.int64() if types[1] == "bigint" else None), pa.array([d for _, _, d, _ in rows], pa.int32()), pa.array(sims, pa.float64()), pa.array([s for *_, s in rows], pa.int64())],
@@ -233,7 +294,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 def _dirty(shared):
     @F.arrow_udf("boolean")
     def dirty(column: pa.Array) -> pa.Array:
-        return pa.array([bool(matches(shared.value, words(d, ALNUM), first_only=True)) for d in texts_of(column)], pa.bool_())
+        hit = {r for r, *_ in _all(shared.value, column)}
+        return pa.array([r in hit for r in range(len(column))], pa.bool_())
 
     return dirty
 

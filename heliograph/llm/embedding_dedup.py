@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import hot_keys, materialize, salted_join, table
 from heliograph.llm.components import connected_components
 
-SHARD, OVERLAP, MOST = 1_000, 3, 4_000
+SHARD, OVERLAP, MOST = 500, 3, 4_000
 #: Nodes sampled to fit centers, and centers of a label at most; nodes audited.
 SAMPLE, MOST_CENTERS, AUDIT = 20_000, 512, 200
 DEGREE, NEAR, ALPHA, BEAM, SLACK = 24, 48, 1.2, 16, 0.08
