@@ -1,0 +1,161 @@
+"""Text functions over columns. Nothing here leaves the JVM but the exact NFKC form, which Spark lacks."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+TOKEN = r"[\p{L}\p{N}]+"
+
+
+def none_of_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def normalize(value: Column) -> Column:
+    """Lower case without white space: what normalize_exact gives wherever NFKC and case folding change no more."""
+    return F.regexp_replace(F.lower(value), r"\s+", "")
+
+
+def normalized(value: str) -> str:
+    """The exact form of one string: NFKC, case folding, no white space."""
+    return re.sub(r"\s+", "", unicodedata.normalize("NFKC", value).casefold())
+
+
+@F.pandas_udf(T.StringType())
+def normalize_exact(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else normalized(v))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unique_strings_exact(values: pd.Series) -> pd.Series:
+    """Trimmed, non-empty, the first of those whose exact form is equal."""
+
+    def unique(items):
+        seen: dict[str, str] = {}
+        for item in items if items is not None else []:
+            text = "" if item is None else item.strip()
+            if text:
+                seen.setdefault(normalized(text), text)
+        return list(seen.values())
+
+    return values.map(unique)
+
+
+def unique_by(values: Column, key) -> Column:
+    """Trimmed and non-empty strings, the first of those with an equal ``key``, in order."""
+    cleaned = F.filter(F.transform(F.coalesce(values, none_of_strings()), F.trim), lambda v: v.isNotNull() & (v != ""))
+    keep = F.struct(none_of_strings().alias("keys"), none_of_strings().alias("out"))
+
+    def step(acc: Column, v: Column) -> Column:
+        k = key(v)
+        new = ~F.array_contains(acc["keys"], k)
+        return F.struct(F.when(new, F.array_append(acc["keys"], k)).otherwise(acc["keys"]).alias("keys"), F.when(new, F.array_append(acc["out"], v)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(cleaned, keep, step, lambda acc: acc["out"])
+
+
+def unique_strings(values: Column) -> Column:
+    return unique_by(values, normalize)
+
+
+def unique_casefold(values: Column) -> Column:
+    return unique_by(values, F.lower)
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+def quoted_terms(text: Column) -> Column:
+    """What stands in double (or curly) or in single quotes, in order."""
+    both = F.regexp_extract_all(text, F.lit("""[“"]([^”"]+)[”"]|'([^']+)'"""), F.lit(0))
+    return unique_strings(F.transform(both, lambda v: F.substring(v, 2, F.length(v) - 2)))
+
+
+# The digits of written numbers, the words of bounds, units and countable targets.
+DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+AT_LEAST, AT_MOST = ("至少", "不少于", "不低于"), ("最多", "至多", "不超过")
+UNITS = "个名辆只张"
+COUNTED = ("人物", "人", "行人", "游客", "汽车", "轿车", "车辆", "车", "自行车", "单车", "摩托车", "狗", "猫")
+
+
+def number(value: Column) -> Column:
+    """Digits, or a written number under a hundred."""
+    digit = F.create_map(*[F.lit(x) for k, v in DIGITS.items() for x in (k, v)])
+    left, right = F.split_part(value, F.lit("十"), F.lit(1)), F.split_part(value, F.lit("十"), F.lit(2))
+    tens = F.coalesce(digit[left], F.lit(1)) * 10 + F.coalesce(digit[right], F.lit(0))
+    return F.when(value.rlike(r"^\d+$"), value.try_cast("int")).when(value.contains("十"), tens).otherwise(digit[value])
+
+
+def count_phrase(text: Column) -> Column:
+    """struct(target, value, operator) of the first count in the text; nulls without one."""
+    pattern = "(" + "|".join(AT_LEAST + AT_MOST) + r")?\s*(\d+|[" + "".join(DIGITS) + "十]+)\\s*[" + UNITS + r"]?\s*(" + "|".join(COUNTED) + ")"
+    part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    found = part(3).isNotNull()
+    operator = F.when(part(1).isin(*AT_LEAST), "gte").when(part(1).isin(*AT_MOST), "lte").otherwise("eq")
+    return F.struct(part(3).alias("target"), number(part(2)).alias("value"), F.when(found, operator).alias("operator"))
+
+
+def intent(text: Column, selected: Column | None = None) -> Column:
+    """story, generate, qa or search, by the first list that has a word of the text."""
+    # Words that tell an intent.
+    story, generate, ask = ("游记", "故事", "日记", "朋友圈文案"), ("补图", "生成图片", "画一张", "插图"), ("什么", "哪些", "是否", "有没有", "为什么")
+    has = lambda terms: text.rlike("|".join(terms))
+    asked = has(ask) if selected is None else has(ask) | (F.coalesce(F.size(selected), F.lit(0)) > 0)
+    return F.when(has(story), "story").when(has(generate), "generate").when(asked, "qa").otherwise("search")
+
+
+# Times of day in their order, and the words that tell them.
+TIME_BUCKETS = (
+    ("黎明", ("黎明", "凌晨", "日出", "dawn", "sunrise")),
+    ("早晨", ("早晨", "清晨", "上午", "morning")),
+    ("中午", ("中午", "正午", "noon", "midday")),
+    ("下午", ("下午", "afternoon")),
+    ("黄昏", ("黄昏", "傍晚", "日落", "dusk", "sunset", "evening")),
+    ("夜晚", ("夜晚", "夜间", "夜景", "深夜", "night")),
+)
+
+
+def time_bucket(text: Column) -> Column:
+    """Rank of the first bucket that the text has a word of; their number if there is none."""
+    low, out = F.lower(text), F.lit(len(TIME_BUCKETS))
+    for rank, (_, terms) in reversed(list(enumerate(TIME_BUCKETS))):
+        out = F.when(low.rlike("|".join(terms)), rank).otherwise(out)
+    return out
+
+
+def time_label(rank: Column) -> Column:
+    return F.get(F.array(*[F.lit(name) for name, _ in TIME_BUCKETS]), rank)
+
+
+def citations(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[img_([^\]]+)\]"), F.lit(1)))
+
+
+def checked_citations(text: Column, declared: Column, allowed: Column, refused: Column) -> Column:
+    """struct(cited, invalid, error): declared ones first, then those in the text."""
+    cited = F.array_distinct(F.concat(F.coalesce(declared, none_of_strings()), citations(text)))
+    invalid = F.array_sort(F.array_except(cited, allowed))
+    error = F.when(F.size(invalid) > 0, "outside the evidence").when(~refused & (F.size(cited) == 0), "no citation")
+    return F.struct(cited.alias("cited"), invalid.alias("invalid"), error.alias("error"))
+
+
+def localized(value: Column, names: dict[str, str]) -> Column:
+    """A name's translation, itself where there is none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[value], value)
+
+
+def query_seeds(queries: Column, summary: Column, n: int = 3) -> Column:
+    """Non-empty queries, filled up with the summary."""
+    kept = F.filter(F.coalesce(queries, none_of_strings()), lambda q: F.trim(q) != "")
+    return F.slice(F.concat(kept, F.array_repeat(summary, n)), 1, n)
+
+
+def latex(value: str) -> str:
+    return "".join({"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}.get(c, "\\" + c if c in "&%$#_{}" else c) for c in value)

@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Whole queries, composed of operators."""
