@@ -58,6 +58,11 @@ def _map(pairs: dict[str, Column], kind: str) -> Column:
     return F.create_map(*flat) if flat else F.create_map().cast(f"map<string,{kind}>")
 
 
+def met(aliases: Column, values: Column) -> Column:
+    """A one-letter alias must be a whole value, a longer one lie in it."""
+    return F.exists(aliases, lambda a: F.exists(values, lambda v: F.when(F.length(a) == 1, v == a).otherwise(v.contains(a))))
+
+
 @dataclass
 class Catalog:
     aliases: dict[str, list[str]] = field(default_factory=lambda: DEFAULT_ALIASES)
@@ -84,8 +89,12 @@ class Catalog:
         return _map({c: F.lit(f) for c, f in home.items()}, "string")[self.canonicalize(term)]
 
     def matches(self, term: Column, values: Column) -> Column:
-        """A one-letter alias must be a whole value, a longer one lie in it. ``values`` are normalized already."""
-        return F.exists(self.expand(term), lambda a: F.exists(values, lambda v: F.when(F.length(a) == 1, v == a).otherwise(v.contains(a))))
+        """Whether any alias of the term is met in ``values``, which are normalized already."""
+        return met(self.expand(term), values)
+
+    def expanded(self, terms: Column) -> Column:
+        """Terms as structs (t, a: aliases, home), so that what follows looks each of them up once."""
+        return F.transform(terms, lambda t: F.struct(t.alias("t"), self.expand(t).alias("a"), self.field_for(t).alias("home")))
 
     def _without_exceptions(self, text: Column) -> Column:
         out = normalize(text)

@@ -49,7 +49,7 @@ def unique_strings_exact(values: pd.Series) -> pd.Series:
 
 def unique_by(values: Column, key) -> Column:
     """Trimmed and non-empty strings, the first of those with an equal ``key``, in order."""
-    cleaned = F.filter(F.transform(F.coalesce(values, none_of_strings()), F.trim), lambda v: v.isNotNull() & (v != ""))
+    cleaned = F.filter(F.transform(F.coalesce(values, none_of_strings()), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     keep = F.struct(none_of_strings().alias("keys"), none_of_strings().alias("out"))
 
     def step(acc: Column, v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.aliases import Catalog
+from heliograph.functions.aliases import Catalog, met
 from heliograph.functions.text import none_of_strings, normalize, unique_strings
 from heliograph.operators.documents import FIELDS
 
@@ -15,6 +15,19 @@ SLOTS = ("objects", "actions", "scene", "time_of_day", "weather", "mood", "color
 STRICT = ("time_of_day", "weather")
 
 
+def partial_of(check, slot: str, strict: bool):
+    """A function of one argument: the number of arguments tells Spark what a lambda is given."""
+
+    def run(t: Column) -> Column:
+        return check(t, slot, strict)
+
+    return run
+
+
+def _hit(x: Column, slot: str, _: bool) -> Column:
+    return F.struct(x["t"].alias("t"), met(x["a"], F.col(f"n.{slot}")).alias("hit"))
+
+
 def _terms(name: str, columns: list[str]) -> Column:
     return unique_strings(F.col(name)) if name in columns else none_of_strings()
 
@@ -30,21 +43,27 @@ def decide(pairs: DataFrame, catalog: Catalog | None = None, mode: str = "hybrid
         raise ValueError(f"mode must be one of {MODES}")
     catalog = catalog or Catalog()
     have = pairs.columns
-    hit_fields = lambda t: F.array_compact(F.array(*[F.when(catalog.matches(t, F.col(f"n.{c}")), F.lit(c)) for c in FIELDS]))
     checks: list[Column] = []
     kind = "struct<ok:boolean,fields:array<string>,evidence:string,mismatch:string>"
 
     def item(ok: Column, fields: Column, good: Column, bad: Column) -> Column:
         return F.struct(ok.alias("ok"), F.when(ok, fields).otherwise(none_of_strings()).alias("fields"), F.when(ok, good).alias("evidence"), F.when(~ok, bad).alias("mismatch"))
 
-    def excluded(t: Column) -> Column:
-        home = catalog.field_for(t)
-        hits = F.filter(hit_fields(t), lambda c: home.isNull() | ~home.isin(*FIELDS) | (c == home))
-        return item(F.size(hits) == 0, none_of_strings(), F.lit(None).cast("string"), F.concat(F.lit("excluded:"), t, F.lit("("), F.array_join(hits, ","), F.lit(")")))
+    def with_hits(terms: Column) -> Column:
+        hits = lambda x: F.array_compact(F.array(*[F.when(met(x["a"], F.col(f"n.{c}")), F.lit(c)) for c in FIELDS]))
+        return F.transform(catalog.expanded(terms), lambda x: F.struct(x["t"].alias("t"), x["home"].alias("home"), hits(x).alias("hits")))
+
+    def at_home(x: Column) -> Column:
+        anywhere = x["home"].isNull() | ~x["home"].isin(*FIELDS)
+        return F.struct(x["t"].alias("t"), F.filter(x["hits"], lambda c: anywhere | (c == x["home"])).alias("hits"))
 
-    checks.append(F.transform(_terms("excluded_terms", have), excluded))
-    checks.append(F.transform(_terms("required_terms", have), lambda t: item(F.size(hit_fields(t)) > 0, hit_fields(t), F.concat(F.lit("required:"), t), F.concat(F.lit("missing:"), t))))
-    checks.append(F.transform(_terms("ocr_terms", have), lambda t: item(catalog.matches(t, F.col("n.ocr_text")), F.array(F.lit("ocr_text")), F.concat(F.lit("ocr:"), t), F.concat(F.lit("no ocr:"), t))))
+    if "excluded_terms" in have:
+        checks.append(F.transform(F.transform(with_hits(_terms("excluded_terms", have)), at_home), lambda x: item(F.size(x["hits"]) == 0, none_of_strings(), F.lit(None).cast("string"), F.concat(F.lit("excluded:"), x["t"], F.lit("("), F.array_join(x["hits"], ","), F.lit(")")))))
+    if "required_terms" in have:
+        checks.append(F.transform(with_hits(_terms("required_terms", have)), lambda x: item(F.size(x["hits"]) > 0, x["hits"], F.concat(F.lit("required:"), x["t"]), F.concat(F.lit("missing:"), x["t"]))))
+    if "ocr_terms" in have:
+        read = F.transform(catalog.expanded(_terms("ocr_terms", have)), lambda x: F.struct(x["t"].alias("t"), met(x["a"], F.col("n.ocr_text")).alias("ok")))
+        checks.append(F.transform(read, lambda x: item(x["ok"], F.array(F.lit("ocr_text")), F.concat(F.lit("ocr:"), x["t"]), F.concat(F.lit("no ocr:"), x["t"]))))
     if {"count_target", "count_value"} <= set(have):
         asked = F.col("count_target").isNotNull() & F.col("count_value").isNotNull()
         actual = F.get(F.filter(F.coalesce("object_counts", F.array().cast("array<struct<name:string,count:int>>")), lambda x: catalog.matches(F.col("count_target"), F.array(normalize(x["name"])))), F.lit(0))["count"]
@@ -58,13 +77,14 @@ def decide(pairs: DataFrame, catalog: Catalog | None = None, mode: str = "hybrid
         strict = mode == "hard" or (mode == "hybrid" and slot in STRICT)
         not_excluded = F.filter(F.coalesce(F.col(slot), none_of_strings()), lambda t: ~F.array_contains(F.col("excluded_terms") if "excluded_terms" in have else none_of_strings(), t))
 
-        def positive(t: Column, slot=slot, strict=strict) -> Column:
-            hit = catalog.matches(t, F.col(f"n.{slot}"))
+        def checked(x: Column, slot: str, strict: bool) -> Column:
+            t, hit = x["t"], x["hit"]
             rejects = (F.size(f"f.{slot}") > 0) & F.lit(strict)
             return F.struct((hit | ~rejects).alias("ok"), F.when(hit, F.array(F.lit(slot))).otherwise(none_of_strings()).alias("fields"), F.when(hit, F.concat(F.lit(f"{slot}:"), t)).alias("evidence"), F.when(~hit & rejects, F.concat(F.lit(f"no {slot}:"), t)).alias("mismatch"))
 
-        checks.append(F.transform(not_excluded, positive))
-    every = F.concat(*checks)
+        found = F.transform(catalog.expanded(not_excluded), partial_of(_hit, slot, strict))
+        checks.append(F.transform(found, partial_of(checked, slot, strict)))
+    every = F.concat(*checks) if checks else F.array().cast(f"array<{kind}>")
     out = pairs.withColumn("_checks", every)
     return out.select(
         *have,

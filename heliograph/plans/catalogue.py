@@ -247,7 +247,7 @@ def _(spark, sf):
     return parsing.parse(_counts(spark, sf)).select("query_id", "query_type", F.array_join("objects", ",").alias("objects"), F.array_join("scene", ",").alias("scene"))
 
 
-@query("query_document", """SELECT doc_id AS query_id, t || (['', '', '', '', '', ''])[doc_id % 6 + 1] || CASE doc_id % 6 WHEN 3 THEN '' ELSE ' 主体:' || (['汽车','人物','狗','','汽车','人物'])[doc_id % 6 + 1] || ' 数量:' || (['汽车:gte:','人物:eq:','狗:lte:','','汽车:eq:','人物:eq:'])[doc_id % 6 + 1] || (CASE doc_id % 6 WHEN 4 THEN 23 WHEN 5 THEN 3 ELSE doc_id % 17 END) || CASE WHEN doc_id % 6 = 1 THEN ' 场景:室外' ELSE '' END END AS document
+@query("query_document", """SELECT doc_id AS query_id, t || CASE doc_id % 6 WHEN 3 THEN ' 颜色:蓝色' ELSE ' 主体:' || (['汽车','人物','狗','','汽车','人物'])[doc_id % 6 + 1] || ' 数量:' || (['汽车:gte:','人物:eq:','狗:lte:','','汽车:eq:','人物:eq:'])[doc_id % 6 + 1] || (CASE doc_id % 6 WHEN 4 THEN 23 WHEN 5 THEN 3 ELSE doc_id % 17 END) || CASE WHEN doc_id % 6 = 1 THEN ' 场景:室外' ELSE '' END END AS document
  FROM (SELECT doc_id, replace((['至少{}辆车', '{}个人在户外', '最多 {} 只狗', '蓝天下的高楼', '二十三张汽车', '三名游客'])[doc_id % 6 + 1], '{}', (doc_id % 17)::VARCHAR) AS t FROM documents)""")
 def _(spark, sf):
     """PRJ-06."""
