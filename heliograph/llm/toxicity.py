@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import materialize, table
 from heliograph.llm.wordops import ALNUM, prefix_hashes, shingles, texts_of, words
 
-SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 100_000
+SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 100_000
 TERMS, FACTORS, LEAST_Z, LEAST_DOCS = 512, 4, 5.0, 3
 #: Bytes of words' beginnings that count as terms too, for words built on a common stem.
 PREFIXES = (5, 6, 7, 8)
@@ -64,29 +64,42 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("d"), pa.array(terms, pa.binary()), pa.array(marks, pa.binary())], names=["toxic", "d", "terms", "marks"])
 
 
-def train(sets: list[np.ndarray], y: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 5) -> Model:
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    base = float(np.log((n1 + 1) / (n0 + 1)))
-    none = Model(np.zeros(0, np.uint64), base, np.zeros(0), np.zeros((0, FACTORS)))
-    if not n1 or not n0:
-        return none
-    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
-    label = np.repeat(y, [len(s) for s in sets])
-    pos, neg = np.bincount(at, label, len(terms)), np.bincount(at, 1 - label, len(terms))
-    share = (pos + neg) / len(y)
-    z = (pos / n1 - neg / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    good = np.flatnonzero((np.abs(z) >= LEAST_Z) & (pos + neg >= LEAST_DOCS))
-    good = np.sort(good[np.lexsort((terms[good], -np.abs(z[good])))][:TERMS])
-    if not len(good):
-        return none
-    col = np.full(len(terms), -1)
-    col[good] = np.arange(len(good))
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    use = col[at] >= 0
-    x = np.zeros((len(sets), len(good)), np.float32)
-    x[row[use], col[at][use]] = 1
+def _counts(keep: frozenset):
+    """mapInArrow over sampled rows: partial (term, pos, neg), of rows in ``keep``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, np.frombuffer(x.as_buffer(), np.uint64)) for d, t, x in zip(b.column("d").to_pylist(), b.column("toxic").to_pylist(), b.column("terms")) if d in keep]
+            for at in range(0, len(rows), 500):
+                part = rows[at : at + 500]
+                terms, where = np.unique(np.concatenate([x for _, x in part]), return_inverse=True)
+                label = np.repeat(np.array([t for t, _ in part], float), [len(x) for _, x in part])
+                pos = np.bincount(where, label, len(terms)).astype(np.int64)
+                neg = np.bincount(where, 1 - label, len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(pos), pa.array(neg)], names=["term", "pos", "neg"])
+
+    return run
+
+
+def _chosen(terms: np.ndarray, keep: frozenset):
+    """mapInArrow over sampled rows: the places of ``terms`` in each row of ``keep``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(d, t, np.flatnonzero(np.isin(terms, np.frombuffer(x.as_buffer(), np.uint64))).tolist()) for d, t, x in zip(b.column("d").to_pylist(), b.column("toxic").to_pylist(), b.column("terms")) if d in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, *_ in out], pa.int64()), pa.array([t for _, t, _ in out], pa.int32()), pa.array([i for *_, i in out], pa.list_(pa.int32()))], names=["d", "toxic", "at"])
+
+    return run
+
+
+def train(rows: list[list[int]], y: np.ndarray, terms: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 5) -> Model:
+    """Fit the machine on rows that name the places of ``terms`` they have."""
+    x = np.zeros((len(rows), len(terms)), np.float32)
+    for k, at in enumerate(rows):
+        x[k, at] = 1
     rng = np.random.default_rng(seed)
-    theta = [np.array([base]), np.zeros(len(good)), rng.normal(0, 0.01, (len(good), FACTORS))]
+    base = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
+    theta = [np.array([base]), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))]
     m, s = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, steps + 1):
         w0, w, v = theta
@@ -98,23 +111,36 @@ def train(sets: list[np.ndarray], y: np.ndarray, steps: int = 400, rate: float =
             m[k] = 0.9 * m[k] + 0.1 * d
             s[k] = 0.999 * s[k] + 0.001 * d * d
             theta[k] = theta[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(terms[good], float(theta[0][0]), theta[1], theta[2])
+    return Model(terms, float(theta[0][0]), theta[1], theta[2])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Terms are counted where the sampled rows are; TERMS of them, and their places in each row, come to the driver."""
     rows = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("toxic"), F.xxhash64(F.col(id), F.lit("sample")).alias("d"))
     few = rows.dropDuplicates(["id"]).orderBy("d", "id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    got = texts.join(F.broadcast(few), "id").select("toxic", "d", "text").mapInArrow(_sampled, "toxic int, d long, terms binary, marks binary").collect()
-    sets, y, seen = [], [], set()
-    for r in sorted(got, key=lambda r: (r["d"], bytes(r["terms"]))):
+    sampled = materialize(texts.join(F.broadcast(few), "id").select("toxic", "d", "text").mapInArrow(_sampled, "toxic int, d long, terms binary, marks binary"))  # SAMPLE_ROWS rows
+    seen, keep, y = set(), set(), []
+    for r in sorted(sampled.select("d", "toxic", "marks").collect(), key=lambda r: (r["d"], bytes(r["marks"]))):
         marks = set(np.frombuffer(bytes(r["marks"]), np.uint64).tolist())
-        if len(marks & seen) >= 2:
-            continue  # a near copy of a row before it
-        seen |= marks
-        sets.append(np.frombuffer(bytes(r["terms"]), np.uint64))
-        y.append(r["toxic"])
-    return train(sets, np.array(y, float))
+        if len(marks & seen) < 2 and r["d"] not in keep:  # else a near copy of a row before it
+            seen |= marks
+            keep.add(r["d"])
+            y.append(r["toxic"])
+    n1, n0 = sum(y), len(y) - sum(y)
+    base = float(np.log((n1 + 1) / (n0 + 1)))
+    none = Model(np.zeros(0, np.uint64), base, np.zeros(0), np.zeros((0, FACTORS)))
+    if not n1 or not n0:
+        return none
+    counts = sampled.mapInArrow(_counts(frozenset(keep)), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    share = (F.col("pos") + F.col("neg")) / (n1 + n0)
+    z = F.abs(F.col("pos") / n1 - F.col("neg") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    best = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("pos") + F.col("neg") >= LEAST_DOCS)).orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    if not best:
+        return none
+    terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
+    got = sorted(sampled.mapInArrow(_chosen(terms, frozenset(keep)), "d long, toxic int, at array<int>").collect(), key=lambda r: r["d"])
+    return train([r["at"] for r in got], np.array([r["toxic"] for r in got], float), terms)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
