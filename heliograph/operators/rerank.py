@@ -42,7 +42,8 @@ def listwise(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     first = met.filter("item_id is not null").groupBy("query_id", "item_id").agg(F.min(F.struct("place", "score")).alias("f"), F.count(F.lit(1)).alias("times"))
     all_ = candidates.join(sizes, "query_id").join(bad, "query_id", "left").join(first, ["query_id", "item_id"], "left")
     failed = F.coalesce(F.col("unknown") > 0, F.lit(True)) | F.coalesce(F.col("named") == 0, F.lit(True))
-    given = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("f.score"))), 100.0 * (F.col("n") - F.col("f.place")) / F.greatest(F.lit(1), F.col("n") - 1))
+    told = F.when(F.col("f.score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("f.score"))))  # least() passes over nulls
+    given = F.coalesce(told, 100.0 * (F.col("n") - F.col("f.place")) / F.greatest(F.lit(1), F.col("n") - 1))
     w = Window.partitionBy("query_id")
     out = all_.withColumn("error", F.when(failed, "no valid ranking")).withColumn("score", F.when(failed, 0.0).otherwise(F.coalesce(given, F.lit(0.0))))
     out = out.withColumn("degraded", ~failed & (F.max(F.coalesce("times", F.lit(0)) > 1).over(w) | F.max(F.col("f").isNull()).over(w)))
