@@ -66,8 +66,9 @@ class Searcher:
         """
         if candidates <= 0 or results <= 0:
             raise ValueError("candidates and results must be positive")
-        rankings = self.recall(queries, candidates)
-        decided = self.decisions(rankings, queries)
+        # both are read more than once, and hold at most branches * candidates rows a query
+        rankings = self.recall(queries, candidates).persist()
+        decided = self.decisions(rankings, queries).persist()
         kept = fusion.compacted(rankings.join(decided.filter("allowed").select("query_id", "item_id"), ["query_id", "item_id"], "left_semi"))
         fused = fusion.rrf(kept, self.rrf_k) if self.method == "rrf" else fusion.weighted(kept, self.weights, self.active())
         best = fusion.top(fused, results)
@@ -82,9 +83,9 @@ class Searcher:
 
     def ablation(self, queries: DataFrame, candidates: int, results: int, weights: dict[str, float]) -> DataFrame:
         """``variant`` by variant - each branch alone, all by rank, all by weight - from one recall and one filter."""
-        rankings = self.recall(queries, candidates)
+        rankings = self.recall(queries, candidates).persist()
         allowed = self.decisions(rankings, queries).filter("allowed").select("query_id", "item_id")
-        kept = fusion.compacted(rankings.join(allowed, ["query_id", "item_id"], "left_semi"))
+        kept = fusion.compacted(rankings.join(allowed, ["query_id", "item_id"], "left_semi")).persist()  # for all variants
         out = None
         for name, part in [*[(b, kept.filter(F.col("branch") == b)) for b in self.active()], ("rrf", kept)]:
             one = fusion.top(fusion.rrf(part, self.rrf_k), results).withColumn("variant", F.lit(name))
