@@ -2,14 +2,16 @@
 
 Equal vectors of a label are one node. Labels with more nodes than SHARD are cut in shards around centers (fitted on a
 bounded sample), each node belonging to its OVERLAP nearest shards; smaller labels are one shard. In each shard a
-robust-pruned graph is built; adjacency lists of a node are united over its shards; a greedy search from the shard's
-medoid, whose beam then grows over all that lies in range, finds the neighbours of each of the shard's nodes. A pair is
+robust-pruned graph is built, with random edges that lead out of groups of near copies; adjacency lists of a node are
+united over its shards; a greedy search from the node itself and the shard's medoid, whose beam then grows over all that
+lies in range, finds the neighbours of each of the shard's nodes. A pair is
 counted in the first shard that both share. Nothing but counts and a spanning forest leaves a shard, so groups of near
 copies aren't expanded into pairs. Links are verified in double precision.
 
 Shards that come out larger than MOST (a dense group that centers can't part) are dealt in cells of bounded size that
 cover all their pairs. A sample of AUDIT nodes is held against brute force over all nodes; while the recall is below
-``target``, nodes are put in twice as many shards, in the end in all of their label.
+``target``, shards are compared by exact blocks, then nodes are put in twice as many shards, and in the end all nodes
+of a label are compared.
 
 Rows: vectors that are null, empty or zero or have a null or non-finite component, and null labels, link with nothing;
 vectors of different lengths never link; a null id is no node (its links are null, and it is kept); rows that repeat an
@@ -30,6 +32,8 @@ SHARD, OVERLAP, MOST = 500, 3, 4_000
 #: Nodes sampled to fit centers, and centers of a label at most; nodes audited.
 SAMPLE, MOST_CENTERS, AUDIT = 20_000, 512, 200
 DEGREE, NEAR, ALPHA, BEAM, SLACK = 24, 48, 1.2, 16, 0.08
+#: Random edges of a node.
+FAR = 4
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -37,11 +41,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def robust_prune(x: np.ndarray) -> np.ndarray:
-    """(n, DEGREE) neighbours, -1 where there is none: near ones of which none hides another by ALPHA."""
+    """(n, DEGREE + FAR) neighbours, -1 where there is none: near ones of which none hides another by ALPHA, and random ones."""
     n = len(x)
     near = min(NEAR, n - 1)
     if near < 1:
-        return np.full((n, DEGREE), -1)
+        return np.full((n, DEGREE + FAR), -1)
     out = np.full((n, DEGREE), -1)
     for lo in range(0, n, 512):
         hi = min(n, lo + 512)
@@ -67,7 +71,8 @@ def robust_prune(x: np.ndarray) -> np.ndarray:
         for r in np.flatnonzero(kept < min(4, near)):
             extra = [c for c in cand[r] if c not in out[lo + r, : kept[r]]][: min(4, near) - kept[r]]
             out[lo + r, kept[r] : kept[r] + len(extra)] = extra
-    return out
+    # the near ones of a node in a large group are all in that group
+    return np.concatenate([out, np.random.default_rng(n).integers(0, n, (n, FAR))], axis=1)
 
 
 def both_ways(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +86,7 @@ def both_ways(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def range_search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, queries: np.ndarray, least: float) -> list[np.ndarray]:
     """For each of ``queries`` (rows of x): the nodes found with a similarity of at least ``least``, itself too.
 
-    A beam from the medoid goes on until its best nodes are all expanded; then all nodes within SLACK of the range are.
+    A beam from the query itself and the medoid goes on until its best nodes are all expanded; then all nodes within SLACK of the range are.
     """
     n = len(x)
     medoid = int((x @ _unit(x.mean(axis=0, keepdims=True))[0]).argmax())
@@ -92,6 +97,7 @@ def range_search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, querie
         sims = np.full((len(q), n), -3.0, np.float32)  # -3: not seen
         done = np.zeros((len(q), n), bool)
         sims[:, medoid] = x[q] @ x[medoid]
+        sims[rows, q] = 1
 
         def expand(r: np.ndarray, node: np.ndarray) -> None:
             done[r, node] = True
@@ -124,6 +130,14 @@ def range_search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, querie
     return out
 
 
+def exact_search(x: np.ndarray, least: float) -> list[np.ndarray]:
+    """The same for all rows of x, by comparing all of them."""
+    out: list[np.ndarray] = []
+    for lo in range(0, len(x), 512):
+        out += [np.flatnonzero(s >= least - 1e-4) for s in x[lo : lo + 512] @ x.T]
+    return out
+
+
 def _centers(sample: pd.DataFrame, sizes: dict, seed: int = 1) -> dict:
     """label -> centers: a few rounds of k-means on the sample."""
     out = {}
@@ -166,16 +180,21 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     centers = spark.sparkContext.broadcast(_centers(sample, sizes))  # MOST_CENTERS a large label
     audit = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDIT).select("node", "label", "v").toPandas()
 
-    overlap = OVERLAP
+    overlap, exact = OVERLAP, False
     while True:
-        found, links, assigned = _search(nodes, centers, overlap, least)
+        found, links, assigned = _search(nodes, centers, overlap, least, exact)
         counted = found.groupBy("node").agg(F.sum("n").alias("n"))
         recall = _audit(nodes, counted, audit, least)
         near_duplicates.recall = recall
         most = max([len(c) for c in centers.value.values()], default=1)
-        if recall >= target or overlap >= most:
+        if recall >= target or (exact and most == 1):
             break
-        overlap *= 2
+        if not exact:
+            exact = True
+        elif overlap * 2 < most:
+            overlap *= 2
+        else:  # a label is one shard, dealt in cells that cover all its pairs
+            centers = spark.sparkContext.broadcast({})
     comps = connected_components(links)
     by_node = nodes.select("key", "node", "copies").join(counted, "node", "left").join(comps.select(F.col("id").alias("node"), "component_id"), "node", "left")
     by_node = by_node.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
@@ -186,8 +205,8 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 
 
-def _search(nodes: DataFrame, centers, overlap: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts by node and shard, spanning links, nodes with their shards)."""
+def _search(nodes: DataFrame, centers, overlap: int, least: float, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts by node and shard, spanning links, nodes with their shards); ``whole``: without graphs, by all pairs of a shard."""
 
     @F.pandas_udf("array<int>")
     def shards(label: pd.Series, v: pd.Series) -> pd.Series:
@@ -230,15 +249,18 @@ def _search(nodes: DataFrame, centers, overlap: int, least: float) -> tuple[Data
             return pd.DataFrame({"node": ids[:0], "n": copies[:0], "parent": ids[:0]})
         exact = _unit(np.array(pdf["v"].tolist(), float))
         x = exact.astype(np.float32)
-        flat = [np.asarray(n, dtype=np.int64) for n in pdf["nbrs"]]
-        a = np.repeat(np.arange(len(ids)), [len(n) for n in flat])
-        b = np.concatenate(flat) if len(flat) else np.zeros(0, np.int64)
-        at = np.searchsorted(ids, b)
-        at[at == len(ids)] = 0
-        here = ids[at] == b
-        pairs = np.unique(np.concatenate([np.stack([a[here], at[here]], 1), np.stack([at[here], a[here]], 1)]), axis=0)
-        offsets = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1))
-        found = range_search(x, offsets, pairs[:, 1], np.arange(len(ids)), least)
+        if whole:
+            found = exact_search(x, least)
+        else:
+            flat = [np.asarray(n, dtype=np.int64) for n in pdf["nbrs"]]
+            a = np.repeat(np.arange(len(ids)), [len(n) for n in flat])
+            b = np.concatenate(flat) if len(flat) else np.zeros(0, np.int64)
+            at = np.searchsorted(ids, b)
+            at[at == len(ids)] = 0
+            here = ids[at] == b
+            pairs = np.unique(np.concatenate([np.stack([a[here], at[here]], 1), np.stack([at[here], a[here]], 1)]), axis=0)
+            offsets = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1))
+            found = range_search(x, offsets, pairs[:, 1], np.arange(len(ids)), least)
         # both ends know a pair that either found
         q = np.repeat(np.arange(len(ids)), [len(f) for f in found])
         t = np.concatenate(found)
@@ -277,7 +299,8 @@ def _search(nodes: DataFrame, centers, overlap: int, least: float) -> tuple[Data
         use = np.flatnonzero((n > 0) | (parent != np.arange(len(ids))))
         return pd.DataFrame({"node": ids[use], "n": n[use].astype(np.int64), "parent": ids[parent[use]]})
 
-    found = celled.join(united, "node").groupBy(*by).applyInPandas(search, FOUND)
+    searched = celled if whole else celled.join(united, "node")
+    found = searched.groupBy(*by).applyInPandas(search, FOUND)
     found = materialize(found)
     return found, found.filter("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b")), assigned
 

@@ -322,6 +322,34 @@ def test_embeddings(spark, monkeypatch):
     assert all(got[k].n_links == 0 and got[k].component_id == k for k in range(420, 426))
 
 
+def test_embedding_groups(spark):
+    """Groups of more near copies than a node has near ones, with nothing else in their label."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6, 16))
+    v = np.repeat(x, 60, axis=0) + 0.1 * rng.normal(size=(360, 16))
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    d = spark.createDataFrame([(k, [float(z) for z in r], 1) for k, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(d).collect()}
+    assert sum(got[k].n_links for k in range(360)) >= 0.98 * want.sum() and want.min() > 0
+    assert [got[k].component_id for k in range(360)] == [k // 60 * 60 for k in range(360)]
+
+
+@pytest.mark.parametrize("shard", [30, 500])
+def test_embedding_exact(spark, shard, monkeypatch):
+    """An audit that is never content ends in the comparison of all pairs, also of labels with many shards."""
+    monkeypatch.setattr(embedding_dedup, "SHARD", shard)
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.normal(size=(3, 16)), 60, axis=0) + 0.16 * rng.normal(size=(180, 16))
+    unit = v.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    d = spark.createDataFrame([(k, [float(z) for z in r], 1) for k, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(d, target=1.01).collect()}
+    assert [got[k] for k in range(180)] == want.tolist()
+
+
 # 9, 10 -----------------------------------------------------------------------------------------------------------
 
 
