@@ -298,6 +298,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d, bench.filter("false")).count() == 0
 
 
+def test_decontamination_cut():
+    """Items whose first words lie before the document, or whose last ones after it."""
+    rng = np.random.default_rng(7)
+    items = [rng.integers(1 << 62, size=int(n)).astype(np.uint64) for n in np.repeat([27, 38, 59], 40)]
+    index = decontaminate.build(list(range(len(items))), items)
+    other = rng.integers(1 << 62, size=200).astype(np.uint64)
+    cut = [decontaminate.allowed(len(i), 0.8) for i in items]
+    for part in ([np.concatenate([i[k:], other]) for i, k in zip(items, cut)], [np.concatenate([other, i[:-k]]) for i, k in zip(items, cut)]):
+        got = decontaminate.matches(index, part)
+        assert {(d, i) for d, i, *_ in got} <= {(k, k) for k in range(len(items))} and len(got) >= 0.7 * len(items)
+        assert all(distance == cut[i] for _, i, distance, _ in got)
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
