@@ -5,7 +5,8 @@ each step it writes the symbol it stands on, and moves on by a random bit that d
 small edit distance then agree at most steps. Items are put in classes of like length; from each word of a document a
 walk as long as the class's items runs, and several tables sample a few of its steps each. Their number is raised until
 simulated edits at the threshold are found as often as ``target`` asks. Windows that share a sample with an item are
-verified by the exact edit distance of the item to the best substring near the window.
+verified by the exact edit distance of the item to the best substring near the window. Classes that MOST_TABLES tables
+don't find often enough have none: there, all places with as many runs of an item as edits must leave whole are verified.
 
 A window is walked only if a short run of words that an item has lies where such a window would have it: edits within
 the threshold leave at least one run of each item whole, and can't move it by more than their number. Windows may start
@@ -71,7 +72,7 @@ def walk(symbols: np.ndarray, starts: np.ndarray, steps: int, seed: int) -> np.n
 
 @dataclass
 class Class:
-    """Items of like length. tables: for each, (walk, steps, sorted keys, items in their order)."""
+    """Items of like length. tables: for each, (walk, steps, sorted keys, items in their order); none if they miss the target."""
 
     low: int
     high: int
@@ -165,6 +166,8 @@ def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: f
             found |= (_key(walked[w][1], steps).reshape(len(probes), 4) == _key(walked[w][0], steps)[:, None]).any(axis=1)
             reached = float((np.bincount(kinds, found) / np.bincount(kinds)).min())  # of the kind found least
         recall[c.low] = reached
+        if reached < target:
+            continue
         stream = np.concatenate([x for k in members for x in (items[k], pad)])
         starts = np.cumsum([0] + [len(items[k]) + len(pad) for k in members])[:-1]
         walks = [walk(stream, starts, c.low, seed + w) for w in range(WALKS)]
@@ -182,6 +185,34 @@ def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: f
     return Index(similarity, ids, items, runs, classes, recall)
 
 
+def _places(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first and last start) of all stretches where the item's runs put enough windows close together.
+
+    An edit breaks at most n of an item's runs of n words, and all edits together move none by more than their number.
+    """
+    if not len(spot):
+        return
+    order = np.lexsort([spot, doc, owner])
+    spot, owner, doc = spot[order], owner[order], doc[order]
+    n = np.array([len(i) for i in index.items])
+    k = np.array([allowed(x, index.similarity) for x in n])
+    run = np.array([whole_run(x, index.similarity) if x else 1 for x in n])
+    least = np.maximum(1, n - run + 1 - k * run)[owner]
+    # the run that is ``least`` - 1 places on is of the same document and item, and no farther than edits can part them
+    last = np.arange(len(spot)) + least - 1
+    at = np.minimum(last, len(spot) - 1)
+    rows = np.flatnonzero((last < len(spot)) & (owner[at] == owner) & (doc[at] == doc) & (spot[at] - spot <= 2 * k[owner]))
+    if not len(rows):
+        return
+    # overlapping stretches are verified at once
+    a, b, reach = rows[:-1], rows[1:], n[owner[rows[:-1]]]
+    cuts = np.flatnonzero((owner[a] != owner[b]) | (doc[a] != doc[b]) | (spot[b] - spot[a] > reach)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]):
+        first, end = rows[lo], rows[hi - 1]
+        edits = int(k[owner[first]])
+        yield int(doc[first]), int(owner[first]), int(spot[first]) - edits, int(spot[end]) + edits
+
+
 def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[int, int, int, int]]:
     """(document, item, distance, start of the match) for each item found in each of ``docs``, lists of words.
 
@@ -195,7 +226,7 @@ def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[i
     begin = len(gap) + np.concatenate([[0], np.cumsum(sizes + len(gap))[:-1]])
     # places of windows, by item: where a run puts its start, and as far around as edits can
     lengths = np.array([len(i) for i in index.items])
-    spots, owners = [], []
+    spots, owners, places = [], [], []
     for n, (hashes, item, offset) in index.runs.items():
         h = runs_of(stream, n)
         left = np.searchsorted(hashes, h)
@@ -206,13 +237,35 @@ def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[i
         which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
         spots.append(np.repeat(at, count) - offset[which])
         owners.append(item[which])
-    spot, owner = np.concatenate(spots), np.concatenate(owners)
+        places.append(np.repeat(at, count))
+    spot, owner, place = np.concatenate(spots), np.concatenate(owners), np.concatenate(places)
     if not len(spot):
         return []
-    pairs = np.unique(np.stack([spot, owner], 1), axis=0)
-    spot, owner = pairs[:, 0], pairs[:, 1]
     out: list[tuple[int, int, int, int]] = []
     found: set[tuple[int, int]] = set()
+
+    def verify(doc: int, item: int, first: int, last: int) -> None:
+        """Match the item with what lies about windows that start from ``first`` to ``last``."""
+        if (doc, item) in found:
+            return
+        target = index.items[item]
+        edits = allowed(len(target), index.similarity)
+        origin = max(begin[doc], first - edits)
+        near = stream[origin : min(begin[doc] + sizes[doc], last + len(target) + edits)]
+        if sum(map(set(near.tolist()).__contains__, target.tolist())) < len(target) - edits:
+            return
+        distance, end = edit_distance_in(target, near)
+        if distance <= edits:
+            _, back = edit_distance_in(target[::-1], near[:end][::-1])
+            found.add((doc, item))
+            out.append((doc, item, distance, int(origin + end - back - begin[doc])))
+
+    exact = np.isin(np.searchsorted([c.low for c in index.classes], lengths, side="right") - 1, [j for j, c in enumerate(index.classes) if not c.tables])
+    mine = exact[owner]
+    for task in _places(index, spot[mine], owner[mine], np.searchsorted(begin, place[mine], side="right") - 1):
+        verify(*task)
+    pairs = np.unique(np.stack([spot[~mine], owner[~mine]], 1), axis=0)
+    spot, owner = pairs[:, 0], pairs[:, 1]
     for c in index.classes:
         mine = (lengths[owner] >= c.low) & (lengths[owner] <= c.high)
         if not mine.any():
@@ -238,20 +291,7 @@ def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[i
             if not hits:
                 continue
             for start, item in np.unique(np.concatenate(hits), axis=0).tolist():
-                doc = int(np.searchsorted(begin - k, start, side="right") - 1)
-                if (doc, item) in found:
-                    continue
-                target = index.items[item]
-                edits = allowed(len(target), index.similarity)
-                origin = max(begin[doc], start - edits)
-                near = stream[origin : min(begin[doc] + sizes[doc], start + len(target) + edits)]
-                if sum(map(set(near.tolist()).__contains__, target.tolist())) < len(target) - edits:
-                    continue
-                distance, end = edit_distance_in(target, near)
-                if distance <= edits:
-                    _, back = edit_distance_in(target[::-1], near[:end][::-1])
-                    found.add((doc, item))
-                    out.append((doc, item, distance, int(origin + end - back - begin[doc])))
+                verify(int(np.searchsorted(begin - k, start, side="right") - 1), item, start, start)
     return sorted(out)
 
 

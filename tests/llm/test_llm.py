@@ -311,6 +311,19 @@ def test_decontamination_cut():
         assert all(distance == cut[i] for _, i, distance, _ in got)
 
 
+def test_decontamination_exact():
+    """Classes that the tables don't find often enough: the exact way finds all edits that are allowed."""
+    rng = np.random.default_rng(11)
+    items = [rng.integers(1 << 62, size=int(n)).astype(np.uint64) for n in np.repeat([6, 20, 60, 800], 12)]
+    index = decontaminate.build(list(range(len(items))), items)
+    assert all(c.tables or index.recall[c.low] < 0.95 for c in index.classes) and not index.classes[-1].tables
+    for kind in range(5):
+        edited = [list(decontaminate._probes(i, decontaminate.allowed(len(i), 0.8), rng))[kind][1] for i in items]
+        got = {(d, i) for d, i, *_ in decontaminate.matches(index, edited)}
+        assert all((k, k) in got for k, i in enumerate(items) if not next(c for c in index.classes if c.low <= len(i) <= c.high).tables), kind
+        assert len(got) >= 0.95 * len(items), kind
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
