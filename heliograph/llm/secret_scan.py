@@ -55,6 +55,14 @@ MORE_RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
 )
 RULES = BASE_RULES + MORE_RULES
+# Private keys as a whole, where pem@1 finds their first line: to the END line if no other such line is before it, else
+# header lines and base64 that follow. Possessive, so that Java matches long keys without recursion.
+_PEM = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_PEM_GAP = r"""(?:\s|\\[nrt]|["'+>,|*#;])*+"""
+_PEM_END = f"[^-]*+(?:-{{1,4}}[^-]++)*+-----END {_PEM}"
+_PEM_REST = rf"(?:\s*+[A-Za-z][A-Za-z-]*+: [^\n]*+\n)*+(?:(?:{_PEM_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_PEM_GAP}[A-Za-z0-9+/]++={{1,2}}|\s*+[A-Za-z0-9+/]++(?=\s*+(?:\n|$)))?+)?+"
+#: What is redacted. RULES, and the SQL that states them, keep pem@1.
+REDACTED_RULES = tuple(Rule("pem", 2, f"-----BEGIN {_PEM}(?:{_PEM_END}|{_PEM_REST})", hint="PRIVATE KEY") if r.kind == "pem" else r for r in RULES)
 FINDING = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -165,7 +173,7 @@ def spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = REDACTED_RULES) -> DataFrame:
     """``docs`` with each stretch of overlapping findings in its text replaced by ``mark``; other rows are as they were.
 
     Each distinct blob is scanned once; the redacted text is made beside the row's own text, from its blob's spans.
