@@ -1,8 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Segments of every whole text (its lines; of lines of over LONG words, overlapping windows) are compared with license
-templates by the cosine of TF-IDF vectors; document frequencies count all files. The best segment at THRESHOLD or
-above gives a file its license. A file without one inherits from the nearest directory at or above its own that has a
+templates by the cosine of TF-IDF vectors; document frequencies count all files. So are windows of the whole text, across
+its lines, that are as long as a template and overlap by seven eighths, with the short notices and with licence texts and
+file headers; only those windows that can reach the threshold are. The best segment at THRESHOLD or above gives a file
+its license. A file without one inherits from the nearest directory at or above its own that has a
 licence file (LICENSE, COPYING or NOTICE, with any ending) with a license.
 
 Rows: a null text has no license of its own; a null path has no directory and inherits nothing; repeated rows are
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import hot_keys, materialize, salted_join, table
+from heliograph.llm.license_texts import TEXTS
 from heliograph.llm.wordops import ALNUM, hash_bytes, texts_of, words
 
 # Short notices by which files state their license.
@@ -40,13 +43,17 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 THRESHOLD = 0.7
+#: What windows are compared with; lines are with TEMPLATES, which come first.
+ALL = TEMPLATES + TEXTS
+#: Words whose windows are held at a time.
+STRETCH = 100_000
 #: Lines of more words are cut in windows of LONG words that overlap by half.
 LONG = 32
 LICENCE_FILE = r"(?i)(^|/)(LICEN[CS]E|COPYING|NOTICE)[^/]*$"
 
 
-def _template_terms() -> tuple[np.ndarray, list[np.ndarray]]:
-    each = [words(np.frombuffer(t.encode(), np.uint8), ALNUM) for _, t in TEMPLATES]
+def _template_terms(templates: tuple = ALL) -> tuple[np.ndarray, list[np.ndarray]]:
+    each = [words(np.frombuffer(t.encode(), np.uint8), ALNUM) for _, t in templates]
     return np.unique(np.concatenate(each)), each
 
 
@@ -66,13 +73,22 @@ def document_frequencies(files: DataFrame, text: str = "text") -> tuple[int, np.
     return got.get(-1, 0), np.array([got.get(k, 0) for k in range(len(vocabulary))])
 
 
+def _rows(vocabulary: np.ndarray, each: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    rows = np.stack([np.bincount(np.searchsorted(vocabulary, w), minlength=len(vocabulary)) for w in each]) * idf
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 class Matcher:
-    def __init__(self, n: int, df: np.ndarray):
-        self.vocabulary, each = _template_terms()
-        self.idf = np.log((n + 1) / (df + 1)) + 1
-        self.rare = math.log(n + 1) + 1
-        rows = np.stack([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary)) for w in each]) * self.idf
-        self.rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    def __init__(self, n: int, df: np.ndarray, threshold: float = THRESHOLD):
+        self.rare, self.threshold = math.log(n + 1) + 1, threshold
+        self.all_words, each = _template_terms()
+        self.all_idf = np.log((n + 1) / (df + 1)) + 1
+        self.all_rows = _rows(self.all_words, each, self.all_idf)
+        self.squares = np.ascontiguousarray((self.all_rows**2).T)
+        self.lengths = [len(x) for x in each]
+        self.vocabulary, each = _template_terms(TEMPLATES)
+        self.idf = self.all_idf[np.searchsorted(self.all_words, self.vocabulary)]
+        self.rows = _rows(self.vocabulary, each, self.idf)
 
     def best(self, data: np.ndarray | None) -> tuple[int, float]:
         """(template, cosine) of the best segment; (-1, 0) if none has two template terms."""
@@ -81,6 +97,58 @@ class Matcher:
         w, starts, _ = hash_bytes(data, ALNUM)
         if not len(w):
             return -1, 0.0
+        line, window = self._lines(data, w, starts), self._windows(w)
+        return window if window[1] > line[1] + 1e-12 else line
+
+    def _windows(self, w: np.ndarray) -> tuple[int, float]:
+        """(template, cosine) of the best window of the whole text; windows below the threshold may be left out."""
+        at = np.searchsorted(self.all_words, w)
+        at[at == len(self.all_words)] = 0
+        known = self.all_words[at] == w
+        # a cosine is at most the length of the part of a template's vector that is there
+        there = np.zeros(len(self.all_words), bool)
+        there[at[known]] = True
+        best = (-1, 0.0)
+        for t in np.flatnonzero(self.squares[there].sum(axis=0) >= self.threshold**2 - 1e-9).tolist():
+            for lo in range(0, len(w), STRETCH):
+                part = slice(lo, lo + STRETCH + self.lengths[t])
+                got = self._window(t, w[part], at[part], known[part])
+                if got > best[1] + 1e-12:
+                    best = (t, got)
+        return best
+
+    def _window(self, t: int, w: np.ndarray, at: np.ndarray, known: np.ndarray) -> float:
+        """Cosine of the best window with template ``t``, 0 if that is below the threshold."""
+        step = max(1, self.lengths[t] // 8)
+        width = -(-self.lengths[t] // step)  # blocks in a window
+        terms = np.flatnonzero(self.all_rows[t])
+        blocks = np.arange(len(w)) // step
+        column = np.full(len(self.all_words), -1)
+        column[terms] = np.arange(len(terms))
+        own = np.where(known, column[at], -1)
+        n = int(blocks[-1]) + 1
+        counts = np.bincount(blocks[own >= 0] * len(terms) + own[own >= 0], minlength=n * len(terms)).reshape(n, len(terms))
+        idf = np.where(known, self.all_idf[at], self.rare)
+        other = np.bincount(blocks, np.where(own < 0, idf**2, 0), n)
+        first = np.arange(max(1, n - width + 1))
+        last = np.minimum(first + width, n)
+        sums, others = np.concatenate([np.zeros((1, len(terms))), counts.cumsum(axis=0)]), np.concatenate([[0], other.cumsum()])
+        tf = (sums[last] - sums[first]) * self.all_idf[terms]
+        # other words count at least once each: no cosine is more than this
+        most = tf @ self.all_rows[t, terms] / np.sqrt(np.maximum((tf**2).sum(axis=1) + others[last] - others[first], 1e-9))
+        best = 0.0
+        for k in np.argsort(-most, kind="stable"):
+            if most[k] < max(best, self.threshold) - 1e-9:
+                break
+            a, b = first[k] * step, min(len(w), last[k] * step)
+            strange = own[a:b] < 0
+            _, which, count = np.unique(w[a:b][strange], return_index=True, return_counts=True)
+            norm = (tf[k] ** 2).sum() + ((count * idf[a:b][strange][which]) ** 2).sum()
+            best = max(best, float(tf[k] @ self.all_rows[t, terms] / math.sqrt(norm)))
+        return best if best >= self.threshold - 1e-9 else 0.0
+
+    def _lines(self, data: np.ndarray, w: np.ndarray, starts: np.ndarray) -> tuple[int, float]:
+        """(template, cosine) of the best line, or window of a long line, with the short notices."""
         at = np.searchsorted(self.vocabulary, w)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == w
@@ -108,14 +176,14 @@ class Matcher:
 
 def own_licenses(files: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``files`` with own_license and cosine (of the best segment) added."""
-    matcher = files.sparkSession.sparkContext.broadcast(Matcher(*document_frequencies(files, text)))
+    matcher = files.sparkSession.sparkContext.broadcast(Matcher(*document_frequencies(files, text), threshold))
 
     @F.arrow_udf("struct<template:int,cosine:double>")
     def match(column: pa.Array) -> pa.Array:
         got = [matcher.value.best(d) for d in texts_of(column)]
         return pa.StructArray.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([c for _, c in got], pa.float64())], names=["template", "cosine"])
 
-    names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
+    names = F.array(*[F.lit(n) for n, _ in ALL])
     found = files.withColumn("_m", match(F.col(text)))
     return found.withColumn("own_license", F.when(F.col("_m.cosine") >= threshold, F.get(names, F.col("_m.template")))).withColumn("cosine", F.col("_m.cosine")).drop("_m")
 

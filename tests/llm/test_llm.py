@@ -3,13 +3,14 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.llm import decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, secret_scan, token_scan, toxicity, url_filter, wordops
+from heliograph.llm import decontaminate, embedding_dedup, language_id, license_scan, license_texts, minhash_dedup, mixing, secret_scan, token_scan, toxicity, url_filter, wordops
 from heliograph.llm.components import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -412,6 +413,20 @@ def test_licenses(spark):
     assert license_scan.inherit(license_scan.own_licenses(d.filter("false"))).count() == 0
 
 
+def test_license_texts(spark):
+    """Licence texts and headers, wrapped over lines and among other text."""
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    wrap = lambda t, mark="": "\n".join(mark + line for line in textwrap.wrap(t, 70))
+    texts = [(n, "%s\n\n%s\n\n%s\n" % ("Copyright (c) 2020 Some One", wrap(t, mark), wrap(warranty, mark) + "\nint main() { return 0; }" * 50)) for n, t in license_texts.TEXTS for mark in ("", " * ", "# ")]
+    texts += [(n, "int x;\n" * 20 + "\n".join(t.split()) + "\nint y;" * 20) for n, t in license_scan.TEMPLATES]
+    files = [(f"d{k}/LICENSE", t) for k, (_, t) in enumerate(texts)] + [(f"d{k}/x.py", "plain words of the program") for k in range(len(texts))]
+    files += [(f"none{k}/x.py", " ".join(np.random.default_rng(k).permutation(warranty.split() * 3))) for k in range(5)] + [("none/y.py", "words of the license for the software and a copy " * 300)]
+    got = {r.path: r.license for r in license_scan.inherit(license_scan.own_licenses(spark.createDataFrame(files, "path string, text string"))).collect()}
+    assert [got[f"d{k}/LICENSE"] for k in range(len(texts))] == [n for n, _ in texts]
+    assert [got[f"d{k}/x.py"] for k in range(len(texts))] == [n for n, _ in texts]
+    assert all(v is None for k, v in got.items() if k.startswith("none"))
+
+
 @pytest.mark.parametrize("block", [3, 64])
 def test_tokens(spark, block, tmp_path):
     texts = ["hello world", None, "", "x" * 3000, "a b c " * 50, "<|endoftext|> as text", "hello world"]
