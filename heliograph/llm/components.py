@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialize
+from heliograph.llm.common import hot_keys, materialize, salted_join
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(id, component_id) for each id that has an edge to another; component_id is the smallest id reachable.
 
     Each step links nodes to the smallest node that they know of. A node's links are merged on the map side before they
-    are dealt; rows here are pairs of numbers, and Spark splits the join where a node has very many of them. Edges with a null end, and loops, are passed over.
+    are dealt, and the rows of a node with very many links are dealt over several tasks. Edges with a null end, and loops, are
+    passed over.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = materialize(edges)
@@ -32,8 +33,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("m", "x"))
-    joined = both.join(low.select("x", "m"), "x")
+    low = materialize(both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "x")))
+    joined = salted_join(both, low.select("x", "m"), "x", hot_keys(low, "x", "n"), spread="y")
     if large:
         out = joined.filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:

@@ -2,21 +2,23 @@
 
 Words (runs of letters and digits, A-Z lower-cased) are the symbols. The CGK walk maps a sequence to one of steps: at
 each step it writes the symbol it stands on, and moves on by a random bit that depends on step and symbol; sequences of
-small edit distance then agree at most steps. Items are put in classes of like length; from each word of a document a
-walk as long as the class's items runs, and several tables sample a few of its steps each. Their number is raised until
-simulated edits at the threshold are found as often as ``target`` asks. Windows that share a sample with an item are
-verified by the exact edit distance of the item to the best substring near the window. Classes that MOST_TABLES tables
-don't find often enough have none: there, all places with as many runs of an item as edits must leave whole are verified.
-
-A window is walked only if a short run of words that an item has lies where such a window would have it: edits within
+small edit distance then agree at many steps, their Hamming distance. Items are put in classes of like length; a walk is
+STEPS times as long as the class's shortest item, so that it passes over all of an item's words and into padding. Windows
+of a document are as long as that item, and walk the same way. Several walks, and of each several tables that sample a few
+of its steps, are laid on; their number is raised until simulated edits at the threshold, at random places and in one piece
+at either end, are each found as often as ``target`` asks. Windows that share a sample with an item are verified by the
+exact edit distance of the item to the best substring near the window. Classes that MOST_WALKS walks don't find often enough
+have no tables: there, all places with as many runs of an item as edits must leave whole are verified.
+
+A window is walked only if a short run of words that some item has lies where such a window would have it: edits within
 the threshold leave at least one run of each item whole, and can't move it by more than their number. Windows may start
 before a document, in the padding that parts documents, for items that have lost their first words.
-Benchmarks are read in blocks of bounded size, each of them against all documents.
+Benchmarks are read in blocks of bounded size, each of them against all documents in a pass of its own.
 
 A document and an item match if the item is within (1 - similarity) * its length of word edits of a substring of the
-document. Rows: null and wordless texts match nothing, nor do null and wordless items; items of fewer than SHORT words
-match as they stand; repeated rows match each for itself; empty tables give an empty result; further columns are kept
-by ``clean``.
+document. Rows: null and wordless texts match nothing, nor do null and wordless items, nor items without an id; items of
+fewer than SHORT words match as they stand; repeated rows match each for itself; texts may be of any length; empty tables
+give an empty result; further columns of any name are kept by ``clean`` and left out by ``contaminated``.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from heliograph.llm.common import table
 from heliograph.llm.wordops import ALNUM, mix, texts_of, words
 
-#: Items that are held at a time.
-BLOCK_ITEMS = 20_000
-#: Steps sampled a table, tables at first and at most, walks, and the ratio of lengths in a class.
-SAMPLED, TABLES, MOST_TABLES, WALKS, RATIO = 3, 16, 256, 4, 1.25
+#: Words of items that are held at a time: an index takes some 100 bytes a word.
+BLOCK_WORDS = 1_000_000
+#: Steps of a walk for each word, steps sampled a table, tables a walk, walks at most, and the ratio of lengths in a class.
+STEPS, SAMPLED, TABLES, MOST_WALKS, RATIO = 3, 2, 4, 64, 1.25
+#: Starts about a place that the simulation tries: fewer than a search does.
+TRIED = 5
 SHORT = 5
 
 
@@ -58,25 +63,28 @@ def allowed(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9) if n >= SHORT else 0
 
 
-def walk(symbols: np.ndarray, starts: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """(steps, starts) symbols of the CGK walks from ``starts``; ``symbols`` ends in enough padding."""
+def walk(symbols: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """(steps, starts) symbols of the CGK walks over ``size`` symbols from each of ``starts``, then over padding (0)."""
+    steps = STEPS * size
     out = np.empty((steps, len(starts)), np.uint64)
-    at = starts.copy()
+    at, stop = starts.copy(), starts + size
     for j in range(steps):
         s = symbols[at]
+        s[at >= stop] = 0
         out[j] = s
         bit = (s ^ np.uint64((seed * 1_000_003 + j * 7_919 + 12_345) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD1B54A32D192ED03)
-        at = at + (bit >> np.uint64(63)).astype(np.int64)
+        at = np.minimum(at + (bit >> np.uint64(63)).astype(np.int64), stop)
     return out
 
 
 @dataclass
 class Class:
-    """Items of like length. tables: for each, (walk, steps, sorted keys, items in their order); none if they miss the target."""
+    """Items of like length. walks: (seed, tables), a table: (steps, sorted keys, items in their order); none if they miss the target."""
 
     low: int
     high: int
-    tables: list = field(default_factory=list)
+    walks: list = field(default_factory=list)
+    recall: float = 0.0  # simulated, of the kind of edits found least
 
 
 @dataclass
@@ -86,14 +94,20 @@ class Index:
     items: list[np.ndarray]
     runs: dict  # length of a run -> (sorted hashes, item, offset)
     classes: list[Class]
-    recall: dict
+
+    def recall_of(self, item: int) -> float:
+        """What was simulated for an item's class; 1 where all places are verified."""
+        c = self.classes[int(np.searchsorted([c.low for c in self.classes], len(self.items[item]), side="right")) - 1]
+        return c.recall if c.walks else 1.0
 
 
-def _key(outputs: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    h = np.zeros(outputs.shape[1], np.uint64)
+def _key(outputs: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the sampled symbols, whether none of them is padding)."""
+    h, whole = np.zeros(outputs.shape[1], np.uint64), np.ones(outputs.shape[1], bool)
     for s in steps:
         h = mix(h) + outputs[s]
-    return mix(h)
+        whole &= outputs[s] != 0
+    return mix(h), whole
 
 
 def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -133,7 +147,13 @@ def runs_of(w: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: float = 0.95, seed: int = 3) -> Index:
+def _stream(parts: list[np.ndarray], pad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts end to end with padding about them, and where each starts."""
+    starts = np.cumsum([len(pad)] + [len(p) + len(pad) for p in parts])[:-1]
+    return np.concatenate([pad, *(x for p in parts for x in (p, pad))]), starts
+
+
+def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: float = 0.98, seed: int = 3) -> Index:
     classes: list[Class] = []
     lengths = sorted({len(i) for i in items if len(i)})
     while lengths:
@@ -141,40 +161,37 @@ def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: f
         high = max(n for n in lengths if n <= max(low, low * RATIO))
         classes.append(Class(low, high))
         lengths = [n for n in lengths if n > high]
-    recall = {}
     for c in classes:
         members = [k for k, i in enumerate(items) if c.low <= len(i) <= c.high]
         rng = np.random.default_rng(seed + c.low)
-        samples = min(SAMPLED, c.low)
-        plan = []
-        pad = np.zeros(max(c.low, allowed(c.high, similarity)) + 2, np.uint64)
-        probes = [(items[k], *p) for k in (members * 200)[:200] for p in _probes(items[k], allowed(len(items[k]), similarity), rng)]
+        pad = np.zeros(c.high + allowed(c.high, similarity) + TRIED, np.uint64)
+        # members may be few: each is edited again, in other ways
+        drawn = [members[k % len(members)] for k in range(60)]
+        probes = [(items[k], *p) for k in drawn for p in _probes(items[k], allowed(len(items[k]), similarity), rng)]
         kinds = np.unique([kind for _, kind, *_ in probes], return_inverse=True)[1]
-        sides = []
-        for parts in ([a for a, *_ in probes], [b for *_, b, _ in probes]):
-            parts = [x for part in parts for x in (pad, part)] + [pad]
-            sides.append((np.concatenate(parts), np.cumsum([len(x) for x in parts])[:-1:2]))
-        # a window starts where the item would, or next to that
-        near = np.minimum(np.arange(4)[None, :] - np.array([[cut] for *_, cut in probes]), np.array([[len(b) - 1] for *_, b, _ in probes]))
-        starts = (sides[1][1][:, None] + near).ravel()
-        walked = [(walk(*sides[0], c.low, seed + w), walk(sides[1][0], starts, c.low, seed + w)) for w in range(WALKS)]
-        found, reached = np.zeros(len(probes), bool), 0.0
-        while len(plan) < MOST_TABLES and (len(plan) < TABLES or reached < target):
-            w = len(plan) % WALKS
-            steps = np.sort(rng.choice(c.low, samples, replace=False))
-            plan.append((w, steps))
-            found |= (_key(walked[w][1], steps).reshape(len(probes), 4) == _key(walked[w][0], steps)[:, None]).any(axis=1)
-            reached = float((np.bincount(kinds, found) / np.bincount(kinds)).min())  # of the kind found least
-        recall[c.low] = reached
-        if reached < target:
-            continue
-        stream = np.concatenate([x for k in members for x in (items[k], pad)])
-        starts = np.cumsum([0] + [len(items[k]) + len(pad) for k in members])[:-1]
-        walks = [walk(stream, starts, c.low, seed + w) for w in range(WALKS)]
-        for w, steps in plan:
-            keys = _key(walks[w], steps)
-            order = np.argsort(keys, kind="stable")
-            c.tables.append((w, steps, keys[order], np.array(members)[order]))
+        whole, at = _stream([p[0] for p in probes], pad)
+        edited, place = _stream([p[2] for p in probes], pad)
+        # a window starts where the item would, or near that
+        starts = ((place - np.array([p[3] for p in probes]))[:, None] + np.arange(TRIED)[None, :] - TRIED // 2).ravel()
+        stream, begin = _stream([items[k] for k in members], pad)
+        found = np.zeros(len(probes), bool)
+        while c.recall < target and len(c.walks) < MOST_WALKS:
+            no = len(c.walks) + 1000 * seed
+            a, b, mine = walk(whole, at, c.low, no), walk(edited, starts, c.low, no), walk(stream, begin, c.low, no)
+            tables = []
+            for _ in range(TABLES):
+                # a walk is half through the item after as many steps as it has words, and at its end after twice as many
+                steps = np.sort(rng.choice(min(2 * c.low, STEPS * c.low), min(SAMPLED, c.low), replace=False))
+                (x, ok), (y, fine), (keys, use) = (_key(w, steps) for w in (a, b, mine))
+                hit = (y.reshape(len(probes), TRIED) == x[:, None]) & fine.reshape(len(probes), TRIED) & ok[:, None]
+                found |= hit.any(axis=1)
+                use = np.flatnonzero(use)
+                order = use[np.argsort(keys[use], kind="stable")]
+                tables.append((steps, keys[order], np.array(members)[order]))
+            c.walks.append((no, tables))
+            c.recall = float((np.bincount(kinds, found) / np.bincount(kinds)).min())  # of the kind found least
+        if c.recall < target:
+            c.walks = []
     runs = {}
     for n in (1, 2, 3):
         parts = [(runs_of(i, n), np.full(len(i) - n + 1, k), np.arange(len(i) - n + 1)) for k, i in enumerate(items) if len(i) and whole_run(len(i), similarity) == n]
@@ -182,7 +199,7 @@ def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: f
             h, item, offset = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
             runs[n] = h[order], item[order], offset[order]
-    return Index(similarity, ids, items, runs, classes, recall)
+    return Index(similarity, ids, items, runs, classes)
 
 
 def _places(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -213,14 +230,14 @@ def _places(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray)
         yield int(doc[first]), int(owner[first]), int(spot[first]) - edits, int(spot[end]) + edits
 
 
-def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[int, int, int, int]]:
+def matches(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
     """(document, item, distance, start of the match) for each item found in each of ``docs``, lists of words.
 
     Documents are laid end to end, padded apart, so that all steps run over many of them at once.
     """
     if not index.runs or not any(len(d) for d in docs):
         return []
-    gap = np.zeros(max(max(c.low, allowed(c.high, index.similarity)) for c in index.classes) + 2, np.uint64)
+    gap = np.zeros(max(c.high + allowed(c.high, index.similarity) for c in index.classes) + 2, np.uint64)
     stream = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
     sizes = np.array([len(d) for d in docs])
     begin = len(gap) + np.concatenate([[0], np.cumsum(sizes + len(gap))[:-1]])
@@ -260,7 +277,7 @@ def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[i
             found.add((doc, item))
             out.append((doc, item, distance, int(origin + end - back - begin[doc])))
 
-    exact = np.isin(np.searchsorted([c.low for c in index.classes], lengths, side="right") - 1, [j for j, c in enumerate(index.classes) if not c.tables])
+    exact = np.isin(np.searchsorted([c.low for c in index.classes], lengths, side="right") - 1, [j for j, c in enumerate(index.classes) if not c.walks])
     mine = exact[owner]
     for task in _places(index, spot[mine], owner[mine], np.searchsorted(begin, place[mine], side="right") - 1):
         verify(*task)
@@ -277,17 +294,20 @@ def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[i
         starts = starts[(inside >= 0) & (starts < begin[inside] + sizes[inside])]
         for lo in range(0, len(starts), 50_000):
             part = starts[lo : lo + 50_000]
-            walks = [walk(stream, part, c.low, seed + w) for w in range(WALKS)]
             hits = []
-            for w, steps, keys, items in c.tables:
-                key = _key(walks[w], steps)
-                left = np.searchsorted(keys, key)
-                left[left == len(keys)] = 0
-                at = np.flatnonzero(keys[left] == key)
-                if len(at):
-                    count = np.searchsorted(keys, key[at], side="right") - left[at]
-                    which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left[at], count)
-                    hits.append(np.stack([np.repeat(part[at], count), items[which]], 1))
+            for no, tables in c.walks:
+                walked = walk(stream, part, c.low, no)
+                for steps, keys, items in tables:
+                    if not len(keys):
+                        continue
+                    key, whole = _key(walked, steps)
+                    left = np.searchsorted(keys, key)
+                    left[left == len(keys)] = 0
+                    at = np.flatnonzero((keys[left] == key) & whole)
+                    if len(at):
+                        count = np.searchsorted(keys, key[at], side="right") - left[at]
+                        which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left[at], count)
+                        hits.append(np.unique(np.stack([np.repeat(part[at], count), items[which]], 1), axis=0))
             if not hits:
                 continue
             for start, item in np.unique(np.concatenate(hits), axis=0).tolist():
@@ -296,12 +316,13 @@ def matches(index: Index, docs: list[np.ndarray], seed: int = 3) -> list[tuple[i
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, similarity: float) -> Iterator[Index]:
-    """Indexes over blocks of about BLOCK_ITEMS items, one at a time."""
+    """Indexes over blocks of about BLOCK_WORDS words of items, one at a time."""
     named = benchmark.select(F.col(item).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    blocks = max(1, -(-named.count() // BLOCK_ITEMS))
+    # a word and what parts it take two bytes at least
+    blocks = max(1, -(-(named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * BLOCK_WORDS)))
     for k in range(blocks):
         rows = named.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
-        rows = sorted(rows, key=lambda r: r["id"])
+        rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
         items = [(r["id"], words(np.frombuffer(r["text"].encode(), np.uint8), ALNUM)) for r in rows]
         items = [(i, w) for i, w in items if len(w)]
         yield build([i for i, _ in items], [w for _, w in items], similarity)
@@ -320,10 +341,14 @@ def _all(index: Index, column: pa.Array, most: int = 300_000) -> list[tuple[int,
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", similarity: float = 0.8) -> DataFrame:
-    """id, item, distance, similarity, word_start: a row for each document and item that match."""
+    """id, item, distance, similarity, word_start, recall: a row for each document and item that match.
+
+    recall: the share of simulated edits at the threshold that the item's index found.
+    """
     spark, out = docs.sparkSession, None
     types = dict(docs.dtypes)[id], dict(benchmark.dtypes)[item]
-    schema = f"`{id}` {types[0]}, `{item}` {types[1]}, distance int, similarity double, word_start long"
+    kind = to_arrow_type(benchmark.schema[item].dataType)
+    schema = f"`{id}` {types[0]}, `{item}` {types[1]}, distance int, similarity double, word_start long, recall double"
     for index in _blocks(benchmark, item, "text", similarity):
         shared = spark.sparkContext.broadcast(index)  # at most about BLOCK_ITEMS items
 
@@ -333,8 +358,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
                 rows = _all(index, b.column(1))
                 sims = [1 - d / len(index.items[i]) for _, i, d, _ in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array([r for r, *_ in rows], pa.int64())), pa.array([index.ids[i] for _, i, _, _ in rows], pa.int64() if types[1] == "bigint" else None), pa.array([d for _, _, d, _ in rows], pa.int32()), pa.array(sims, pa.float64()), pa.array([s for *_, s in rows], pa.int64())],
-                    names=[id, item, "distance", "similarity", "word_start"],
+                    [b.column(0).take(pa.array([r for r, *_ in rows], pa.int64())), pa.array([index.ids[i] for _, i, _, _ in rows], kind), pa.array([d for _, _, d, _ in rows], pa.int32()), pa.array(sims, pa.float64()), pa.array([s for *_, s in rows], pa.int64()), pa.array([index.recall_of(i) for _, i, _, _ in rows], pa.float64())],
+                    names=[id, item, "distance", "similarity", "word_start", "recall"],
                 )
 
         one = docs.select(id, text).mapInArrow(run, schema)

@@ -198,7 +198,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     comps = connected_components(links)
     by_node = nodes.select("key", "node", "copies").join(counted, "node", "left").join(comps.select(F.col("id").alias("node"), "component_id"), "node", "left")
     by_node = by_node.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-    hot = hot_keys(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("key is not null"), "key", "c", total)
+    hot = hot_keys(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("key is not null"), "key", "c")
     out = salted_join(keyed.select("id", "key"), by_node, "key", hot, "left", spread="id")
     known = F.col("id").isNotNull()
     out = out.select(F.col("id").alias(id), F.when(known, F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"))

@@ -205,9 +205,9 @@ def inherit(licensed: DataFrame, path: str = "path") -> DataFrame:
     parts = F.split("_dir", "/")
     above = counted.select("_dir", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("_dir") != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array()))).alias("holder"))
     sizes = above.groupBy("holder").agg(F.count(F.lit(1)).alias("m"))
-    found = salted_join(above, holders, "holder", hot_keys(sizes, "holder", "m", above.count()), spread="_dir")
+    found = salted_join(above, holders, "holder", hot_keys(sizes, "holder", "m"), spread="_dir")
     nearest = found.groupBy("_dir").agg(F.max(F.struct(F.length("holder"), "holder", "dir_license")).alias("b")).select("_dir", F.col("b.holder").alias("_holder"), F.col("b.dir_license").alias("_inherited"))
-    hot = hot_keys(counted, "_dir", "n", licensed.count())
+    hot = hot_keys(counted, "_dir", "n")
     out = salted_join(dirs_of, nearest, "_dir", hot, "left", spread=path)
     own = F.col("own_license").isNotNull()
     return out.withColumn("license", F.coalesce("own_license", "_inherited")).withColumn("license_from", F.when(own, F.col(path)).otherwise(F.col("_holder"))).drop("_dir", "_holder", "_inherited")

@@ -2,16 +2,20 @@
 
 Texts with equal shingle sets form a class first, so exact copies cost one row each. Of each class one document's
 minima are kept: 7-row bands (for a similarity of 0.85) give candidate buckets, and the packed low bits of all minima
-give a collision-corrected estimate by bit counts. Buckets of any size are dealt in cells of bounded size that cover
-all their pairs; a cell hands on only a spanning forest of its plausible pairs, which are confirmed on the full sets.
-Where some fail, the components that they would have joined are dealt in cells again, with the full sets, and each cell
-hands on a forest of the links that it confirms between them. So no group is expanded into all its pairs, and no link
-between different texts is lost but by the bands (one in a million at the threshold) or the estimate's margin of 3.5
-standard deviations.
+give a collision-corrected estimate by bit counts. Small buckets are one cell, which hands on only a spanning forest of its
+plausible pairs; these are confirmed on the full sets. In larger buckets each member is held against PIVOTS of them first
+and handed on with the most similar one; members that this doesn't bring into the bucket's main component are left over,
+and are dealt with the others in cells of bounded size, which cover all pairs that have a left-over member. Where links
+fail, the components that they would have joined are dealt in cells in the same way, with the full sets, and each cell
+hands on a forest of the links that it confirms between them. So a group of near copies costs a few rows a member, and no
+link between different texts is lost but by the bands (one in a million at the threshold) or the estimate's margin of 3.5
+standard deviations. What remains as the product of sizes is a bucket whose members are alike to the bands, but are not
+near copies.
 
 Rows: a null or wordless text has an empty set and links with nothing; with fewer words than a shingle has, the whole
-sequence is one; a null id links with nothing and is kept; rows that share an id are one document; an empty table gives
-an empty result. Only the id and text columns are read.
+sequence is one; a null id links with nothing and is kept (its component is null); rows that share an id and a text are one
+document, rows that share an id only are each linked by their own text and have that id in common; an empty table gives an empty result. Only the id and text
+columns are read; ``keep_one`` keeps all columns, of any names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import hot_keys, materialize, partitions_for, salted_join, table
@@ -31,10 +35,12 @@ from heliograph.llm.wordops import mix, shingles, texts_of, words
 #: Minima a document, and low bits kept of each.
 MINIMA, BITS = 256, 2
 _PER_WORD = 64 // BITS
-#: Most documents of a bucket in a side of a cell.
-SIDE = 512
-#: The same where rows carry full sets.
-FULL_SIDE = 256
+#: Most documents of a bucket in a side of a cell, and members of a larger bucket that all others are held against.
+SIDE, PIVOTS = 128, 4
+#: Most in a side where rows carry full sets.
+FULL_SIDE = 128
+#: A cell's number is that of its lower side times this, plus its higher side.
+_CELL = 1_000_000_000
 #: Ids that may be broadcast: 8 bytes each.
 FEW_IDS = 500_000
 _rng = np.random.default_rng(20240229)
@@ -134,7 +140,7 @@ def _by_cell(of_cell, columns: tuple[str, ...]):
             for s, e in zip(cuts[:-1], cuts[1:]):
                 if e - s > 1:
                     sets = t.column("set").slice(s, e - s) if "set" in t.column_names else None
-                    got = of_cell({c: v[s:e] for c, v in plain.items()} | {"sig": sig[s:e], "set": sets}, cell[s] // 1_000_000 != cell[s] % 1_000_000)
+                    got = of_cell({c: v[s:e] for c, v in plain.items()} | {"sig": sig[s:e], "set": sets}, cell[s] // _CELL != cell[s] % _CELL)
                     if got is not None and len(got[0]):
                         found.append(got)
                         held += len(got[0])
@@ -262,11 +268,93 @@ def _confirm(percent: int):
     return run
 
 
-def _cells(grouped: DataFrame, most: int) -> DataFrame:
-    """Rows (key, n: size of the key's group, id, ...) dealt in cells of at most about ``most`` rows a side, which cover all pairs."""
-    sided = grouped.withColumn("sides", F.ceil(F.col("n") / most).cast("int")).withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-    other = F.explode(F.when(F.col("sides") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1)))
-    return sided.withColumn("other", other).withColumn("cell", (F.least("side", "other") * 1_000_000 + F.greatest("side", "other")).cast("long"))
+def _plausible(low_est: float):
+    """mapInArrow over (key, id, sig, pivot, pivot_sig): the pairs whose estimate is at least ``low_est``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("sig", "pivot_sig"))
+            est = estimate(one, two)
+            keep = pa.array(est >= low_est)
+            yield pa.RecordBatch.from_arrays([b.column("key").filter(keep), b.column("id").filter(keep), b.column("pivot").filter(keep), pa.array(est).filter(keep)], names=["key", "id", "pivot", "est"])
+
+    return run
+
+
+def _cells(members: DataFrame, most: int) -> DataFrame:
+    """Cells of at most about ``most`` rows a side over rows (key, id, main, ...) that cover all pairs but those of two main ones.
+
+    Left-over rows are dealt to sides 0, 1, ..., main ones to sides after them; cell i, j has the rows of both sides, and
+    there is one for each i that is left over.
+    """
+    sizes = materialize(members.groupBy("key").agg(F.count_if(~F.col("main")).alias("left"), F.count_if("main").alias("mains")))
+    sizes = sizes.filter("left > 0").select("key", F.ceil(F.col("left") / most).cast("int").alias("ls"), F.ceil(F.col("mains") / most).cast("int").alias("ms"), (F.col("left") + F.col("mains")).alias("n"))
+    sided = salted_join(members, sizes.select("key", "ls", "ms"), "key", hot_keys(sizes, "key", "n"), spread="id")
+    sided = sided.withColumn("side", F.when(F.col("main"), F.col("ls") + F.pmod(F.xxhash64("id"), F.col("ms")).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.col("ls")).cast("int")))
+    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("ls")).otherwise(F.col("ls") + F.col("ms")) - 1)
+    return sided.withColumn("other", F.explode(others)).withColumn("cell", F.least("side", "other").cast("long") * _CELL + F.greatest("side", "other"))
+
+
+def _dealt(cells: DataFrame, spark) -> DataFrame:
+    return cells.repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
+
+
+class _Links:
+    """Confirmed links, and those that failed, of pairs that are handed in bit by bit."""
+
+    def __init__(self, source: DataFrame, n: int, percent: int):
+        self.source, self.n, self.percent = source, n, percent
+        self.tested = None
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, set) of distinct ``ids``; of rows that share an id, those with the same text are one."""
+        ids = materialize(ids)
+        texts = self.source.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+        return materialize(texts.mapInArrow(_full_sets(self.n), "id long, set binary").distinct())
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """All links confirmed so far, after the test of ``pairs`` (a, b)."""
+        pairs = materialize(pairs)
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+        sets, hot = self.sets(ids.select("id")), hot_keys(ids, "id", "n")
+
+        def with_set(of: DataFrame, end: str, other: str) -> DataFrame:
+            return salted_join(of, sets.select(F.col("id").alias(end), F.col("set").alias(f"s{end}")), end, hot, spread=other)
+
+        tested = with_set(with_set(pairs, "a", "b"), "b", "a").mapInArrow(_confirm(self.percent), "a long, b long, ok boolean")
+        tested = materialize(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")))
+        self.tested = tested if self.tested is None else self.tested.unionByName(tested)
+        return self.linked()
+
+    def linked(self) -> DataFrame:
+        return self.tested.filter("ok").select("a", "b")
+
+    def failed(self) -> DataFrame:
+        return self.tested.filter("not ok").select("a", "b")
+
+
+def _large_buckets(banded: DataFrame, sizes: DataFrame, sigs: DataFrame, low_est: float) -> tuple[DataFrame, DataFrame]:
+    """(key, id, sig of the members of buckets larger than SIDE, the pair of each member with its most similar pivot)."""
+    large = sizes.filter(F.col("n") > SIDE)
+    members = materialize(salted_join(banded, large.select("key"), "key", hot_keys(large, "key", "n"), spread="id").join(sigs, "id"))
+    # Spark keeps PIVOTS rows a key and task before the shuffle
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= PIVOTS)
+    pivots = materialize(first.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("pivots")))
+    held = salted_join(members, pivots, "key", hot_keys(large, "key", "n"), spread="id").select("key", "id", "sig", F.inline("pivots")).filter("id <> pivot")
+    near = held.mapInArrow(_plausible(low_est), "key long, id long, pivot long, est double")
+    best = near.groupBy("key", "id").agg(F.max(F.struct("est", (-F.col("pivot")).alias("p"))).alias("b")).select("id", (-F.col("b.p")).alias("pivot"))
+    return members, best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _with_main(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``members`` (key, id, ...) with ``comp`` (their component so far) and ``main`` (it is the largest of its key)."""
+    placed = materialize(members.join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"))
+    counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = materialize(counts.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("m"), F.sum("n").alias("n")).select("key", (-F.col("m.c")).alias("largest"), "n"))
+    out = salted_join(placed, largest.select("key", "largest"), "key", hot_keys(largest, "key", "n"), spread="id")
+    return out.withColumn("main", F.col("comp") == F.col("largest")).drop("largest")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words_a_shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -276,58 +364,53 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     low_est = threshold - margin(threshold)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = materialize(source.mapInArrow(_sketch(words_a_shingle, rows), "id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
-    total = sketched.count()
 
     # classes of equal sets
     real = sketched.filter("id is not null and set_key is not null")
-    classes = real.groupBy("set_key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes)
+    classes = materialize(real.groupBy("set_key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n")))
     reps = real.select("id", "set_key", "sig", "bands").join(classes.select("set_key", F.col("cls").alias("id")), ["set_key", "id"], "left_semi").dropDuplicates(["set_key"])
     reps = materialize(reps.select("id", "sig", "bands"))
+    sigs = reps.select("id", "sig")
 
-    # buckets of bands with two classes or more, in cells of bounded size
+    # buckets of bands with two classes or more: small ones in a cell each
     banded = reps.select("id", F.explode("bands").alias("key"))
     sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    hot = hot_keys(sizes, "key", "n", total)
-    in_cells = _cells(salted_join(banded, sizes, "key", hot, spread="id"), SIDE).select("key", "cell", "side", "id")
-    celled = in_cells.join(reps.select("id", "sig"), "id")
-    dealt = celled.select("key", "cell", "side", "id", "sig").repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
-    pairs = materialize(dealt.mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct())
-
-    # the forests' links are confirmed on the full sets
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
-    count, wanted = ids.count(), ids.select("id")
-    texts = source.join(F.broadcast(wanted) if count <= FEW_IDS else wanted, "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_full_sets(words_a_shingle), "id long, set binary").dropDuplicates(["id"]))
-    hot = hot_keys(ids, "id", "n", 2 * pairs.count())
-    one = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a", hot, spread="b")
-    two = salted_join(one, sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b", hot, spread="a")
-    tested = materialize(two.mapInArrow(_confirm(percent), "a long, b long, ok boolean"))
-    comps = connected_components(tested.filter("ok").select("a", "b"))
+    large = not sizes.filter(F.col("n") > SIDE).isEmpty()
+    small = banded.join(sizes.filter(F.col("n") <= SIDE).select("key"), "key").join(sigs, "id")
+    celled = small.select("key", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "id", "sig")
+    pairs = _dealt(celled, spark).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
+    links = _Links(source, words_a_shingle, percent)
+    if large:
+        members, best = _large_buckets(banded, sizes, sigs, low_est)
+        pairs = pairs.unionByName(best).distinct()
+    comps = connected_components(links.confirm(pairs))
+    if large:
+        cells = _cells(_with_main(members, comps), SIDE)
+        more = _dealt(cells.select("key", "cell", "side", "id", "sig"), spark).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
+        more = materialize(more.join(links.tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            comps = connected_components(links.confirm(more))
 
     # components that a failed link would have joined: other pairs of theirs may do so
-    def component(col: str) -> DataFrame:
-        return comps.select(F.col("id").alias(col), F.col("component_id").alias(f"c{col}"))
-
-    failed = tested.filter("not ok").join(component("a"), "a", "left").join(component("b"), "b", "left")
+    failed = links.failed()
+    for end in ("a", "b"):
+        failed = failed.join(comps.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}")), end, "left")
     failed = materialize(failed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
     if not failed.isEmpty():
         around = connected_components(failed).select(F.col("id").alias("comp"), F.col("component_id").alias("key"))
         around = materialize(around.unionByName(around.select(F.col("key").alias("comp"), "key")).distinct())
-        members = materialize(wanted.join(comps, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp")))
-        hot = hot_keys(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp", "n", count)
-        near = materialize(salted_join(members, around, "comp", hot, spread="id"))
-        sizes = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        near = salted_join(near, sizes, "key", hot_keys(sizes, "key", "n", count), spread="id")
-        cells = _cells(near, FULL_SIDE).select("key", "cell", "side", "id", "comp").join(reps.select("id", "sig"), "id").join(sets, "id")
-        dealt = cells.repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
-        more = materialize(dealt.mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
+        ids = links.tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = materialize(ids.join(comps, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp")))
+        hot = hot_keys(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp", "n")
+        near = materialize(salted_join(members, around, "comp", hot, spread="id").select("key", "id"))
+        cells = _cells(_with_main(near, comps), FULL_SIDE).select("key", "cell", "side", "id", "comp")
+        cells = cells.join(sigs, "id").join(links.sets(near.select("id").distinct()), "id")
+        more = materialize(_dealt(cells, spark).mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     # a class has its smallest id's component
-    by_class = classes.select("set_key", "cls", "n").join(comps.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select("set_key", "n", F.coalesce("component_id", "cls").alias("component_id"))
-    hot = hot_keys(classes, "set_key", "n", total)
-    out = salted_join(sketched.select("id", "n_shingles", "set_key"), by_class.select("set_key", "component_id"), "set_key", hot, "left", spread="id")
+    by_class = classes.select("set_key", "cls").join(comps.select(F.col("id").alias("cls"), "component_id"), "cls", "left").select("set_key", F.coalesce("component_id", "cls").alias("component_id"))
+    out = salted_join(sketched.select("id", "n_shingles", "set_key"), by_class, "set_key", hot_keys(classes, "set_key", "n"), "left", spread="id")
     out = out.select(F.col("id").alias(id), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
 

@@ -8,19 +8,19 @@ halves by a multivariate hypergeometric draw, so each shard gets disjoint stretc
 source's quotas add up exactly. Within a shard, blocks are ordered by a hash (the local shuffle).
 
 Sizes of sources and shards are a table of (sources x shards) numbers on the driver; sources are a list of at most
-MAX_SOURCES names, which is checked. Documents are never gathered: offsets come from sums by (source, bucket).
+MAX_SOURCES names, which is checked. Documents are never gathered: offsets come from sums by source, group of buckets, and bucket.
 
 Rows: a null text has no words; a null source is a source of its own, the last; rows that repeat are separate
-documents; sources without words have a target of 0; an empty table gives an empty result.
+documents; sources without words have a target of 0; an empty table gives an empty result; further columns are left out
+unless they are to be carried.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
 #: Words a block at least; it grows so that there are at most MOST_BLOCKS in all.
 BLOCK, MOST_BLOCKS = 256, 200_000_000
-#: Rows of a source aimed at in a bucket.
-BUCKET_ROWS = 250
+#: Rows of a source aimed at in a bucket, and buckets in a group.
+BUCKET_ROWS, GROUP = 250, 1024
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, limit: float = 2.0) -> list[float]:
@@ -120,16 +120,79 @@ def source_sizes(sized: DataFrame) -> list[tuple[str | None, int, int]]:
     return sorted(found, key=lambda r: (r[0] is None, r[0] or ""))
 
 
+def _starts(bucketed: DataFrame) -> DataFrame:
+    """``bucketed`` (source_no, bucket, id, size) with ``at``: the words before a row in its source's stream.
+
+    Offsets add up in three levels: rows of a bucket, buckets of a group, groups of a source. So no task sorts more than
+    a bucket's rows, GROUP buckets, or a source's groups.
+    """
+    run = lambda *by: Window.partitionBy(*by)
+    before = lambda w, *by: w.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = bucketed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("bucket") / GROUP))
+    groups = sums.groupBy("source_no", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("source_no", "group", F.coalesce(F.sum("words").over(before(run("source_no"), "group")), F.lit(0)).alias("group_start"))
+    inner = F.coalesce(F.sum("words").over(before(run("source_no", "group"), "bucket")), F.lit(0))
+    sums = sums.select("source_no", "group", "bucket", inner.alias("inner")).join(groups, ["source_no", "group"]).select("source_no", "bucket", (F.col("group_start") + F.col("inner")).alias("bucket_start"))
+    local = F.coalesce(F.sum("size").over(before(run("source_no", "bucket"), "id", "size")), F.lit(0))
+    return bucketed.withColumn("local", local).join(sums, ["source_no", "bucket"]).withColumn("at", F.col("bucket_start") + F.col("local")).drop("bucket", "local", "bucket_start")
+
+
+PIECES = "array<struct<shard:int,place:long,pass:int,start:long,words:long>>"
+
+
+def _draw(recipe: dict, sizes: list[int], block: int, seed: int):
+    """Arrow UDF: (source_no, at, size) -> the pieces of a document that the shards' quotas take.
+
+    A slot is a place in a source's order of one pass after another; the tree's cuts say which shard's quota holds it,
+    and a slot beyond all quotas isn't taken.
+    """
+
+    @F.arrow_udf(PIECES)
+    def pieces(no_: pa.Array, at_: pa.Array, size_: pa.Array) -> pa.Array:
+        no, at, size = (x.to_numpy(zero_copy_only=False) for x in (no_, at_, size_))
+        found = []
+        for k in np.unique(no):
+            rows = np.flatnonzero((no == k) & (size > 0))
+            cuts = recipe["cuts"][:, k]
+            if not len(rows) or not cuts[-1]:
+                continue
+            n = -(-sizes[k] // block)
+            first, last = at[rows] // block, (at[rows] + size[rows] - 1) // block
+            count = last - first + 1
+            doc = np.repeat(rows, count)
+            b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+            lo, hi = np.maximum(b * block, at[doc]), np.minimum((b + 1) * block, at[doc] + size[doc])
+            for e in range(recipe["passes"][k] + 1):
+                place = permuted(b, n, seed + 31 * int(k) + e)
+                slot = e * n + place
+                end = np.where(slot < cuts[-1], hi, lo)
+                if e == recipe["passes"][k]:  # the last slot may be taken in part
+                    end = np.where(place == recipe["full"][k], np.minimum(end, b * block + recipe["part"][k]), end)
+                use = np.flatnonzero(end > lo)
+                shard = np.searchsorted(cuts, slot[use], side="right")
+                salt = slot[use].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(k) * 0xBF58476D1CE4E5B9 % (1 << 64))
+                spot = ((salt ^ (salt >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).astype(np.int64)
+                found.append((doc[use], shard.astype(np.int32), spot, np.full(len(use), e, np.int32), lo[use] - at[doc[use]], end[use] - lo[use]))
+        doc, shard, spot, e, start, words = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 6
+        order = np.lexsort([start, e, doc])
+        offsets = np.searchsorted(doc[order], np.arange(len(no) + 1)).astype(np.int32)
+        parts = [pa.array(shard[order], pa.int32()), pa.array(spot[order], pa.int64()), pa.array(e[order], pa.int32()), pa.array(start[order], pa.int64()), pa.array(words[order], pa.int64())]
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, names=["shard", "place", "pass", "start", "words"]))
+
+    return pieces
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, id: str = "doc_id", text: str = "text", source: str = "source", shards: int = 64, seed: int = 7, carry: list[str] | None = None) -> DataFrame:
     """id, source, size, source_size, target, taken, pieces (and the columns ``carry``), a row a document.
 
-    pieces: array of (shard, place, pass, start, words): the stretches of the document that the mix takes. ``weights``
-    repeat over the sources.
+    pieces: array of (shard, place, pass, start, words): the stretches of the document that the mix takes, and where they
+    go; taken is the sum of their words. ``weights`` repeat over the sources. Columns to carry whose names the result
+    has itself are left out.
     """
     spark = docs.sparkSession
-    carry = carry or []
+    carry = [c for c in carry or [] if c not in (id, source, "size", "source_size", "target", "taken", "pieces")]
     kept = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *[F.col(c).alias(f"c_{n}") for n, c in enumerate(carry)])
-    sized = materialize(kept) if not carry else kept
+    sized = materialize(kept)  # words are counted once
     order = source_sizes(sized)
     total = sum(r[1] for r in order)
     block = max(BLOCK, -(-2 * total // MOST_BLOCKS))
@@ -138,53 +201,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     recipe = plan(sizes, goal, block, shards, seed)
     buckets = 1 << max(0, math.ceil(math.log2(max(1, max((r[2] for r in order), default=0) / BUCKET_ROWS))))
     names = spark.createDataFrame([(r[0], k, float(g), s) for k, (r, g, s) in enumerate(zip(order, goal, sizes))], "source string, source_no int, target double, source_size long")
-
-    # where each document starts in its source's stream
-    bucketed = sized.join(F.broadcast(names), sized["source"].eqNullSafe(names["source"])).drop(names["source"])
-    bucketed = bucketed.withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(buckets)))
-    sums = bucketed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("bucket_start"))
-    within = Window.partitionBy("source_no", "bucket").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = bucketed.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["source_no", "bucket"])
-    placed = placed.withColumn("at", F.col("bucket_start") + F.col("local")).drop("bucket", "local", "bucket_start")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            taken = np.zeros(len(pdf), np.int64)
-            pieces: list[list] = [[] for _ in range(len(pdf))]
-            no, at, size = (pdf[c].to_numpy() for c in ("source_no", "at", "size"))
-            for k in np.unique(no):
-                rows = np.flatnonzero((no == k) & (size > 0))
-                if not len(rows) or not recipe["slots"][k]:
-                    continue
-                n = -(-sizes[k] // block)
-                first, last = at[rows] // block, (at[rows] + size[rows] - 1) // block
-                count = last - first + 1
-                doc = np.repeat(rows, count)
-                b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-                lo, hi = np.maximum(b * block, at[doc]), np.minimum((b + 1) * block, at[doc] + size[doc])
-                cuts = recipe["cuts"][:, k]
-                for e in range(recipe["passes"][k] + 1):
-                    place = permuted(b, n, seed + 31 * int(k) + e)
-                    end = hi
-                    if e == recipe["passes"][k]:  # the last pass stops after some blocks, and inside one
-                        end = np.where(place < recipe["full"][k], hi, np.where(place == recipe["full"][k], np.minimum(hi, b * block + recipe["part"][k]), lo))
-                    use = np.flatnonzero(end > lo)
-                    if not len(use):
-                        continue
-                    words = end[use] - lo[use]
-                    np.add.at(taken, doc[use], words)
-                    shard = np.searchsorted(cuts, e * n + place[use], side="right")
-                    salt = (place[use].astype(np.uint64) + np.uint64(e * n)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(k) * 0xBF58476D1CE4E5B9 % (1 << 64))
-                    spot = ((salt ^ (salt >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(1)).astype(np.int64)
-                    for d, s, o, x, w in zip(doc[use].tolist(), shard.tolist(), spot.tolist(), (lo[use] - at[doc[use]]).tolist(), words.tolist()):
-                        pieces[d].append({"shard": s, "place": o, "pass": e, "start": x, "words": w})
-            yield pdf.drop(columns=["source_no", "at"]).assign(taken=taken, pieces=pieces)
-
-    fields = {f.name: f.dataType.simpleString() for f in placed.schema if f.name not in ("source_no", "at")}
-    schema = ", ".join(f"`{k}` {v}" for k, v in fields.items()) + ", taken long, pieces array<struct<shard:int,place:long,pass:int,start:long,words:long>>"
-    out = placed.mapInPandas(draw, schema)
+    bucketed = sized.join(F.broadcast(names), sized["source"].eqNullSafe(names["source"])).drop(names["source"])  # MAX_SOURCES rows
+    placed = _starts(bucketed.withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(buckets))))
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    out = placed.withColumn("pieces", _draw(recipe, sizes, block, seed)("source_no", "at", "size")).withColumn("taken", taken)
     return out.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "taken", "pieces", *[F.col(f"c_{n}").alias(c) for n, c in enumerate(carry)])
 
 
@@ -200,4 +220,4 @@ def shard_rows(docs: DataFrame, mixed: DataFrame, id: str = "doc_id", text: str
 
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "pieces")

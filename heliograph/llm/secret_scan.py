@@ -163,7 +163,7 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text", rules: t
         found = scanned.filter(F.size("findings") > 0).select("blob", "findings")
     paths = versions.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob"))
     counted = paths.groupBy("blob").count() if ledger is not None else scanned.select("blob", F.col("n").alias("count"))
-    hot = hot_keys(counted, "blob", "count", versions.count())
+    hot = hot_keys(counted, "blob", "count")
     by_path = salted_join(paths, found, "blob", hot, "left", spread="path").withColumn("findings", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")))
     ledgered = fresh if ledger is None else ledger.select("blob", "rule").unionByName(fresh).distinct()
     return by_path, found, ledgered
@@ -180,7 +180,7 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str =
     """
     scanned = materialize(scan_blobs(docs, text, rules))
     found = scanned.filter(F.size("findings") > 0).select("blob", F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
-    hot = hot_keys(scanned, "blob", "n", docs.count())
+    hot = hot_keys(scanned, "blob", "n")
 
     def step(acc: Column, x: Column) -> Column:
         start, end = F.greatest(x["start"], acc["at"]), F.greatest(x["end"], acc["at"])

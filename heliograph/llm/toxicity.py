@@ -1,16 +1,21 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are a text's words (runs of letters and digits, A-Z lower-cased) and their beginnings of some lengths, by their 64-bit hash, so that rare words don't
-share a weight with common ones. Of the training sample's terms those whose rates differ most between the classes get
-weights and latent factors; the machine adds all pairwise interactions of the terms that a text has, so that an insult
-with a group's mention can count for more than both do apart. It is fitted by full-batch Adam in numpy.
+Terms are a text's words (runs of letters and digits, A-Z lower-cased) and their beginnings of some lengths, by their
+64-bit hash, so that rare words don't share a weight with common ones. The machine adds all pairwise interactions of the
+terms that a text has, so that an insult with a group's mention can count for more than both do apart. It is fitted by
+full-batch Adam in numpy.
+
+A term gets a weight and latent factors if it tells the classes apart alone, or together with another term: the TABLE
+terms in most of the sample's texts are crossed with each other, and both terms of a pair enter whose texts are toxic
+more or less often than the two terms' own rates explain. So a term that says nothing alone is learned all the same.
 
 The model is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows, by the order of a hash of their ids, of at
 most SAMPLE_CHARS characters each; near copies within it count once. Whole texts are scored, however long.
 
 Rows: null and wordless texts get the score of a text without terms; labels that are null, or rows without one, aren't
 learned from; repeated rows score alike; an empty table gives an empty result; without labels of both classes the score
-is the smoothed share of toxic labels. Only text is an input of a score.
+is the smoothed share of toxic labels; columns named score or predicted are replaced, others are kept. Only text is an
+input of a score.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ from heliograph.llm.common import materialize, table
 from heliograph.llm.wordops import ALNUM, prefix_hashes, shingles, texts_of, words
 
 SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 100_000
-TERMS, FACTORS, LEAST_Z, LEAST_DOCS = 512, 4, 5.0, 3
+#: Terms that enter alone, and those that enter in pairs; factors of a term; what a term or pair must reach.
+TERMS, PAIRED, FACTORS, LEAST_Z, LEAST_DOCS = 512, 128, 4, 5.0, 3
+#: Terms that are crossed with each other, how far a pair must be from what its terms explain, and in how many texts.
+TABLE, PAIR_Z, PAIR_DOCS = 1536, 7.0, 20
 #: Bytes of words' beginnings that count as terms too, for words built on a common stem.
 PREFIXES = (5, 6, 7, 8)
 
@@ -92,6 +100,34 @@ def _chosen(terms: np.ndarray, keep: frozenset):
     return run
 
 
+def paired(rows: list[list[int]], y: np.ndarray, width: int) -> np.ndarray:
+    """Places of terms that tell the classes apart only together: the best PAIRED of those in a pair beyond PAIR_Z.
+
+    ``rows`` name the places, below ``width``, of each text's terms. A pair's toxic texts are held against what the rates
+    of its two terms make likely if they don't interact (odds ratios multiply).
+    """
+    if not width:
+        return np.zeros(0, int)
+    x = np.zeros((len(rows), width), np.float32)
+    for k, at in enumerate(rows):
+        x[k, at] = 1
+    bad = x[y > 0]
+    n, pos = x.sum(axis=0), bad.sum(axis=0)
+    share = y.mean()
+    odds = np.log((pos + share) / (n - pos + 1 - share)) - np.log(share / (1 - share))
+    best = np.full(width, 0.0)
+    for lo in range(0, width, 256):
+        part = slice(lo, lo + 256)
+        both = x[:, part].T @ x
+        p = 1 / (1 + np.exp(-np.clip(odds[part, None] + odds[None, :] + np.log(share / (1 - share)), -20, 20)))
+        z = np.abs(bad[:, part].T @ bad - both * p) / np.sqrt(np.maximum(both * p * (1 - p), 1.0))
+        # of terms that nearly always stand together a pair says no more than one of them
+        z[(both < PAIR_DOCS) | (both >= 0.8 * np.minimum(n[part, None], n[None, :]))] = 0
+        best[part] = np.maximum(best[part], z.max(axis=1))
+    order = np.argsort(-best, kind="stable")[:PAIRED]
+    return np.sort(order[best[order] >= PAIR_Z])
+
+
 def train(rows: list[list[int]], y: np.ndarray, terms: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 5) -> Model:
     """Fit the machine on rows that name the places of ``terms`` they have."""
     x = np.zeros((len(rows), len(terms)), np.float32)
@@ -115,11 +151,13 @@ def train(rows: list[list[int]], y: np.ndarray, terms: np.ndarray, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Terms are counted where the sampled rows are; TERMS of them, and their places in each row, come to the driver."""
+    """Terms are counted where the sampled rows are; the best of them, and their places in each row, come to the driver."""
     rows = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("toxic"), F.xxhash64(F.col(id), F.lit("sample")).alias("d"))
     few = rows.dropDuplicates(["id"]).orderBy("d", "id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    sampled = materialize(texts.join(F.broadcast(few), "id").select("toxic", "d", "text").mapInArrow(_sampled, "toxic int, d long, terms binary, marks binary"))  # SAMPLE_ROWS rows
+    # SAMPLE_ROWS rows; of rows that share an id, the first text counts
+    drawn = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.min(F.struct("toxic", "d", "text")).alias("r")).select("r.*")
+    sampled = materialize(drawn.select("toxic", "d", "text").mapInArrow(_sampled, "toxic int, d long, terms binary, marks binary"))
     seen, keep, y = set(), set(), []
     for r in sorted(sampled.select("d", "toxic", "marks").collect(), key=lambda r: (r["d"], bytes(r["marks"]))):
         marks = set(np.frombuffer(bytes(r["marks"]), np.uint64).tolist())
@@ -135,12 +173,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id: str = "doc_id",
     counts = sampled.mapInArrow(_counts(frozenset(keep)), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = (F.col("pos") + F.col("neg")) / (n1 + n0)
     z = F.abs(F.col("pos") / n1 - F.col("neg") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
-    best = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("pos") + F.col("neg") >= LEAST_DOCS)).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    if not best:
+    n = F.col("pos") + F.col("neg")
+    counts = counts.filter(n >= LEAST_DOCS).withColumn("z", z).persist()  # at most one row a term of the sample
+    alone = counts.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    common = counts.filter(n >= PAIR_DOCS).orderBy(n.desc(), "term").limit(TABLE).collect()
+    counts.unpersist()
+
+    def rows_of(terms: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+        got = sorted(sampled.mapInArrow(_chosen(terms, frozenset(keep)), "d long, toxic int, at array<int>").collect(), key=lambda r: r["d"])
+        return [r["at"] for r in got], np.array([r["toxic"] for r in got], float)
+
+    ordered = lambda found: np.sort(np.array([r["term"] for r in found], np.int64).view(np.uint64))
+    table_ = ordered(common)
+    terms = np.union1d(ordered(alone), table_[paired(*rows_of(table_), len(table_))])
+    if not len(terms):
         return none
-    terms = np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
-    got = sorted(sampled.mapInArrow(_chosen(terms, frozenset(keep)), "d long, toxic int, at array<int>").collect(), key=lambda r: r["d"])
-    return train([r["at"] for r in got], np.array([r["toxic"] for r in got], float), terms)
+    return train(*rows_of(terms), terms)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
