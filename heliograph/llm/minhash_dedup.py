@@ -323,7 +323,9 @@ class _Links:
         def with_set(of: DataFrame, end: str, other: str) -> DataFrame:
             return salted_join(of, sets.select(F.col("id").alias(end), F.col("set").alias(f"s{end}")), end, hot, spread=other)
 
-        tested = with_set(with_set(pairs, "a", "b"), "b", "a").mapInArrow(_confirm(self.percent), "a long, b long, ok boolean")
+        # dealt anew: rows with two sets each must not come in few partitions, as the pairs' small table does
+        dealt = pairs.repartition(partitions_for(pairs.sparkSession))
+        tested = with_set(with_set(dealt, "a", "b"), "b", "a").mapInArrow(_confirm(self.percent), "a long, b long, ok boolean")
         tested = materialize(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")))
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
         return self.linked()
