@@ -65,6 +65,14 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, hot: list[tuple], how
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,291 +1,315 @@
 """Near-duplicate embeddings by a robust-pruned flat graph on overlapping cluster shards.
 
-Equal vectors of a label are one node. Labels with more nodes than SHARD are cut in shards around centers (fitted on a
-bounded sample), each node belonging to its OVERLAP nearest shards; smaller labels are one shard. In each shard a
-robust-pruned graph is built, with random edges that lead out of groups of near copies; adjacency lists of a node are
-united over its shards; a greedy search from the node itself and the shard's medoid, whose beam then grows over all that
-lies in range, finds the neighbours of each of the shard's nodes. A pair is
+Equal vectors of a label are one node. Labels with more than SPLIT nodes are cut in shards around centers, each node
+belonging to its OVERLAP nearest ones; shards that are still too large are cut again, by centers of their own, as often as
+it takes. Centers of a shard are fitted on at most about SAMPLE of its nodes, where they lie; nodes meet them in batches.
+
+In each shard a graph is built by inserting nodes in batches: a greedy search from the medoid in the graph so far gives a
+node's candidates, of which it keeps those that none nearer to it hides (by ALPHA); these get an edge back, and lists that
+grow too long are pruned in the same way. FAR random edges a node lead out of groups of near copies. So no shard's pairs are
+all compared to build it. Lists that a node has in several shards are united. A greedy search from the node itself and the
+medoid, whose beam then grows over all that lies in range, finds the neighbours of each of the shard's nodes. A pair is
 counted in the first shard that both share. Nothing but counts and a spanning forest leaves a shard, so groups of near
 copies aren't expanded into pairs. Links are verified in double precision.
 
-Shards that come out larger than MOST (a dense group that centers can't part) are dealt in cells of bounded size that
-cover all their pairs. A sample of AUDIT nodes is held against brute force over all nodes; while the recall is below
-``target``, shards are compared by exact blocks, then nodes are put in twice as many shards, and in the end all nodes
-of a label are compared.
+Shards that come out larger than MOST, as centers can't part a dense group, are dealt in cells of bounded size that cover
+all their pairs. The recall is audited: AUDIT random nodes, and LINKED ones that have links, are held against brute force
+over all nodes; while it is below ``target``, shards are compared by exact blocks, then nodes are put in twice as many
+shards, and in the end all nodes of a label are compared, whose cost grows as its square.
 
 Rows: vectors that are null, empty or zero or have a null or non-finite component, and null labels, link with nothing;
 vectors of different lengths never link; a null id is no node (its links are null, and it is kept); rows that repeat an
-id are one vector; an empty table gives an empty result.
+id and a vector are one vector; of vectors that share their smallest id, one is compared; an empty table gives an empty result; further columns, of any names, are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import hot_keys, materialize, salted_join, table
 from heliograph.llm.components import connected_components
 
-SHARD, OVERLAP, MOST = 500, 3, 4_000
-#: Nodes sampled to fit centers, and centers of a label at most; nodes audited.
-SAMPLE, MOST_CENTERS, AUDIT = 20_000, 512, 200
-DEGREE, NEAR, ALPHA, BEAM, SLACK = 24, 48, 1.2, 16, 0.08
-#: Random edges of a node.
-FAR = 4
+#: Nodes of a shard aimed at, most that aren't cut, shards of a node, and most that are searched in one piece.
+SHARD, SPLIT, OVERLAP, MOST = 1_500, 2_500, 3, 6_000
+#: Nodes of a shard that its centers are fitted on, centers of a shard at most, nodes that meet them at a time, most cuts.
+SAMPLE, FAN, BATCH, CUTS = 2_000, 64, 1_000, 8
+#: Nodes audited: random ones, and ones with links.
+AUDIT, LINKED = 500, 200
+#: Edges of a node, and random ones besides; candidates of a node, and what hides a farther one.
+DEGREE, FAR, BUILD, ALPHA = 16, 4, 32, 1.2
+#: Nodes in a search's beam, those expanded at a time, queries at a time, and how far beyond the range nodes are expanded.
+BEAM, AT_ONCE, QUERIES, SLACK = 16, 4, 256, 0.08
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def robust_prune(x: np.ndarray) -> np.ndarray:
-    """(n, DEGREE + FAR) neighbours, -1 where there is none: near ones of which none hides another by ALPHA, and random ones."""
-    n = len(x)
-    near = min(NEAR, n - 1)
-    if near < 1:
-        return np.full((n, DEGREE + FAR), -1)
-    out = np.full((n, DEGREE), -1)
-    for lo in range(0, n, 512):
-        hi = min(n, lo + 512)
-        sims = x[lo:hi] @ x.T
-        sims[np.arange(hi - lo), np.arange(lo, hi)] = -2
-        cand = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-        s = np.take_along_axis(sims, cand, 1)
-        order = np.argsort(-s, axis=1, kind="stable")
-        cand, s = np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1)
-        dist = np.sqrt(np.maximum(0, 2 - 2 * s))
-        alive, kept = np.ones(cand.shape, bool), np.zeros(hi - lo, int)
-        for k in range(near):
-            take = alive[:, k] & (kept < DEGREE)
-            rows = np.flatnonzero(take)
-            if not len(rows):
-                continue
-            out[lo + rows, kept[rows]] = cand[rows, k]
-            kept[rows] += 1
-            between = np.einsum("rd,rcd->rc", x[cand[rows, k]], x[cand[rows, k + 1 :]])
-            hidden = ALPHA * np.sqrt(np.maximum(0, 2 - 2 * between)) <= dist[rows, k + 1 :]
-            alive[rows, k + 1 :] &= ~hidden
-        # a node whose neighbours hide each other still needs a way on: the nearest ones fill what is left
-        for r in np.flatnonzero(kept < min(4, near)):
-            extra = [c for c in cand[r] if c not in out[lo + r, : kept[r]]][: min(4, near) - kept[r]]
-            out[lo + r, kept[r] : kept[r] + len(extra)] = extra
-    # the near ones of a node in a large group are all in that group
-    return np.concatenate([out, np.random.default_rng(n).integers(0, n, (n, FAR))], axis=1)
-
-
-def both_ways(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists with their reverse edges, as offsets and targets."""
-    a, k = np.nonzero(adjacency >= 0)
-    b = adjacency[a, k]
-    pairs = np.unique(np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), axis=0)
-    return np.searchsorted(pairs[:, 0], np.arange(len(adjacency) + 1)), pairs[:, 1]
-
-
-def range_search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, queries: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each of ``queries`` (rows of x): the nodes found with a similarity of at least ``least``, itself too.
-
-    A beam from the query itself and the medoid goes on until its best nodes are all expanded; then all nodes within SLACK of the range are.
+def _matrix(packed, kind: str) -> np.ndarray:
+    """Unit rows in double precision, of vectors of one length."""
+    return _unit(np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(float))
+
+
+def greedy(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similarity to each node, -3 where it wasn't seen; nodes expanded; the ``width`` best nodes, -1 where there are fewer).
+
+    ``edges`` (n, most) has -1 where there is no edge; ``starts`` (queries, some) are the nodes to start from.
     """
+    n, rows, at_once = len(x), np.arange(len(queries))[:, None], min(AT_ONCE, width)
+    sims, done = np.full((len(queries), n), -3.0, np.float32), np.zeros((len(queries), n), bool)
+    best, value = np.full((len(queries), width), -1), np.full((len(queries), width), -3.0, np.float32)
+
+    def see(nodes: np.ndarray) -> None:
+        nonlocal best, value
+        nodes = np.sort(nodes, axis=1)
+        fresh = nodes >= 0
+        fresh[:, 1:] &= nodes[:, 1:] != nodes[:, :-1]
+        fresh &= sims[rows, np.maximum(nodes, 0)] == -3
+        r, c = np.nonzero(fresh)
+        got = np.full(nodes.shape, -3.0, np.float32)
+        got[r, c] = np.einsum("rd,rd->r", x[queries[r]], x[nodes[r, c]])
+        sims[r, nodes[r, c]] = got[r, c]
+        every, values = np.concatenate([best, nodes], axis=1), np.concatenate([value, got], axis=1)
+        top = np.argpartition(-values, width - 1, axis=1)[:, :width]
+        best, value = np.take_along_axis(every, top, 1), np.take_along_axis(values, top, 1)
+
+    see(starts)
+    while True:
+        left = np.where(done[rows, np.maximum(best, 0)], -3.0, value)
+        pick = np.argpartition(-left, at_once - 1, axis=1)[:, :at_once]
+        use = np.take_along_axis(left, pick, 1) > -3
+        if not use.any():
+            return sims, done, np.where(value > -3, best, -1)
+        nodes = np.where(use, np.take_along_axis(best, pick, 1), -1)
+        r, c = np.nonzero(use)
+        done[r, nodes[r, c]] = True
+        near = edges[np.maximum(nodes, 0)]
+        near[~use] = -1
+        see(near.reshape(len(queries), -1))
+
+
+def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray) -> np.ndarray:
+    """(nodes, DEGREE) of each node's candidates (-1: none), nearest first, none of which a kept one hides by ALPHA."""
+    valid = (cand >= 0) & (cand != nodes[:, None])
+    sims = np.where(valid, np.einsum("rd,rcd->rc", x[nodes], x[np.maximum(cand, 0)]), -3.0)
+    order = np.argsort(-sims, axis=1, kind="stable")
+    cand, sims = np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
+    alive, out, kept = sims > -3, np.full((len(nodes), DEGREE), -1), np.zeros(len(nodes), int)
+    alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
+    away = np.sqrt(np.maximum(0, 2 - 2 * sims))
+    for k in range(cand.shape[1]):
+        rows = np.flatnonzero(alive[:, k] & (kept < DEGREE))
+        if not len(rows):
+            continue
+        out[rows, kept[rows]] = cand[rows, k]
+        kept[rows] += 1
+        if k + 1 < cand.shape[1]:
+            between = np.einsum("rd,rcd->rc", x[cand[rows, k]], x[np.maximum(cand[rows, k + 1 :], 0)])
+            alive[rows, k + 1 :] &= ALPHA * np.sqrt(np.maximum(0, 2 - 2 * between)) > away[rows, k + 1 :]
+    return out
+
+
+def build(x: np.ndarray) -> np.ndarray:
+    """(n, DEGREE + FAR) edges of a shard's graph."""
     n = len(x)
+    rng = np.random.default_rng(n)
+    edges = np.concatenate([np.full((n, DEGREE), -1), rng.integers(0, n, (n, FAR))], axis=1)
     medoid = int((x @ _unit(x.mean(axis=0, keepdims=True))[0]).argmax())
-    out: list[np.ndarray] = []
-    for lo in range(0, len(queries), 256):
-        q = queries[lo : lo + 256]
-        rows = np.arange(len(q))
-        sims = np.full((len(q), n), -3.0, np.float32)  # -3: not seen
-        done = np.zeros((len(q), n), bool)
-        sims[:, medoid] = x[q] @ x[medoid]
-        sims[rows, q] = 1
-
-        def expand(r: np.ndarray, node: np.ndarray) -> None:
+    order, at = rng.permutation(n), 0
+    while at < n:
+        part = order[at : at + min(QUERIES, max(16, at))]
+        at += len(part)
+        *_, best = greedy(x, edges, part, np.full((len(part), 1), medoid), min(BUILD, n))
+        # nodes of one batch don't meet in the graph: some of them are candidates of each other
+        best = np.concatenate([best, rng.choice(part, (len(part), 4))], axis=1)
+        edges[part, :DEGREE] = robust_prune(x, part, best)
+        r, c = np.nonzero(edges[part, :DEGREE] >= 0)
+        to, back = edges[part[r], c], part[r]
+        order_ = np.argsort(to, kind="stable")
+        to, back = to[order_], back[order_]
+        nodes, first, count = np.unique(to, return_index=True, return_counts=True)
+        lists = np.full((len(nodes), DEGREE + int(count.max(initial=0))), -1)
+        lists[:, :DEGREE] = edges[nodes, :DEGREE]
+        own = np.repeat(np.arange(len(nodes)), count)
+        lists[own, DEGREE + np.arange(len(to)) - first[own]] = back
+        for lo in range(0, len(nodes), QUERIES):
+            edges[nodes[lo : lo + QUERIES], :DEGREE] = robust_prune(x, nodes[lo : lo + QUERIES], lists[lo : lo + QUERIES])
+    return edges
+
+
+def range_search(x: np.ndarray, edges: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each node: the nodes found with a similarity of at least ``least``, itself too.
+
+    After the greedy search, all seen nodes within SLACK of the range are expanded until there are no more.
+    """
+    n, out = len(x), []
+    medoid = int((x @ _unit(x.mean(axis=0, keepdims=True))[0]).argmax())
+    for lo in range(0, n, QUERIES):
+        q = np.arange(lo, min(n, lo + QUERIES))
+        sims, done, _ = greedy(x, edges, q, np.stack([q, np.full(len(q), medoid)], 1), min(BEAM, n))
+        while True:
+            r, node = np.nonzero((sims >= least - SLACK) & ~done)
+            if not len(r):
+                break
             done[r, node] = True
-            count = offsets[node + 1] - offsets[node]
-            rr = np.repeat(r, count)
-            nn = targets[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[node], count)]
-            new = sims[rr, nn] == -3
-            key = np.unique(rr[new] * n + nn[new])
+            near = edges[node]
+            rr, nn = np.repeat(r, near.shape[1]), near.ravel()
+            key = np.unique((rr * n + nn)[nn >= 0])
             rr, nn = key // n, key % n
+            new = sims[rr, nn] == -3
+            rr, nn = rr[new], nn[new]
             for s in range(0, len(rr), 65_536):
                 a, b = rr[s : s + 65_536], nn[s : s + 65_536]
                 sims[a, b] = np.einsum("rd,rd->r", x[q[a]], x[b])
-
-        beam = min(BEAM, n)
-        live = rows
-        while len(live):
-            top = np.argpartition(-sims[live], beam - 1, axis=1)[:, :beam]
-            value = np.take_along_axis(sims[live], top, 1)
-            value[np.take_along_axis(done[live], top, 1)] = -3
-            best = value.argmax(axis=1)
-            open_ = value[np.arange(len(live)), best] > -3
-            live = live[open_]
-            expand(live, top[open_, best[open_]])
-        while True:
-            r, node = np.nonzero((sims >= least - SLACK) & ~done)
-            if not len(r):
-                break
-            expand(r, node)
-        out += [np.flatnonzero(sims[k] >= least - 1e-4) for k in range(len(q))]
+        out += [np.flatnonzero(row >= least - 1e-4) for row in sims]
     return out
 
 
 def exact_search(x: np.ndarray, least: float) -> list[np.ndarray]:
-    """The same for all rows of x, by comparing all of them."""
+    """The same by comparing all nodes."""
     out: list[np.ndarray] = []
     for lo in range(0, len(x), 512):
         out += [np.flatnonzero(s >= least - 1e-4) for s in x[lo : lo + 512] @ x.T]
     return out
 
 
-def _centers(sample: pd.DataFrame, sizes: dict, seed: int = 1) -> dict:
-    """label -> centers: a few rounds of k-means on the sample."""
-    out = {}
-    for label, part in sample.groupby("label"):
-        k = min(MOST_CENTERS, max(1, round(sizes[label] * OVERLAP / SHARD)), len(part))
-        if sizes[label] <= SHARD * 1.5 or k < 2:
-            continue
-        x = _unit(np.array(part["v"].tolist(), float))
-        rng = np.random.default_rng(seed)
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(8):
-            own = (x @ c.T).argmax(axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, own, x)
-            c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), c)
-        out[label] = c
-    return out
+def centers_of(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
+    """A few rounds of k-means on unit rows."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(8):
+        own = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), c)
+    return c
 
 
-GRAPH = "node long, nbrs array<long>"
-FOUND = "node long, n long, parent long"
+def _fit(kind: str, belongs: int):
+    """applyInPandas over a shard's sample: (shard, no, c), its centers."""
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(min(FAN, max(2, -(-int(pdf["n"].iloc[0]) * belongs // SHARD))))
+        c = centers_of(_matrix(pdf.sort_values("node")["b"].tolist(), kind), k)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "no": range(len(c)), "c": [r.tobytes() for r in c]})
 
-def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, target: float = 0.98) -> DataFrame:
-    """id, n_links, component_id, kept - a row for each row of ``vectors``."""
-    spark = vectors.sparkSession
-    every = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)
-    keyed = every.withColumn("key", F.when(sound, F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256)))
-    keyed = materialize(keyed)
-    total = keyed.count()
-    nodes = keyed.filter("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.countDistinct("id").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    nodes = materialize(nodes.withColumn("label", F.concat_ws("/", "label", F.size("v").cast("string"))))
-    sizes = {r["label"]: r["count"] for r in nodes.groupBy("label").count().filter(F.col("count") > SHARD * 1.5).collect()}  # labels too large for one shard: at most rows / SHARD of them
-    n_nodes = nodes.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, n_nodes))
-    big = nodes.filter(F.col("label").isin(list(sizes)) & (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    sample = big.select("node", "label", "v").orderBy("node").limit(2 * SAMPLE).toPandas() if sizes else pd.DataFrame({"node": [], "label": [], "v": []})
-    centers = spark.sparkContext.broadcast(_centers(sample, sizes))  # MOST_CENTERS a large label
-    audit = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDIT).select("node", "label", "v").toPandas()
-
-    overlap, exact = OVERLAP, False
-    while True:
-        found, links, assigned = _search(nodes, centers, overlap, least, exact)
-        counted = found.groupBy("node").agg(F.sum("n").alias("n"))
-        recall = _audit(nodes, counted, audit, least)
-        near_duplicates.recall = recall
-        most = max([len(c) for c in centers.value.values()], default=1)
-        if recall >= target or (exact and most == 1):
+    return fit
+
+
+def _assign(kind: str, belongs: int):
+    """Cogrouped applyInPandas over a batch of nodes and their shard's centers: a row for each center that a node belongs to."""
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("no")
+        if not len(left) or not len(right):
+            return left.assign(no=0, before=left["n"])[["node", "copies", "b", "shard", "no", "before"]]
+        x, c = _matrix(left["b"].tolist(), kind), np.frombuffer(b"".join(right["c"]), float).reshape(len(right), -1)
+        m = min(belongs, len(c))
+        top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :m]
+        out = left.loc[left.index.repeat(m)].reset_index(drop=True)
+        return out.assign(no=right["no"].to_numpy()[top.ravel()], before=out["n"])[["node", "copies", "b", "shard", "no", "before"]]
+
+    return assign
+
+
+def _cut(nodes: DataFrame, kind: str, overlap: int) -> DataFrame:
+    """(node, copies, b, shard): a row for each shard that a node belongs to."""
+    dealt = nodes.select("node", "copies", "b", F.xxhash64("label", F.octet_length("b")).alias("shard"), F.lit(None).cast("long").alias("before"))
+    done = None
+    for cut in range(CUTS):
+        sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"))
+        # a shard that keeps most of what it was cut from is a group that centers don't part
+        sizes = materialize(sizes.filter((F.col("n") > SPLIT) & (F.col("before").isNull() | (F.col("n") <= 0.7 * F.col("before")))).select("shard", "n"))
+        if sizes.isEmpty():
             break
-        if not exact:
-            exact = True
-        elif overlap * 2 < most:
-            overlap *= 2
-        else:  # a label is one shard, dealt in cells that cover all its pairs
-            centers = spark.sparkContext.broadcast({})
-    comps = connected_components(links)
-    by_node = nodes.select("key", "node", "copies").join(counted, "node", "left").join(comps.select(F.col("id").alias("node"), "component_id"), "node", "left")
-    by_node = by_node.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-    hot = hot_keys(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("key is not null"), "key", "c")
-    out = salted_join(keyed.select("id", "key"), by_node, "key", hot, "left", spread="id")
-    known = F.col("id").isNotNull()
-    out = out.select(F.col("id").alias(id), F.when(known, F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
-
-
-def _search(nodes: DataFrame, centers, overlap: int, least: float, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts by node and shard, spanning links, nodes with their shards); ``whole``: without graphs, by all pairs of a shard."""
-
-    @F.pandas_udf("array<int>")
-    def shards(label: pd.Series, v: pd.Series) -> pd.Series:
-        out = [[0]] * len(label)
-        for name in label.unique():
-            c = centers.value.get(name)
-            if c is not None:
-                rows = np.flatnonzero(label.to_numpy() == name)
-                sims = _unit(np.array([v.iloc[r] for r in rows], float)) @ c.T
-                top = np.argsort(-sims, axis=1, kind="stable")[:, : min(overlap, c.shape[0])]
-                for r, t in zip(rows, top):
-                    out[r] = np.sort(t).tolist()
-        return pd.Series(out)
-
-    assigned = materialize(nodes.select("node", "copies", "label", "v", shards("label", "v").alias("shards")))
-    dealt = assigned.select("node", "copies", "label", "v", "shards", F.explode("shards").alias("shard"))
-    sizes = dealt.groupBy("label", "shard").agg(F.count(F.lit(1)).alias("m"))
+        joined = materialize(salted_join(dealt.drop("before"), sizes, "shard", hot_keys(sizes, "shard", "n"), "left", spread="node"))
+        rest, large = joined.filter("n is null").drop("n"), joined.filter("n is not null")
+        done = rest if done is None else done.unionByName(rest)
+        belongs = overlap if cut == 0 else 2
+
+        drawn = F.pmod(F.xxhash64("node", F.lit(cut)), F.lit(1 << 30)) < F.least(F.lit(1.0), SAMPLE / F.col("n")) * (1 << 30)
+        centers = materialize(large.filter(drawn).select("shard", "n", "node", "b").groupBy("shard").applyInPandas(_fit(kind, belongs), "shard long, no int, c binary"))
+        batches = F.ceil(F.col("n") / BATCH).cast("long")
+        met = centers.join(sizes.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), batches - 1)).alias("batch")), "shard")
+        batched = large.withColumn("batch", F.pmod(F.xxhash64("node", F.lit("batch")), batches))
+
+        parted = batched.groupBy("shard", "batch").cogroup(met.groupBy("shard", "batch")).applyInPandas(_assign(kind, belongs), "node long, copies long, b binary, shard long, no int, before long")
+        dealt = materialize(parted.withColumn("shard", F.xxhash64("shard", "no")).drop("no"))
+    dealt = dealt.drop("before")
+    return dealt if done is None else done.unionByName(dealt)
+
+
+FOUND = "node long, n long, parent long"
+
+
+def _search(nodes: DataFrame, kind: str, least: float, overlap: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(counts by node and shard, spanning links); ``whole``: without graphs, by all pairs of a shard; ``overlap`` 0: labels are shards."""
+    if overlap:
+        dealt = materialize(_cut(nodes, kind, overlap))
+    else:
+        dealt = nodes.select("node", "copies", "b", F.xxhash64("label", F.octet_length("b")).alias("shard"))
+    lists = dealt.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))  # a few a node
+    sizes = materialize(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("m")))
     # shards over MOST are dealt in cells of two sides, each pair of sides once
-    sized = dealt.join(sizes, ["label", "shard"]).withColumn("sides", F.when(F.col("m") <= MOST, F.lit(1)).otherwise(F.ceil(F.col("m") / (MOST / 2)).cast("int")))
+    sized = salted_join(dealt, sizes, "shard", hot_keys(sizes, "shard", "m"), spread="node").join(lists, "node")
+    sized = sized.withColumn("sides", F.when(F.col("m") <= MOST, F.lit(1)).otherwise(F.ceil(F.col("m") / (MOST // 2)).cast("int")))
     sized = sized.withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
-    sized = sized.withColumn("other", F.explode(F.when(F.col("sides") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("sides") - 1))))
-    celled = sized.select("node", "copies", "label", "v", "shards", "shard", "side", F.least("side", "other").alias("c1"), F.greatest("side", "other").alias("c2"))
-    celled = materialize(celled)
-    by = ["label", "shard", "c1", "c2"]
+    sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    celled = materialize(sized.select("node", "copies", "b", "shards", "shard", "side", F.least("side", "other").alias("c1"), F.greatest("side", "other").alias("c2")))
+    by = ["shard", "c1", "c2"]
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
+    def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["node"].to_numpy()
-        adj = robust_prune(_unit(np.array(pdf["v"].tolist(), float)).astype(np.float32))
-        return pd.DataFrame({"node": ids, "nbrs": [ids[a[a >= 0]].tolist() for a in adj]})
-
-    # union of the lists that a node has in its shards
-    graph = celled.select("node", "v", *by).groupBy(*by).applyInPandas(build, GRAPH)
-    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
+        edges = build(_matrix(pdf["b"].tolist(), kind).astype(np.float32))
+        return pd.DataFrame({"node": ids, "nbrs": [np.unique(ids[e[e >= 0]]) for e in edges]})
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
         ids, copies, side = (pdf[c].to_numpy() for c in ("node", "copies", "side"))
         if len(ids) < 2:
             return pd.DataFrame({"node": ids[:0], "n": copies[:0], "parent": ids[:0]})
-        exact = _unit(np.array(pdf["v"].tolist(), float))
+        exact = _matrix(pdf["b"].tolist(), kind)
         x = exact.astype(np.float32)
         if whole:
             found = exact_search(x, least)
         else:
             flat = [np.asarray(n, dtype=np.int64) for n in pdf["nbrs"]]
-            a = np.repeat(np.arange(len(ids)), [len(n) for n in flat])
-            b = np.concatenate(flat) if len(flat) else np.zeros(0, np.int64)
-            at = np.searchsorted(ids, b)
-            at[at == len(ids)] = 0
-            here = ids[at] == b
-            pairs = np.unique(np.concatenate([np.stack([a[here], at[here]], 1), np.stack([at[here], a[here]], 1)]), axis=0)
-            offsets = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1))
-            found = range_search(x, offsets, pairs[:, 1], np.arange(len(ids)), least)
+            a, b = np.repeat(np.arange(len(ids)), [len(n) for n in flat]), np.concatenate(flat)
+            at = np.minimum(np.searchsorted(ids, b), len(ids) - 1)
+            here = (ids[at] == b) & (at != a)
+            a, at = a[here], at[here]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            edges = np.full((len(ids), int(place.max(initial=0)) + 1), -1)
+            edges[a, place] = at
+            found = range_search(x, edges, least)
         # both ends know a pair that either found
         q = np.repeat(np.arange(len(ids)), [len(f) for f in found])
         t = np.concatenate(found)
         lo, hi = np.minimum(q, t), np.maximum(q, t)
         key = np.unique((lo * len(ids) + hi)[lo != hi])
         lo, hi = key // len(ids), key % len(ids)
-        two = bool(len(np.unique(side)) > 1)
         ok = np.ones(len(lo), bool)
         for s in range(0, len(lo), 65_536):
             ok[s : s + 65_536] = (exact[lo[s : s + 65_536]] * exact[hi[s : s + 65_536]]).sum(axis=1) >= least
-        if two:
+        if int(pdf["c1"].iloc[0]) != int(pdf["c2"].iloc[0]):
             ok &= side[lo] != side[hi]
         lo, hi = lo[ok], hi[ok]
         # counted in the first shard that both share
         shard = int(pdf["shard"].iloc[0])
-        lists = [np.asarray(s) for s in pdf["shards"]]
+        lists = [np.asarray(s, np.int64) for s in pdf["shards"]]
         width = max(len(s) for s in lists)
-        table_ = np.full((len(ids), width), np.iinfo(np.int32).max, np.int64)
+        table_, there = np.zeros((len(ids), width), np.int64), np.zeros((len(ids), width), bool)
         for k, s in enumerate(lists):
-            table_[k, : len(s)] = s
+            table_[k, : len(s)], there[k, : len(s)] = s, True
         first = np.ones(len(lo), bool)
         for k in range(width):
             s = table_[lo, k]
-            shared = (table_[hi] == s[:, None]).any(axis=1) & (s < shard)
-            first &= ~shared
+            first &= ~(((table_[hi] == s[:, None]) & there[hi]).any(axis=1) & there[lo, k] & (s < shard))
         n = np.bincount(lo[first], copies[hi[first]], len(ids)) + np.bincount(hi[first], copies[lo[first]], len(ids))
         parent = np.arange(len(ids))
         while len(lo):  # smallest node reached, in this shard
@@ -299,32 +323,91 @@ def _search(nodes: DataFrame, centers, overlap: int, least: float, whole: bool =
         use = np.flatnonzero((n > 0) | (parent != np.arange(len(ids))))
         return pd.DataFrame({"node": ids[use], "n": n[use].astype(np.int64), "parent": ids[parent[use]]})
 
-    searched = celled if whole else celled.join(united, "node")
-    found = searched.groupBy(*by).applyInPandas(search, FOUND)
-    found = materialize(found)
-    return found, found.filter("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b")), assigned
+    searched = celled
+    if not whole:
+        graphs = celled.select("node", "b", *by).groupBy(*by).applyInPandas(graph, "node long, nbrs array<long>")
+        # lists that a node has in its shards and cells, of DEGREE + FAR entries each
+        searched = celled.join(graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "node")
+    found = materialize(searched.groupBy(*by).applyInPandas(search, FOUND))
+    return found, found.filter("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b"))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, audit: pd.DataFrame, least: float) -> float:
-    """Links found over links there are, of the sampled nodes; these are compared with all nodes, in batches."""
-    if not len(audit):
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast(audit)
+def _audit(nodes: DataFrame, counted: DataFrame, kind: str, least: float) -> float | None:
+    """Links found over links there are, of the audited nodes, which are compared with all nodes; None if they have none."""
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDIT).select("node", "label", "b")
+    linked = nodes.join(counted.filter("n > 0").orderBy(F.xxhash64("node", F.lit("linked"))).limit(LINKED).select("node"), "node").select("node", "label", "b")
+    audit = drawn.unionByName(linked).distinct().toPandas()
+    shared = nodes.sparkSession.sparkContext.broadcast({k: (g["node"].to_numpy(), _matrix(g["b"].tolist(), kind)) for k, g in audit.groupby(["label", audit["b"].map(len)])})
 
     def compare(batches):
-        a = shared.value
         for pdf in batches:
-            out = []
-            for label in set(pdf["label"]) & set(a["label"]):
-                x, part = pdf[pdf["label"] == label], a[a["label"] == label]
-                sims = _unit(np.array(part["v"].tolist(), float)) @ _unit(np.array(x["v"].tolist(), float)).T
-                hit = (sims >= least) & (part["node"].to_numpy()[:, None] != x["node"].to_numpy()[None, :])
-                out.append(pd.DataFrame({"node": part["node"].to_numpy(), "n": hit @ x["copies"].to_numpy()}))
-            yield pd.concat(out) if out else pd.DataFrame({"node": np.zeros(0, int), "n": np.zeros(0, int)})
-
-    true = nodes.select("node", "label", "v", "copies").mapInPandas(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("true_n"))
+            out = [pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})]
+            for k, part in pdf.groupby(["label", pdf["b"].map(len)]):
+                if k in shared.value:
+                    ids, x = shared.value[k]
+                    hit = (x @ _matrix(part["b"].tolist(), kind).T >= least) & (ids[:, None] != part["node"].to_numpy()[None, :])
+                    out.append(pd.DataFrame({"node": ids, "n": hit @ part["copies"].to_numpy()}))
+            yield pd.concat(out)
+
+    true = nodes.select("node", "label", "b", "copies").mapInPandas(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("true_n"))
     got = true.join(counted, "node", "left").agg(F.sum("true_n"), F.sum(F.least("true_n", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not got[0] else float(got[1] / got[0])
+    return float(got[1] / got[0]) if got[0] else None
+
+
+def packed(kind: str):
+    """Arrow UDF: a vector's components as bytes; null if it links with nothing. Zeros lose their sign."""
+
+    @F.arrow_udf("binary")
+    def pack(column: pa.Array) -> pa.Array:
+        out = [None] * len(column)
+        if len(column) == column.null_count:
+            return pa.array(out, pa.binary())
+        values, offsets = column.values, column.offsets.to_numpy()
+        flat = np.where(pc.is_null(values).to_numpy(zero_copy_only=False), np.nan, pc.fill_null(values, 0).to_numpy(zero_copy_only=False)).astype(kind) + np.dtype(kind).type(0)
+        valid = pc.is_valid(column).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(valid):
+            v = flat[offsets[k] : offsets[k + 1]]
+            if len(v) and np.isfinite(v).all() and v.any():
+                out[k] = v.tobytes()
+        return pa.array(out, pa.binary())
+
+    return pack
+
+
+def linked(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, target: float = 0.98) -> tuple[DataFrame, float | None]:
+    """(id, n_links, component_id, kept - a row for each row of ``vectors``; the audited recall, None without links)."""
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
+    source = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), (F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")).alias("v"))
+    sound = source.withColumn("b", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), packed(kind)("v"))).drop("v")
+    keyed = materialize(sound.withColumn("key", F.sha2(F.concat(F.col("label").cast("binary"), F.lit(bytearray(1)), "b"), 256)))
+    real = keyed.filter("key is not null")
+    nodes = real.select("key", "label", "b", "id").distinct().groupBy("key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("b").alias("b"))
+    # rows that share an id but not a vector: the first vector, by its key, stands for the id
+    nodes = materialize(nodes.groupBy("node").agg(F.min(F.struct("key", "copies", "label", "b")).alias("r")).select("node", "r.*"))
+    overlap, whole = OVERLAP, False
+    while True:
+        found, links = _search(nodes, kind, least, overlap, whole)
+        counted = materialize(found.groupBy("node").agg(F.sum("n").alias("n")))
+        recall = _audit(nodes, counted, kind, least)
+        if recall is None or recall >= target or not overlap:
+            break
+        if not whole:
+            whole = True
+        else:
+            overlap = 2 * overlap if 2 * overlap <= FAN // 4 else 0
+    comps = connected_components(links)
+    by_node = nodes.select("key", "node", "copies").join(counted, "node", "left").join(comps.select(F.col("id").alias("node"), "component_id"), "node", "left")
+    by_node = by_node.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+    hot = hot_keys(real.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key", "c")
+    out = salted_join(keyed.select("id", "key"), by_node, "key", hot, "left", spread="id")
+    known = F.col("id").isNotNull()
+    out = out.select(F.col("id").alias(id), F.when(known, F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))), recall
+
+
+def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
+    """The rows of ``linked``."""
+    return linked(vectors, **options)[0]
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

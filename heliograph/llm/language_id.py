@@ -3,14 +3,19 @@
 A text's features are the runs of 1 to 3 letters inside its words (with a mark at word borders), lower-cased and hashed
 into BUCKETS rows of an embedding; their mean goes through a linear softmax. As that is linear in the features, a
 trained model is one table of logits a bucket, and a text's logits are the mean of its features' rows: whole texts are
-scored in chunks, with no cut. A temperature fitted on rows kept out of training calibrates the probabilities, and the
-rejection threshold is taken from the same rows.
+scored in chunks, with no cut. A temperature fitted on rows kept out of training calibrates the probabilities.
+
+A text is rejected if its probability is below a threshold, or if its subwords are too surprising for any language
+learned: one more column of the table holds each bucket's surprisal among the training texts, so a text's mean surprisal
+comes with its logits. It is held against that of kept-out texts of the predicted language, in deviations that allow for
+the text's length; both limits are taken from kept-out rows, so that texts of learned languages stay.
 
 The model is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows, shared out evenly among the languages, of
 at most SAMPLE_CHARS characters each (longer texts aren't sampled; they are scored like all others).
 
 Rows: a null text or one without letters is `und` with score 0, and is rejected; repeated rows score alike; an empty
-table gives an empty result; without labelled rows every text is `und`. Only text is an input of a prediction.
+table gives an empty result; without labelled rows every text is `und`; columns named lang_pred, score or accepted are
+replaced by ``identify``, all others, and all columns in ``accepted``, are kept. Only text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import fresh, table
 
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 50_000
 BITS = 14
@@ -31,6 +36,8 @@ BUCKETS, DIM, GRAMS = 1 << BITS, 16, (1, 2, 3)
 #: Labels that may be learned, at most: a class a language.
 MAX_LABELS = 1_000
 CHUNK = 1 << 18
+#: A language's texts differ in mean surprisal by so many bits at least; and the fewest deviations that reject a text.
+LEAST_SPREAD, LEAST_LIMIT = 0.1, 6.0
 UNKNOWN = "und"
 
 
@@ -125,18 +132,28 @@ def features(text: str | None) -> np.ndarray:
 @dataclass
 class Model:
     labels: list[str]
-    logits: np.ndarray  # (BUCKETS, labels)
+    table: np.ndarray  # (BUCKETS, labels + 1): logits, and the surprisal in bits
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    usual: np.ndarray | None = None  # (labels, 3): mean surprisal, its variance between texts, and that of a subword
+    limit: float = np.inf
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, probability, whether it is accepted)."""
         if not self.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        total, n = score_sums([t or "" for t in texts], self.logits)
-        p = _softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
+            return [(UNKNOWN, 0.0, False)] * len(texts)
+        total, n = score_sums([t or "" for t in texts], self.table)
+        mean = total / np.maximum(n, 1)[:, None]
+        p = _softmax((mean[:, :-1] + self.bias) / self.temperature)
         best = p.argmax(axis=1)
-        return [(self.labels[k], float(p[r, k])) if n[r] else (UNKNOWN, 0.0) for r, k in enumerate(best)]
+        score = p[np.arange(len(texts)), best]
+        fine = (score >= self.threshold) & (self.strangeness(mean[:, -1], n, best) <= self.limit)
+        return [(self.labels[k], float(score[r]), bool(fine[r])) if n[r] else (UNKNOWN, 0.0, False) for r, k in enumerate(best)]
+
+    def strangeness(self, surprisal: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
+        mean, between, within = self.usual[label].T
+        return (surprisal - mean) / np.sqrt(between + within / np.maximum(n, 1))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -148,13 +165,14 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
     """SGD on the averaged embeddings; every fifth text is kept out, for the temperature and the threshold."""
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    sparse = []  # (buckets, shares, label): 6 bytes a distinct subword
+    sparse, sizes = [], []  # (buckets, shares, label): 6 bytes a distinct subword; subwords
     for t, g in zip(texts, langs):
         if len(f := features(t)):
             u, c = np.unique(f, return_counts=True)
             sparse.append((u.astype(np.uint16), (c / len(f)).astype(np.float32), labels.index(g)))
+            sizes.append(len(f))
     if not sparse:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0))
     order = rng.permutation(len(sparse))
     held = set(order[::5].tolist()) if len(sparse) >= 20 else set()
     fit = np.array([k for k in order if k not in held])
@@ -180,9 +198,13 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
             b -= lr * p.sum(axis=0)
             used = np.unique(np.concatenate([u for u, *_ in part]))
             emb[used] -= lr * 20 * (x[:, used].T @ back)  # rows of rare subwords see small weights
-    model = Model(labels, (emb @ w).astype(np.float64), b.astype(np.float64))
+    share = np.full(BUCKETS, 0.5)
+    for k in fit:
+        share[sparse[k][0]] += sparse[k][1] * sizes[k]
+    surprisal = -np.log2(share / share.sum())
+    model = Model(labels, np.column_stack([(emb @ w).astype(np.float64), surprisal]), b.astype(np.float64))
     test = [k for k in range(len(sparse)) if k in held] or list(range(len(sparse)))
-    z = np.stack([sparse[k][1].astype(np.float64) @ model.logits[sparse[k][0]] + model.bias for k in test])
+    z = np.stack([sparse[k][1].astype(np.float64) @ model.table[sparse[k][0], :-1] + model.bias for k in test])
     y = np.array([sparse[k][2] for k in test])
     grid = np.geomspace(0.05, 5, 40)
     # targets short of 1, as of so many texts: a clean separation doesn't make every score 1
@@ -194,6 +216,14 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 2.0
     right = p.max(axis=1)[p.argmax(axis=1) == y]
     # texts known to be of their language stay; half of even odds is the most that is ever asked for
     model.threshold = float(min(0.5, np.quantile(right, 1 - keep_share))) * 0.9 if len(right) else 0.0
+    # surprisals of kept-out texts, by language
+    mean = np.array([sparse[k][1] @ surprisal[sparse[k][0]] for k in test])
+    inner = np.array([sparse[k][1] @ (surprisal[sparse[k][0]] - m) ** 2 for k, m in zip(test, mean)])
+    n = np.array([sizes[k] for k in test])
+    rows = [y == g if (y == g).sum() >= 5 else np.ones(len(y), bool) for g in range(len(labels))]
+    model.usual = np.array([[mean[r].mean(), max(LEAST_SPREAD**2, mean[r].var() - (inner[r] / n[r]).mean()), inner[r].mean()] for r in rows])
+    strange = model.strangeness(mean, n, p.argmax(axis=1))
+    model.limit = max(LEAST_LIMIT, 1.5 * float(np.quantile(strange, keep_share)))
     return model
 
 
@@ -223,19 +253,28 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
     return train(*sample(docs, usable if usable is not None else F.lit(True), text, lang, id))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and accepted (false: the calibrated rejection) added."""
+def _found(docs: DataFrame, model: Model, text: str):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers: bounded by MAX_LABELS
 
     @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def score(texts):
         import pandas as pd
 
-        m = shared.value
-        got = m.predict(list(texts))
-        return pd.DataFrame({"lang_pred": [g for g, _ in got], "score": [s for _, s in got], "accepted": [g != UNKNOWN and s >= m.threshold for g, s in got]})
+        return pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score", "accepted"])
+
+    return score(F.col(text))
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and accepted (false: the calibrated rejection)."""
+    at = fresh(docs, "found")
+    return docs.withColumn(at, _found(docs, model, text)).withColumns({c: F.col(f"{at}.{c}") for c in ("lang_pred", "score", "accepted")}).drop(at)
+
 
-    return docs.withColumn("_id", score(F.col(text))).select("*", "_id.lang_pred", "_id.score", "_id.accepted").drop("_id")
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are rejected."""
+    at = fresh(docs, "found")
+    return docs.withColumn(at, _found(docs, model, text)).filter(F.col(f"{at}.accepted")).drop(at)
 
 
 def fold(id: str, folds: int) -> Column:

@@ -5,7 +5,7 @@ doesn't hold are scanned, each distinct blob once however many paths have it, an
 all paths.
 
 Rows: a null text counts as an empty one (no findings); a null path is kept; repeated rows each get their findings;
-an empty table gives an empty result; further columns of the input are ignored by ``scan`` and kept by ``redact``.
+an empty table gives an empty result; further columns of the input, of any names, are ignored by ``scan`` and kept by ``redact``.
 Positions count code points, and ends are exclusive.
 """
 
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import hot_keys, materialize, salted_join
+from heliograph.llm.common import fresh, hot_keys, materialize, salted_join, table
 
 
 @dataclass(frozen=True)
@@ -178,8 +178,9 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str =
 
     Each distinct blob is scanned once; the redacted text is made beside the row's own text, from its blob's spans.
     """
+    blob, spans = fresh(docs, "blob"), fresh(docs, "spans")
     scanned = materialize(scan_blobs(docs, text, rules))
-    found = scanned.filter(F.size("findings") > 0).select("blob", F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
+    found = scanned.filter(F.size("findings") > 0).select("blob", F.transform("findings", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(spans)).withColumnRenamed("blob", blob)
     hot = hot_keys(scanned, "blob", "n")
 
     def step(acc: Column, x: Column) -> Column:
@@ -188,17 +189,21 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str =
         return F.struct(end.alias("at"), F.concat(acc["out"], piece).alias("out"), acc["of"].alias("of"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.col(text).alias("of"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(acc["of"], acc["at"] + 1, F.length(acc["of"]))))
-    hit = salted_join(docs.withColumn("blob", blob_of(F.col(text))), found, "blob", hot, "left", spread=id)
-    return hit.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(acc["of"], acc["at"] + 1, F.length(acc["of"]))))
+    hit = salted_join(docs.withColumn(blob, blob_of(F.col(text))), found, blob, hot, "left", spread=id)
+    return hit.withColumn(text, F.when(F.col(spans).isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """All documents: counts and spans of secrets, found once a distinct blob."""
-    from heliograph.llm.common import table
+    """All documents: counts and spans of secrets, in two runs over the ledger.
 
+    The first scans each distinct blob once. The second has the first one's ledger and findings, as a run over the same
+    history has after new versions came in: it scans the pairs of blob and rule that the ledger lacks (none here), and joins
+    the findings kept for the blobs back to all paths.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    by_path, _, _ = scan(docs)
+    _, found, ledger = scan(docs)
+    by_path, _, _ = scan(docs, ledger=ledger, earlier=found)
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("findings", lambda x: x["kind"].isin("assign", "access", "hex"))
     return by_path.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))

@@ -7,12 +7,14 @@ an open document, with ``closed`` false.
 
 ``token_blocks`` writes such files from texts, with the names of the documents that end in each block (only used to name
 the scan's counts). Rows: null and empty texts have 0 tokens; repeated rows are separate documents; a null id stays
-null; an empty table gives an empty result. Tokenizers come from files whose path is a parameter.
+null; texts may be of any length; bytes after a flat file's last whole token are passed over; further columns, of any names,
+are left out; an empty table gives an empty result. Tokenizers come from files whose path is a parameter.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,34 +24,39 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import materialize, table
 
-#: Ranks of a byte-level BPE of 50,256 tokens; the next id is free.
+#: Ranks of a byte-level BPE of 50,256 tokens, read on the driver and sent along; the next id is free.
 RANKS, SEPARATOR, DTYPE = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50_256, "<u2"
-#: Tokens a block; and characters of a text that are encoded at a time.
-BLOCK = 1 << 16
+#: Tokens a block, and blocks of a flat file that a task reads at a time.
+BLOCK, RANGE = 1 << 16, 512
 # Fixed value: the public pattern by which byte-level BPE splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _encoders: dict = {}
 
 
-def encoder(ranks: str):
+def ranks_of(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(ranks: bytes):
     """One a Python worker."""
-    if ranks not in _encoders:
+    key = hashlib.sha256(ranks).digest()
+    if key not in _encoders:
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[ranks] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
-    return _encoders[ranks]
+        merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+        _encoders[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    return _encoders[key]
 
 
 def token_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks: str = RANKS, separator: int = SEPARATOR, dtype: str = DTYPE, block: int = BLOCK) -> DataFrame:
     """file, block, payload (zstd), tokens, names: a flat token file for each partition, in blocks."""
-    kind = dict(docs.dtypes)[id]
+    kind, shared = dict(docs.dtypes)[id], docs.sparkSession.sparkContext.broadcast(ranks_of(ranks))  # a vocabulary: about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        no, enc = TaskContext.get().partitionId(), encoder(ranks)
+        no, enc = TaskContext.get().partitionId(), encoder(shared.value)
         held, size, names, at = [], 0, [], 0  # names: (place of the separator in what is held, id)
 
         def cut(n: int):
@@ -82,21 +89,31 @@ def token_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", ranks:
 
 
 def read_flat(spark, path: str, dtype: str = DTYPE, block: int = BLOCK) -> DataFrame:
-    """Blocks of flat token files (of up to 2 GB each) under ``path``; documents have no names there."""
+    """Blocks of flat token files under ``path``, of any size: tasks read stretches of RANGE blocks; documents have no names there.
+
+    Files are listed by Spark, without their contents; the file system must be one that pyarrow opens, too.
+    """
+    size = np.dtype(dtype).itemsize
+    step = block * size
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / (step * RANGE)))).alias("range")).repartition("path", "range")
 
     def run(batches):
-        step = block * np.dtype(dtype).itemsize
+        from pyarrow import fs
+
         for b in batches:
-            for p, content in zip(b.column("path").to_pylist(), b.column("content")):
-                data = content.as_py()
-                for n, at in enumerate(range(0, len(data), step)):
-                    part = data[at : at + step]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p]), pa.array([n], pa.int64()), pa.array([pa.compress(part, codec="zstd", asbytes=True)], pa.binary()), pa.array([len(part) // np.dtype(dtype).itemsize], pa.int64()), pa.array([None], pa.list_(pa.string()))],
-                        names=["file", "block", "payload", "tokens", "names"],
-                    )
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, payload binary, tokens long, names array<string>")
+            for p, length, k in zip(*(b.column(c).to_pylist() for c in ("path", "length", "range"))):
+                system, at = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                with system.open_input_file(at) as f:
+                    f.seek(k * RANGE * step)
+                    for n in range(k * RANGE, min((k + 1) * RANGE, -(-length // step))):
+                        part = f.read(min(step, length - n * step))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([p]), pa.array([n], pa.int64()), pa.array([pa.compress(part[: len(part) // size * size], codec="zstd", asbytes=True)], pa.binary()), pa.array([len(part) // size], pa.int64()), pa.array([None], pa.list_(pa.string()))],
+                            names=["file", "block", "payload", "tokens", "names"],
+                        )
+
+    return ranges.mapInArrow(run, "file string, block long, payload binary, tokens long, names array<string>")
 
 
 def scan_separators(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:

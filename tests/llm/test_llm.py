@@ -174,9 +174,15 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and all(got[k].accepted for k in range(150))
     # chunks make no difference
     long = "das Haus und die Wasser " * 30_000
-    a, n = language_id.score_sums([long], m.logits)
+    a, n = language_id.score_sums([long], m.table)
     f = language_id.features(long)
-    assert n[0] == len(f) and np.allclose(a[0], m.logits[f].sum(axis=0))
+    assert n[0] == len(f) and np.allclose(a[0], m.table[f].sum(axis=0))
+    # texts of a language that wasn't learned, in the same letters, are rejected; columns of the caller stay
+    other = "talo puu vesi ihmiset kanssa kylmä yöllä mökki järvi metsä hyvää päivää ystävä".split()
+    strange = docs(spark, [" ".join(rng.choice(other, 12)) for _ in range(20)] + texts[:20]).withColumns({"score": F.lit("s"), "found": F.lit("f"), "lang_pred": F.lit("l")})
+    kept = language_id.accepted(strange, m)
+    assert kept.columns == strange.columns and {(r.doc_id, r.score, r.found, r.lang_pred) for r in kept.collect()} == {(k, "s", "f", "l") for k in range(20, 40)}
+    assert language_id.identify(strange, m).filter("accepted").count() == 20 and language_id.identify(strange.filter("false"), m).count() == 0
     none = language_id.fit(d, F.lit(False))
     assert {r.lang_pred for r in language_id.identify(d, none).collect()} == {"und"}
 
@@ -418,6 +424,7 @@ def test_decontamination_exact(monkeypatch):
 
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 90)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 16))
     rows = []
@@ -425,7 +432,8 @@ def test_embeddings(spark, monkeypatch):
         v = x[k % 40] + (0 if k % 7 == 0 else 0.12) * rng.normal(size=16) if k % 2 else rng.normal(size=16)
         rows.append((k, [float(z) for z in v], int(k % 40 < 30)))
     rows += [(420, None, 1), (421, [0.0] * 16, 1), (422, [float("nan")] + [1.0] * 15, 1), (423, [None] + [1.0] * 15, 1), (424, rows[0][1], None), (425, [], 1), (426, rows[1][1], rows[1][2])]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    table, recall = embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(9) for c in ("id", "b", "key", "node", "n_links")}))
+    got = {r.vec_id: r for r in table.collect()}
     sound = [(k, np.array(v, np.float32).astype(float), g) for k, v, g in rows if v and g is not None and all(z is not None and np.isfinite(z) for z in v) and any(v)]
     links = {k: set() for k, *_ in rows}
     for (a, u, g), (b, v, h) in itertools.combinations(sound, 2):
@@ -433,10 +441,30 @@ def test_embeddings(spark, monkeypatch):
             links[a].add(b)
             links[b].add(a)
     true, found = sum(map(len, links.values())), sum(got[k].n_links for k in links)
-    assert true > 500 and 0.97 * true <= found <= true and embedding_dedup.near_duplicates.recall >= 0.9
+    assert true > 500 and 0.97 * true <= found <= true and recall >= 0.9
     assert all(got[k].n_links == 0 and got[k].component_id == k for k in range(420, 426))
 
 
+def test_embedding_shards(spark, monkeypatch):
+    """Several shards, cut more than once, and a dense group that is dealt in cells, against all pairs."""
+    for name, value in (("SHARD", 200), ("SPLIT", 300), ("MOST", 400), ("FAN", 6)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(3)
+    n, third = 5000, 1666
+    base = rng.normal(size=(third, 32))
+    x = np.concatenate([base, base[rng.integers(0, 300, third)] + 0.2 * rng.normal(size=(third, 32)), rng.normal(size=(1, 32)) + 0.2 * rng.normal(size=(n - 2 * third, 32))]).astype(np.float32)
+    label = (np.arange(n) % 4 == 0).astype(int)
+    out, recall = embedding_dedup.linked(spark.createDataFrame([(k, [float(z) for z in v], int(g)) for k, (v, g) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int"))
+    got = {r.vec_id: r for r in out.collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    true[np.arange(n), np.arange(n)] = False
+    found = np.array([got[k].n_links for k in range(n)])
+    assert recall >= 0.98 and (found <= true.sum(axis=1)).all() and found.sum() >= 0.97 * true.sum() > 100_000
+    small = true[: 2 * third, : 2 * third]  # outside the dense group
+    assert found[: 2 * third].sum() >= 0.95 * small.sum()
+
+
 def test_embedding_groups(spark):
     """Groups of more near copies than a node has near ones, with nothing else in their label."""
     rng = np.random.default_rng(8)
@@ -455,6 +483,7 @@ def test_embedding_groups(spark):
 def test_embedding_exact(spark, shard, monkeypatch):
     """An audit that is never content ends in the comparison of all pairs, also of labels with many shards."""
     monkeypatch.setattr(embedding_dedup, "SHARD", shard)
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 3 * shard // 2)
     rng = np.random.default_rng(9)
     v = np.repeat(rng.normal(size=(3, 16)), 60, axis=0) + 0.16 * rng.normal(size=(180, 16))
     unit = v.astype(np.float32).astype(float)
@@ -492,9 +521,10 @@ def test_license_texts(spark):
 
 
 @pytest.mark.parametrize("block", [3, 64])
-def test_tokens(spark, block, tmp_path):
+def test_tokens(spark, block, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_scan, "RANGE", 5)  # a file is read in several stretches
     texts = ["hello world", None, "", "x" * 3000, "a b c " * 50, "<|endoftext|> as text", "hello world"]
-    enc = token_scan.encoder(token_scan.RANKS)
+    enc = token_scan.encoder(token_scan.ranks_of(token_scan.RANKS))
     want = sorted((k, len(enc.encode_ordinary(t or ""))) for k, t in enumerate(texts))
     blocks = token_scan.token_blocks(docs(spark, texts).repartition(2, "doc_id"), block=block)
     got = token_scan.scan_separators(blocks)
