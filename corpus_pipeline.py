@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, secret redaction and source mixing over documents.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Null
-texts are rejected by the first stage. Ids are taken as they are: rows that share one are one document.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next
+one; all but the last return the columns of documents, further ones too, whatever their names.
+
+Rows: null, empty and wordless texts have no language and go in the first stage; a null language label isn't learned from;
+a null source is a source of its own; rows with a null id stay, each for itself; rows that share an id are one document, of
+which near-dedup keeps one row; ties and repeated rows go to the smallest id; texts may be of any length; an empty table
+gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -14,9 +19,9 @@ from heliograph.llm.common import materialize, table
 
 
 def languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected (no letters, or a calibrated score below the threshold) go."""
+    """Documents whose language is rejected go: no letters, a calibrated score too low, or subwords of no language learned."""
     model = language_id.fit(docs, F.col("text").isNotNull())
-    return language_id.identify(docs, model).filter("accepted").select(*docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +36,16 @@ def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars follows."""
+    """Secrets in texts are replaced by a mark; n_chars is that of the new texts."""
     clean = secret_scan.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with how many, and where each stretch goes (shard, place)."""
+    """Documents that the mix takes words of, with how many, and where each stretch goes (shard, place).
+
+    Columns of theirs that are named as the mix's own are left out.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "source")]
     return mixing.mix(docs, carry=rest).filter("taken > 0")
 
@@ -58,5 +66,5 @@ def run(spark, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = materialize(docs)  # else each stage would run again in every pass of the next
+            docs = materialize(docs)  # Parquet in the shared folder
     return docs
