@@ -8,33 +8,39 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import hot_keys, materialize, salted_join
 
 
+#: Edges whose rows, both ways, one task may hold whatever their nodes are.
+FEW_EDGES = 500_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(id, component_id) for each id that has an edge to another; component_id is the smallest id reachable.
 
     Each step links nodes to the smallest node that they know of. A node's links are merged on the map side before they
-    are dealt, and the rows of a node with very many links are dealt over several tasks. Edges with a null end, and loops, are
-    passed over.
+    are dealt, and of more than FEW_EDGES edges the rows of a node with very many links are dealt over several tasks. Edges
+    with a null end, and loops, are passed over.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = materialize(edges)
-    before = None
+    before, n = None, edges.count()
     for _ in range(most):
         # large star: each node's larger neighbours are linked with the smallest node near it
-        edges = materialize(_star(_star(edges, True), False))
+        many = n > FEW_EDGES
+        edges = materialize(_star(_star(edges, True, many), False, many))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-        before = tuple(now)
+        before, n = tuple(now), now[0]
     raise RuntimeError(f"components did not settle in {most} steps")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
     """edges: u > v, distinct."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    low = materialize(both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "x")))
-    joined = salted_join(both, low.select("x", "m"), "x", hot_keys(low, "x", "n"), spread="y")
+    low = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "x"))
+    low = materialize(low) if many else low
+    joined = salted_join(both, low.select("x", "m"), "x", hot_keys(low, "x", "n") if many else [], spread="y")
     if large:
         out = joined.filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
     else:

@@ -39,6 +39,8 @@ _PER_WORD = 64 // BITS
 SIDE, PIVOTS = 128, 4
 #: Most in a side where rows carry full sets.
 FULL_SIDE = 128
+#: Pairs that meet their sets in a task, at least.
+PAIRS_A_TASK = 1_000
 #: A cell's number is that of its lower side times this, plus its higher side.
 _CELL = 1_000_000_000
 #: Ids that may be broadcast: 8 bytes each.
@@ -297,8 +299,9 @@ def _cells(members: DataFrame, most: int) -> DataFrame:
     return sided.withColumn("other", F.explode(others)).withColumn("cell", F.least("side", "other").cast("long") * _CELL + F.greatest("side", "other"))
 
 
-def _dealt(cells: DataFrame, spark) -> DataFrame:
-    return cells.repartition(partitions_for(spark), "key", "cell").sortWithinPartitions("key", "cell")
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Rows by cell; Spark puts small cells together in a task."""
+    return cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
 class _Links:
@@ -324,7 +327,7 @@ class _Links:
             return salted_join(of, sets.select(F.col("id").alias(end), F.col("set").alias(f"s{end}")), end, hot, spread=other)
 
         # dealt anew: rows with two sets each must not come in few partitions, as the pairs' small table does
-        dealt = pairs.repartition(partitions_for(pairs.sparkSession))
+        dealt = pairs.repartition(min(partitions_for(pairs.sparkSession), 1 + pairs.count() // PAIRS_A_TASK))
         tested = with_set(with_set(dealt, "a", "b"), "b", "a").mapInArrow(_confirm(self.percent), "a long, b long, ok boolean")
         tested = materialize(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")))
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
@@ -361,7 +364,7 @@ def _with_main(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words_a_shingle: int = 3, percent: int = 85) -> DataFrame:
     """doc_id-named id, n_shingles, component_id, kept - a row for each row of ``docs``."""
-    spark, threshold = docs.sparkSession, percent / 100
+    threshold = percent / 100
     rows = rows_a_band(threshold)
     low_est = threshold - margin(threshold)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -380,7 +383,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     large = not sizes.filter(F.col("n") > SIDE).isEmpty()
     small = banded.join(sizes.filter(F.col("n") <= SIDE).select("key"), "key").join(sigs, "id")
     celled = small.select("key", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "id", "sig")
-    pairs = _dealt(celled, spark).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
+    pairs = _dealt(celled).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
     links = _Links(source, words_a_shingle, percent)
     if large:
         members, best = _large_buckets(banded, sizes, sigs, low_est)
@@ -388,7 +391,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     comps = connected_components(links.confirm(pairs))
     if large:
         cells = _cells(_with_main(members, comps), SIDE)
-        more = _dealt(cells.select("key", "cell", "side", "id", "sig"), spark).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
+        more = _dealt(cells.select("key", "cell", "side", "id", "sig")).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
         more = materialize(more.join(links.tested.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             comps = connected_components(links.confirm(more))
@@ -407,7 +410,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         near = materialize(salted_join(members, around, "comp", hot, spread="id").select("key", "id"))
         cells = _cells(_with_main(near, comps), FULL_SIDE).select("key", "cell", "side", "id", "comp")
         cells = cells.join(sigs, "id").join(links.sets(near.select("id").distinct()), "id")
-        more = materialize(_dealt(cells, spark).mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
+        more = materialize(_dealt(cells).mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     # a class has its smallest id's component
