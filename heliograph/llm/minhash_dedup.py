@@ -40,7 +40,7 @@ SIDE, PIVOTS = 128, 4
 #: Most in a side where rows carry full sets.
 FULL_SIDE = 128
 #: Pairs that meet their sets in a task, at least.
-PAIRS_A_TASK = 1_000
+PAIRS_A_TASK = 250
 #: A cell's number is that of its lower side times this, plus its higher side.
 _CELL = 1_000_000_000
 #: Ids that may be broadcast: 8 bytes each.
@@ -299,9 +299,10 @@ def _cells(members: DataFrame, most: int) -> DataFrame:
     return sided.withColumn("other", F.explode(others)).withColumn("cell", F.least("side", "other").cast("long") * _CELL + F.greatest("side", "other"))
 
 
-def _dealt(cells: DataFrame) -> DataFrame:
-    """Rows by cell; Spark puts small cells together in a task."""
-    return cells.repartition("key", "cell").sortWithinPartitions("key", "cell")
+def _dealt(cells: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows by cell; Spark puts small cells together in a task, unless their rows are wide and ``tasks`` is given."""
+    by = cells.repartition("key", "cell") if tasks is None else cells.repartition(tasks, "key", "cell")
+    return by.sortWithinPartitions("key", "cell")
 
 
 class _Links:
@@ -410,7 +411,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         near = materialize(salted_join(members, around, "comp", hot, spread="id").select("key", "id"))
         cells = _cells(_with_main(near, comps), FULL_SIDE).select("key", "cell", "side", "id", "comp")
         cells = cells.join(sigs, "id").join(links.sets(near.select("id").distinct()), "id")
-        more = materialize(_dealt(cells).mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
+        more = materialize(_dealt(cells, partitions_for(docs.sparkSession)).mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     # a class has its smallest id's component
