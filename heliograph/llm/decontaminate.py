@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from heliograph.llm.common import table
-from heliograph.llm.wordops import ALNUM, mix, texts_of, words
+from heliograph.llm.wordops import ALNUM, mix, texts_of, trim, words
 
 #: Words of items that are held at a time: an index takes some 100 bytes a word.
 BLOCK_WORDS = 1_000_000
@@ -377,6 +377,7 @@ def _dirty(shared):
     @F.arrow_udf("boolean")
     def dirty(column: pa.Array) -> pa.Array:
         hit = {r for r, *_ in _all(shared.value, column)}
+        trim()
         return pa.array([r in hit for r in range(len(column))], pa.bool_())
 
     return dirty

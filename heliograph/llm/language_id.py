@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import fresh, table
+from heliograph.llm.wordops import trim
 
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 50_000
 BITS = 14
@@ -260,7 +261,9 @@ def _found(docs: DataFrame, model: Model, text: str):
     def score(texts):
         import pandas as pd
 
-        return pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score", "accepted"])
+        out = pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score", "accepted"])
+        trim()
+        return out
 
     return score(F.col(text))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import hot_keys, materialize, partitions_for, salted_join, table
 from heliograph.llm.components import connected_components
-from heliograph.llm.wordops import mix, shingles, texts_of, words
+from heliograph.llm.wordops import mix, shingles, texts_of, trimmed, words
 
 #: Minima a document, and low bits kept of each.
 MINIMA, BITS = 256, 2
@@ -316,7 +316,7 @@ class _Links:
         """(id, set) of distinct ``ids``; of rows that share an id, those with the same text are one."""
         ids = materialize(ids)
         texts = self.source.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
-        return materialize(texts.mapInArrow(_full_sets(self.n), "id long, set binary").distinct())
+        return materialize(texts.mapInArrow(trimmed(_full_sets(self.n)), "id long, set binary").distinct())
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """All links confirmed so far, after the test of ``pairs`` (a, b)."""
@@ -329,7 +329,7 @@ class _Links:
 
         # dealt anew: rows with two sets each must not come in few partitions, as the pairs' small table does
         dealt = pairs.repartition(min(partitions_for(pairs.sparkSession), 1 + pairs.count() // PAIRS_A_TASK))
-        tested = with_set(with_set(dealt, "a", "b"), "b", "a").mapInArrow(_confirm(self.percent), "a long, b long, ok boolean")
+        tested = with_set(with_set(dealt, "a", "b"), "b", "a").mapInArrow(trimmed(_confirm(self.percent)), "a long, b long, ok boolean")
         tested = materialize(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")))
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
         return self.linked()
@@ -349,7 +349,7 @@ def _large_buckets(banded: DataFrame, sizes: DataFrame, sigs: DataFrame, low_est
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= PIVOTS)
     pivots = materialize(first.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("pivots")))
     held = salted_join(members, pivots, "key", hot_keys(large, "key", "n"), spread="id").select("key", "id", "sig", F.inline("pivots")).filter("id <> pivot")
-    near = held.mapInArrow(_plausible(low_est), "key long, id long, pivot long, est double")
+    near = held.mapInArrow(trimmed(_plausible(low_est)), "key long, id long, pivot long, est double")
     best = near.groupBy("key", "id").agg(F.max(F.struct("est", (-F.col("pivot")).alias("p"))).alias("b")).select("id", (-F.col("b.p")).alias("pivot"))
     return members, best.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     rows = rows_a_band(threshold)
     low_est = threshold - margin(threshold)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = materialize(source.mapInArrow(_sketch(words_a_shingle, rows), "id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
+    sketched = materialize(source.mapInArrow(trimmed(_sketch(words_a_shingle, rows)), "id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
 
     # classes of equal sets
     real = sketched.filter("id is not null and set_key is not null")
@@ -384,7 +384,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     large = not sizes.filter(F.col("n") > SIDE).isEmpty()
     small = banded.join(sizes.filter(F.col("n") <= SIDE).select("key"), "key").join(sigs, "id")
     celled = small.select("key", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "id", "sig")
-    pairs = _dealt(celled).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
+    pairs = _dealt(celled).mapInArrow(trimmed(_by_cell(_forest(low_est), ("side", "id"))), "a long, b long").distinct()
     links = _Links(source, words_a_shingle, percent)
     if large:
         members, best = _large_buckets(banded, sizes, sigs, low_est)
@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     comps = connected_components(links.confirm(pairs))
     if large:
         cells = _cells(_with_main(members, comps), SIDE)
-        more = _dealt(cells.select("key", "cell", "side", "id", "sig")).mapInArrow(_by_cell(_forest(low_est), ("side", "id")), "a long, b long").distinct()
+        more = _dealt(cells.select("key", "cell", "side", "id", "sig")).mapInArrow(trimmed(_by_cell(_forest(low_est), ("side", "id"))), "a long, b long").distinct()
         more = materialize(more.join(links.tested.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             comps = connected_components(links.confirm(more))
@@ -411,7 +411,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         near = materialize(salted_join(members, around, "comp", hot, spread="id").select("key", "id"))
         cells = _cells(_with_main(near, comps), FULL_SIDE).select("key", "cell", "side", "id", "comp")
         cells = cells.join(sigs, "id").join(links.sets(near.select("id").distinct()), "id")
-        more = materialize(_dealt(cells, partitions_for(docs.sparkSession)).mapInArrow(_by_cell(_crossing(low_est, percent), ("side", "id", "comp")), "a long, b long"))
+        more = materialize(_dealt(cells, partitions_for(docs.sparkSession)).mapInArrow(trimmed(_by_cell(_crossing(low_est, percent), ("side", "id", "comp"))), "a long, b long"))
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     # a class has its smallest id's component

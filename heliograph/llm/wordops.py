@@ -6,6 +6,9 @@ letters stay as they are. A word stands for its 64-bit hash.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,6 +26,23 @@ CHUNK = 1 << 20
 _powers, _inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(CHUNK, x, np.uint64))]) for x in (_BASE, _INVERSE))
 
 
+def trim() -> None:
+    """Give memory that isn't in use back to the system; else a Python worker holds on to the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library has no such call everywhere
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """``run``, a function over batches, which gives memory back in the end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)
