@@ -1,14 +1,12 @@
-"""Text functions over columns. Nothing here leaves the JVM but the exact NFKC form, which Spark lacks."""
+"""Text functions over columns. Nothing here leaves the JVM: NFKC and case folding are those of the ICU library in Spark."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -17,36 +15,22 @@ def none_of_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def casefold(value: Column) -> Column:
+    """Full case folding, as str.casefold does it."""
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), value, F.lit(True))
+
+
 def normalize(value: Column) -> Column:
-    """Lower case without white space: what normalize_exact gives wherever NFKC and case folding change no more."""
-    return F.regexp_replace(F.lower(value), r"\s+", "")
+    """NFKC, case folding, no white space: so full-width and ligature forms match plain ones."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
+    return F.when(value.isNotNull(), F.regexp_replace(casefold(composed), r"(?U)\s+", ""))
 
 
 def normalized(value: str) -> str:
-    """The exact form of one string: NFKC, case folding, no white space."""
+    """The same of one string."""
     return re.sub(r"\s+", "", unicodedata.normalize("NFKC", value).casefold())
 
 
-@F.pandas_udf(T.StringType())
-def normalize_exact(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else normalized(v))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unique_strings_exact(values: pd.Series) -> pd.Series:
-    """Trimmed, non-empty, the first of those whose exact form is equal."""
-
-    def unique(items):
-        seen: dict[str, str] = {}
-        for item in items if items is not None else []:
-            text = "" if item is None else item.strip()
-            if text:
-                seen.setdefault(normalized(text), text)
-        return list(seen.values())
-
-    return values.map(unique)
-
-
 def unique_by(values: Column, key) -> Column:
     """Trimmed and non-empty strings, the first of those with an equal ``key``, in order."""
     cleaned = F.filter(F.transform(F.coalesce(values, none_of_strings()), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
@@ -65,7 +49,7 @@ def unique_strings(values: Column) -> Column:
 
 
 def unique_casefold(values: Column) -> Column:
-    return unique_by(values, F.lower)
+    return unique_by(values, casefold)
 
 
 def tokens(text: Column) -> Column:
@@ -146,6 +130,27 @@ def checked_citations(text: Column, declared: Column, allowed: Column, refused:
     return F.struct(cited.alias("cited"), invalid.alias("invalid"), error.alias("error"))
 
 
+# How enumerated fields, colors and predicates are told.
+ENUMS = {
+    "primary_type": {
+        "general": "一般场景", "indoor": "室内", "street_urban": "城市街道", "nature": "自然风景", "people_activity": "人物活动", "food": "美食",
+        "transport": "交通出行", "animal_plant": "动植物", "object_exhibit": "物品展陈", "illustration_meme": "插画表情包", "document_screen": "文档屏幕",
+    },
+    "environment": {"indoor": "室内", "outdoor": "室外", "mixed": "室内外混合"},
+    "time_of_day": {"day": "白天", "dawn_dusk": "黄昏", "night": "夜晚"},
+    "weather": {"clear": "晴天", "cloudy": "阴天", "rain": "雨天", "snow": "雪天", "fog": "雾天"},
+    "media_type": {"natural_image": "自然图像", "illustration": "插画", "screenshot": "屏幕截图", "document_scan": "文档扫描", "mixed": "混合媒介"},
+}
+COLORS = {
+    "red": "红色", "orange": "橙色", "yellow": "黄色", "green": "绿色", "blue": "蓝色", "purple": "紫色", "pink": "粉色", "brown": "棕色",
+    "black": "黑色", "white": "白色", "gray": "灰色", "grey": "灰色", "silver": "银色", "gold": "金色",
+}
+RELATIONS = {
+    "left_of": "位于左侧", "right_of": "位于右侧", "above": "位于上方", "below": "位于下方", "in_front_of": "位于前方", "behind": "位于后方", "inside": "位于内部", "on": "位于上面",
+    "under": "位于下面", "next_to": "邻近", "overlapping": "重叠", "holding": "拿着", "wearing": "穿戴", "riding": "骑乘", "looking_at": "看向", "eating": "正在吃",
+}
+
+
 def localized(value: Column, names: dict[str, str]) -> Column:
     """A name's translation, itself where there is none."""
     return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[value], value)

@@ -19,6 +19,15 @@ def batches(fused: DataFrame, n: int = TOP_K) -> tuple[DataFrame, DataFrame]:
     return counted.filter(F.col("_n") == n).drop("_n"), counted.filter(F.col("_n") < n).select("query_id").distinct()
 
 
+def full_batches(fused: DataFrame, n: int = TOP_K) -> DataFrame:
+    """``batches``, or an error if a query has fewer than n candidates."""
+    full, short = batches(fused, n)
+    lacking = [r[0] for r in short.orderBy("query_id").limit(10).collect()]
+    if lacking:
+        raise ValueError(f"fewer than {n} candidates for queries {lacking}")
+    return full
+
+
 def with_fallback(hybrid: DataFrame, soft: DataFrame, n: int = TOP_K) -> DataFrame:
     """Rows of the strict filter mode for queries where it leaves n of them, else those of the soft mode, with ``mode``."""
     w = Window.partitionBy("query_id")
@@ -30,7 +39,8 @@ def with_fallback(hybrid: DataFrame, soft: DataFrame, n: int = TOP_K) -> DataFra
 def lines(rows: DataFrame, header: dict[str, object]) -> DataFrame:
     """One JSON text a query, from candidate rows with query, category, relative_path, branch maps and matched_fields."""
     entry = F.struct("rank", F.col("item_id").cast("string").alias("image_id"), "relative_path", "fused_score", "branch_scores", "branch_ranks", "matched_fields")
-    grouped = rows.groupBy("query_id", "query", "category").agg(F.array_sort(F.collect_list(entry)).alias("candidates"))  # TOP_K a query
+    by_rank = lambda a, b: (a["rank"] - b["rank"]).cast("int")
+    grouped = rows.groupBy("query_id", "query", "category").agg(F.array_sort(F.collect_list(entry), by_rank).alias("candidates"))  # TOP_K a query
     fixed = {"schema_version": SCHEMA_VERSION, "top_k": TOP_K} | header
     cols = [F.col(c) if c in grouped.columns else F.lit(fixed.get(c)).alias(c) for c in BATCH_FIELDS]
     return grouped.select(F.to_json(F.struct(*cols)).alias("value"))

@@ -60,7 +60,7 @@ def query_document(columns: list[str]) -> Column:
     parts = []
     for slot, label in QUERY_LABELS:
         if slot == "count" and {"count_target", "count_value"} <= set(columns):
-            parts.append((label, F.when(F.col("count_target").isNotNull() & F.col("count_value").isNotNull(), F.array(F.concat_ws(":", "count_target", F.coalesce("count_operator", F.lit("eq")), F.col("count_value").cast("string"))))))
+            parts.append((label, F.when(F.col("count_target").isNotNull() & F.col("count_value").isNotNull(), F.array(F.concat_ws(":", "count_target", F.coalesce("count_operator", F.lit("eq")) if "count_operator" in columns else F.lit("eq"), F.col("count_value").cast("string"))))))
         elif slot in columns:
             parts.append((label, F.col(slot)))
     slots = F.concat_ws(" ", *[F.when(F.size(F.coalesce(v, none_of_strings())) > 0, F.concat(F.lit(label + ":"), F.array_join(v, " "))) for label, v in parts])

@@ -67,7 +67,7 @@ def decide(pairs: DataFrame, catalog: Catalog | None = None, mode: str = "hybrid
     if {"count_target", "count_value"} <= set(have):
         asked = F.col("count_target").isNotNull() & F.col("count_value").isNotNull()
         actual = F.get(F.filter(F.coalesce("object_counts", F.array().cast("array<struct<name:string,count:int>>")), lambda x: catalog.matches(F.col("count_target"), F.array(normalize(x["name"])))), F.lit(0))["count"]
-        op = F.coalesce("count_operator", F.lit("eq"))
+        op = F.coalesce("count_operator", F.lit("eq")) if "count_operator" in have else F.lit("eq")
         holds = F.coalesce(F.when(op == "gte", actual >= F.col("count_value")).when(op == "lte", actual <= F.col("count_value")).otherwise(actual == F.col("count_value")), F.lit(False))
         told = F.concat(F.col("count_target"), F.lit("="), F.coalesce(actual.cast("string"), F.lit("unknown")), F.lit("("), op, F.col("count_value").cast("string"), F.lit(")"))
         checks.append(F.when(asked, F.array(item(holds, F.array(F.lit("object_counts")), F.concat(F.lit("count:"), told), F.concat(F.lit("wrong count:"), told)))).otherwise(F.array().cast(f"array<{kind}>")))

@@ -23,15 +23,23 @@ def first_of_each(rankings: DataFrame) -> DataFrame:
 
 def compacted(rankings: DataFrame) -> DataFrame:
     """First places only, ranks counted anew from 1: what filters leave behind."""
+    return compacted_rows(first_of_each(rankings))
+
+
+def compacted_rows(rankings: DataFrame) -> DataFrame:
+    """Ranks counted anew, of rankings that hold an item once a branch."""
     by = Window.partitionBy("query_id", "branch").orderBy("rank", "item_id")
-    return first_of_each(rankings).withColumn("rank", F.row_number().over(by))
+    return rankings.withColumn("rank", F.row_number().over(by))
+
 
+def rrf(rankings: DataFrame, k: int = 60, carry: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, item_id, fused_score, branch_scores, branch_ranks: sums of 1 / (k + rank).
 
-def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
-    """query_id, item_id, fused_score, branch_scores, branch_ranks: sums of 1 / (k + rank)."""
+    ``carry``: columns that depend on query and item alone; rankings that have them hold an item once a branch.
+    """
     if k < 0:
         raise ValueError("k must not be negative")
-    return _fused(first_of_each(rankings), F.sum(1.0 / (k + F.col("rank"))))
+    return _fused(rankings if carry else first_of_each(rankings), F.sum(1.0 / (k + F.col("rank"))), carry)
 
 
 def min_max(rankings: DataFrame) -> DataFrame:
@@ -41,8 +49,8 @@ def min_max(rankings: DataFrame) -> DataFrame:
     return rankings.withColumn("norm", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
 
 
-def weighted(rankings: DataFrame, weights: dict[str, float], active: tuple[str, ...] = BRANCHES) -> DataFrame:
-    """Weighted mean of min-max scores; weights of all active branches count, of those without rows too."""
+def weighted(rankings: DataFrame, weights: dict[str, float], active: tuple[str, ...] = BRANCHES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted mean of min-max scores; weights of all active branches count, of those without rows too. ``carry`` as in ``rrf``."""
     unknown = set(weights) - set(active)
     if unknown:
         raise ValueError(f"weights of inactive branches: {sorted(unknown)}")
@@ -53,13 +61,13 @@ def weighted(rankings: DataFrame, weights: dict[str, float], active: tuple[str,
     if total <= 0:
         raise ValueError("weights must not be all zero")
     weight = F.create_map(*[F.lit(x) for kv in full.items() for x in kv])[F.col("branch")]
-    return _fused(min_max(first_of_each(rankings)), F.sum(weight * F.col("norm")) / total)
+    return _fused(min_max(rankings if carry else first_of_each(rankings)), F.sum(weight * F.col("norm")) / total, carry)
 
 
-def _fused(rankings: DataFrame, score: Column) -> DataFrame:
+def _fused(rankings: DataFrame, score: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """One aggregation by query and item: no chain of outer joins over branches."""
     entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("branch", c))))  # noqa: E731  at most one entry a branch
-    return rankings.groupBy("query_id", "item_id").agg(score.alias("fused_score"), entries("score").alias("branch_scores"), entries("rank").alias("branch_ranks"))
+    return rankings.groupBy("query_id", "item_id").agg(score.alias("fused_score"), entries("score").alias("branch_scores"), entries("rank").alias("branch_ranks"), *[F.first(c).alias(c) for c in carry])
 
 
 def top(fused: DataFrame, n: int, digits: int = 9) -> DataFrame:

@@ -71,6 +71,27 @@ def set_errors(tasks: DataFrame, judged: DataFrame, items: DataFrame, expected:
     return out.distinct()
 
 
+def set_facts(tasks: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row: tasks, judgments, tasks by category (category=n, in order) and the annotators."""
+    by = tasks.groupBy("category").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))), lambda x: F.concat_ws("=", x["category"], x["n"].cast("string"))), ",").alias("categories"))  # a category a row
+    facts = tasks.agg(F.count(F.lit(1)).alias("tasks"), F.array_join(F.array_sort(F.collect_set("annotator")), ",").alias("annotators"))
+    return facts.crossJoin(F.broadcast(by)).crossJoin(F.broadcast(judged.agg(F.count(F.lit(1)).alias("judgments"))))  # one row each
+
+
+def refuse(queries: DataFrame, judged: DataFrame, most: int = 10) -> None:
+    """An evaluation's guard: raises if a query has no text, no category, isn't reviewed or is an automatic seed, repeats, or has no judgment."""
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = queries.filter(text("text") | text("category") | ~F.coalesce("reviewed", F.lit(False)) | (F.col("category") == "auto_seed"))
+    twice = queries.groupBy("query_id").count().filter("count > 1")
+    bare = queries.join(judged, "query_id", "left_anti")
+    if queries.isEmpty():
+        raise ValueError("evaluation refused: no queries")
+    for what, found in (("not reviewed, without text or category, or seeds", bad), ("repeated", twice), ("without judgments", bare)):
+        ids = [r[0] for r in found.select("query_id").distinct().orderBy("query_id").limit(most).collect()]
+        if ids:
+            raise ValueError(f"evaluation refused: queries {what}: {ids}")
+
+
 def seeded(items: DataFrame, n: int) -> DataFrame:
     """The first n items by id as queries q001, q002, ... with a grade-2 judgment of the item itself, marked auto_seed."""
     first = items.orderBy("item_id").limit(n)
@@ -83,26 +104,57 @@ def sample(items: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return items.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(n).orderBy("item_id")
 
 
-def training_pairs(annotations: DataFrame, seed: int = 20260802) -> DataFrame:
-    """From (item_id, scene, document, queries): query, item_id, negative_item_id, negative_kind.
+#: Items of a ring that are sorted in a task.
+RING_ROWS = 50_000
+
+
+def ring(rows: DataFrame, by: tuple[str, ...], n: int, name: str) -> DataFrame:
+    """``rows`` (item_id, _h) with the next item of its ring: items by hash, the last one's next being the first.
+
+    A ring (of the rows with equal ``by``) is cut in buckets by hash, of about RING_ROWS rows; a bucket's last item goes on
+    to the first of the next bucket that has any.
+    """
+    cut = rows.withColumn("_b", F.pmod("_h", F.lit(1 + n // RING_ROWS)))
+    inside = Window.partitionBy(*by, "_b").orderBy("_h", "item_id")
+    around = Window.partitionBy(*by).orderBy("_b")  # a row a bucket
+    heads = cut.groupBy(*by, "_b").agg(F.min(F.struct("_h", "item_id")).alias("f")).withColumn("head", F.col("f.item_id"))
+    heads = heads.select(*by, "_b", F.coalesce(F.lead("head").over(around), F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_next"))
+    last = cut.withColumn("_lead", F.lead("item_id").over(inside))
+    keyed = last.join(heads.withColumnsRenamed({c: f"_k_{c}" for c in by}).withColumnRenamed("_b", "_k_b"), (F.col("_b") == F.col("_k_b")) & _same(by), "left")
+    return keyed.withColumn(name, F.coalesce("_lead", "_next")).drop("_b", "_lead", "_next", "_k_b", *[f"_k_{c}" for c in by])
+
+
+def _same(by: tuple[str, ...]):
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return out
+
+
+def training_pairs(annotations: DataFrame, seed: int = 20260802, split: str | None = "split") -> DataFrame:
+    """From (item_id, scene, queries, and a split if there is one): query, item_id, negative_item_id, negative_kind.
 
     An item's first query gets a negative of its own scene (the next one in a hashed ring of the scene's items), its other
     ones - and those of a scene's only item - one from the ring of all items. A ring's neighbour stands for a random pick:
-    it needs no pairing of a scene's items with each other.
+    it needs no pairing of a scene's items with each other. Items of another split than Train are refused.
     """
-    mixed = F.xxhash64(F.lit(seed), "item_id")
-    ringed = annotations.withColumn("_h", mixed)
-    scene = Window.partitionBy("scene").orderBy("_h", "item_id")
-    of_scene = ringed.withColumn("hard", F.coalesce(F.lead("item_id").over(scene), F.first("item_id").over(scene.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    # the ring of all items is cut in buckets by hash, so that no task sorts them all
-    ring = Window.partitionBy(F.pmod("_h", F.lit(64))).orderBy(F.desc("_h"), "item_id")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    both = of_scene.withColumn("random", F.coalesce(F.lead("item_id").over(ring), F.first("item_id").over(whole)))
-    lone = both.agg(F.min("item_id").alias("_a"), F.max("item_id").alias("_b"))  # for buckets of one item
-    both = both.crossJoin(F.broadcast(lone)).withColumn("random", F.when(F.col("random") != F.col("item_id"), F.col("random")).when(F.col("item_id") != F.col("_a"), F.col("_a")).when(F.col("item_id") != F.col("_b"), F.col("_b")))
-    each = both.select("item_id", "hard", "random", F.posexplode("queries").alias("at", "query"))
+    if split and split in annotations.columns:
+        if not annotations.filter(F.col(split) != "Train").isEmpty():
+            raise ValueError("training pairs are made of the Train split only")
+        annotations = annotations.drop(split)
+    n = annotations.count()
+    if n < 2:
+        raise ValueError("training pairs need two items")
+    ringed = ring(ring(annotations.withColumn("_h", F.xxhash64(F.lit(seed), "item_id")), ("scene",), n, "hard"), (), n, "random")
+    each = ringed.select("item_id", "hard", "random", F.posexplode("queries").alias("at", "query"))
     is_hard = (F.col("at") == 0) & (F.col("hard") != F.col("item_id"))
-    return each.select("query", "item_id", F.when(is_hard, F.col("hard")).otherwise(F.col("random")).alias("negative_item_id"), F.when(is_hard, "hard").otherwise("random").alias("negative_kind")).filter("negative_item_id is not null")
+    return each.select("query", "item_id", F.when(is_hard, F.col("hard")).otherwise(F.col("random")).alias("negative_item_id"), F.when(is_hard, "hard").otherwise("random").alias("negative_kind"))
+
+
+def training_triples(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """query, positive, negative and negative_kind: the texts of pairs, from (item_id, document)."""
+    negatives = documents.select(F.col("item_id").alias("negative_item_id"), F.col("document").alias("negative"))
+    return pairs.join(documents.select("item_id", F.col("document").alias("positive")), "item_id").join(negatives, "negative_item_id").select("query", "positive", "negative", "negative_kind", "item_id", "negative_item_id")
 
 
 def train_split(pairs: DataFrame, share: float = 0.9) -> DataFrame:

@@ -51,3 +51,19 @@ def overlap(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     a, b = (x.filter(F.col("rank") <= k).select("query_id", "item_id", F.col("rank").alias(n)) for x, n in ((left, "a"), (right, "b")))
     both = a.join(b, ["query_id", "item_id"], "full").groupBy("query_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("either"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("shift"), F.greatest(F.count("a"), F.count("b")).alias("longer"))
     return both.select("query_id", (F.col("shared") / F.greatest(F.lit(1), F.least(F.lit(k), "either"))).alias("overlap"), F.coalesce("shift", F.col("longer").cast("double")).alias("rank_shift"))
+
+
+def overlap_summary(per_query_: DataFrame, category: str = "category") -> DataFrame:
+    """Overall and by category: queries, mean overlap and mean rank shift, and the mean latencies that there are."""
+    latencies = [c for c in per_query_.columns if c.endswith("latency")]
+    return summary(per_query_, category, ["overlap", "rank_shift", *latencies])
+
+
+def by_variant(rankings: DataFrame, judged: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Of rankings with ``variant``: variant, n and the mean of each metric over all judged queries; one plan for all variants."""
+    variants = rankings.select("variant").distinct()
+    keyed = lambda df: df.withColumn("query_id", F.struct("variant", "query_id")).drop("variant")
+    # variants are a short list
+    every = per_query(keyed(rankings), keyed(judged.crossJoin(F.broadcast(variants))), ks)
+    names = [c for c in every.columns if c != "query_id"]
+    return every.groupBy(F.col("query_id.variant").alias("variant")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names])

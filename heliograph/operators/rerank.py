@@ -2,43 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.payloads import extract_object
 
 
-def pointwise(candidates: DataFrame) -> DataFrame:
-    """From (query_id, item_id, fused_score, response: 0 to 100, error): 0.35 of the relative fused score, 0.65 of the response.
+def pointwise(candidates: DataFrame, fused_weight: float = 0.35, scorer_weight: float = 0.65) -> DataFrame:
+    """From (query_id, item_id, fused_score, response: 0 to 100, error): with rerank_score, combined, mismatch and new_rank.
 
-    A failed item's rerank score is 0, and the reason is told; ties keep the order of the candidates' ranks.
+    rerank_score is the response within 0 and 100, and 0 where the scorer failed, which mismatch tells. The order is that of
+    ``combined``, the weighted sum of the relative fused score and rerank_score / 100 - a failed item keeps its first part -
+    and ties go by id. If the best fused score is 0, fused scores count as they are.
     """
     top = F.max("fused_score").over(Window.partitionBy("query_id"))
     relative = F.col("fused_score") / F.when(top == 0, 1.0).otherwise(top)
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("response")))
     ok = F.col("error").isNull() & F.col("response").isNotNull()
-    out = candidates.withColumn("rerank_score", F.when(ok, 0.35 * relative + 0.65 * clamped / 100).otherwise(0.0))
+    score = F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("response")))).otherwise(0.0)
+    out = candidates.withColumn("rerank_score", score).withColumn("combined", fused_weight * relative + scorer_weight * score / 100)
     out = out.withColumn("mismatch", F.when(~ok, F.concat(F.lit("rerank failed: "), F.coalesce("error", F.lit("no response")))))
-    by = Window.partitionBy("query_id").orderBy(F.round("rerank_score", 9).desc(), "rank", "item_id")
+    by = Window.partitionBy("query_id").orderBy(F.round("combined", 9).desc(), "item_id")
     return out.withColumn("new_rank", F.row_number().over(by))
 
 
+def pointwise_answers(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """``candidates`` with response and error, from (query_id, item_id, answer: prose with a JSON object, or null).
+
+    An answer that names another item, or whose score is no number, fails; one without a score has 0.
+    """
+    got = answers.select("query_id", "item_id", extract_object(F.col("answer")).alias("j"))
+    met = candidates.join(got, ["query_id", "item_id"], "left")
+    name, score = F.trim(F.coalesce(F.get_json_object("j", "$.image_id"), F.lit(""))), F.get_json_object("j", "$.score")
+    number = F.when(score.isNull(), 0.0).otherwise(score.try_cast("double"))
+    error = F.when(F.col("j").isNull(), "no JSON object").when((name != "") & (name != F.col("item_id").cast("string")), F.concat(F.lit("names "), name)).when(number.isNull(), "score is no number")
+    return met.withColumn("error", error).withColumn("response", F.when(error.isNull(), number)).drop("j")
+
+
 def listwise(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """From candidates (query_id, item_id, rank) and answers (query_id, answer: prose with a JSON ranking).
 
-    Entries name an item by id or by its place, with a score or without one (then 100 (n - place) / max(1, n - 1)).
-    Repeated entries drop, missing items follow with 0; an unknown entry, or no ranking, leaves the query's order as it was,
-    with ``error``. Returns query_id, item_id, new_rank, score, degraded, error.
+    Entries name an item by id or by its place in digits, with a score or without one (then 100 (n - place) / max(1, n - 1)).
+    Repeated entries drop, missing items follow with 0; an unknown entry, a score that is no number, or no ranking leaves
+    the query's order as it was, with ``error``. Returns query_id, item_id, new_rank, score, degraded, error.
     """
     sizes = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     got = answers.select("query_id", extract_object(F.col("answer")).alias("j"))
     entries = got.select("query_id", F.posexplode_outer(F.from_json(F.get_json_object("j", "$.ranking"), "array<string>")).alias("place", "e"))
-    name = F.coalesce(F.get_json_object("e", "$.image_id"), F.get_json_object("e", "$.item_id"), F.get_json_object("e", "$.index"), F.when(~F.col("e").startswith("{"), F.trim("e")))
-    entries = entries.select("query_id", (F.col("place") + 1).alias("place"), name.alias("name"), F.get_json_object("e", "$.score").try_cast("double").alias("score"))
+    name = F.trim(F.coalesce(F.get_json_object("e", "$.image_id"), F.get_json_object("e", "$.item_id"), F.get_json_object("e", "$.index"), F.when(~F.col("e").startswith("{"), F.col("e"))))
+    said = F.get_json_object("e", "$.score")
+    entries = entries.select("query_id", (F.col("place") + 1).alias("place"), name.alias("name"), said.try_cast("double").alias("score"), (said.isNotNull() & said.try_cast("double").isNull()).alias("bad"))
+    entries = entries.withColumn("at", F.when(F.col("name").rlike("^[0-9]{1,9}$"), F.col("name").cast("int")))
     by_id = candidates.select("query_id", F.col("item_id").alias("_id"), F.col("item_id").cast("string").alias("name"))
-    by_place = candidates.select("query_id", F.col("item_id").alias("_at"), F.col("rank").cast("string").alias("name"))
-    met = entries.join(by_id, ["query_id", "name"], "left").join(by_place, ["query_id", "name"], "left").withColumn("item_id", F.coalesce("_id", "_at"))
-    bad = met.groupBy("query_id").agg(F.count_if(F.col("item_id").isNull()).alias("unknown"), F.count("name").alias("named"))
+    by_place = candidates.select("query_id", F.col("item_id").alias("_at"), F.col("rank").cast("int").alias("at"))
+    met = entries.join(by_id, ["query_id", "name"], "left").join(by_place, ["query_id", "at"], "left").withColumn("item_id", F.coalesce("_id", "_at"))
+    bad = met.groupBy("query_id").agg(F.count_if(F.col("item_id").isNull() | F.coalesce("bad", F.lit(False))).alias("unknown"), F.count("name").alias("named"))
     first = met.filter("item_id is not null").groupBy("query_id", "item_id").agg(F.min(F.struct("place", "score")).alias("f"), F.count(F.lit(1)).alias("times"))
     all_ = candidates.join(sizes, "query_id").join(bad, "query_id", "left").join(first, ["query_id", "item_id"], "left")
     failed = F.coalesce(F.col("unknown") > 0, F.lit(True)) | F.coalesce(F.col("named") == 0, F.lit(True))
@@ -52,19 +69,21 @@ def listwise(candidates: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def latency_suite(runs: DataFrame) -> DataFrame:
-    """From (run, query_id, category, top_k, latency_ms, success): a row for each scope and group.
+    """From (run, query_id, category, top_k, latency_ms, success, and peak_bytes if it was measured): a row for each scope and group.
 
-    Scopes: overall, cold (the first run of all), warm, top_k and category. Latencies are of successful runs only; they
-    are null where there is none. One pass: a run is spread to its scopes, then grouped.
+    Scopes: overall, cold (the first run of all), warm, top_k and category. Latencies are of successful runs only; they,
+    and the peak, are null where there is none. One pass: a run is spread to its scopes, then grouped.
     """
     first = runs.agg(F.min("run").alias("first"))
     marked = runs.crossJoin(F.broadcast(first)).withColumn("phase", F.when(F.col("run") == F.col("first"), "cold").otherwise("warm"))  # one row
     scopes = F.array(*[F.struct(F.lit(s).alias("scope"), g.cast("string").alias("group")) for s, g in (("overall", F.lit("all")), ("phase", F.col("phase")), ("top_k", F.col("top_k")), ("category", F.col("category")))])
     good = F.when(F.col("success"), F.col("latency_ms"))
-    spread = marked.select("latency_ms", "success", F.inline(scopes))
+    if "peak_bytes" not in marked.columns:
+        marked = marked.withColumn("peak_bytes", F.lit(None).cast("long"))
+    spread = marked.select("latency_ms", "success", "peak_bytes", F.inline(scopes))
     return spread.groupBy("scope", "group").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("success")).alias("failures"), (F.count_if(~F.col("success")) / F.count(F.lit(1))).alias("failure_rate"),
-        F.avg(good).alias("mean"), F.percentile(good, 0.5).alias("p50"), F.percentile(good, 0.95).alias("p95"),
+        F.avg(good).alias("mean"), F.percentile(good, 0.5).alias("p50"), F.percentile(good, 0.95).alias("p95"), F.max("peak_bytes").alias("peak_bytes"),
     )
 
 
@@ -72,3 +91,31 @@ def speed_up(runs: DataFrame) -> DataFrame:
     """From (method, query_id, latency_ms, success): one row; pointwise over listwise time a query, null if that is 0."""
     per = runs.groupBy("query_id").agg(F.sum(F.when(F.col("method") == "pointwise", F.col("latency_ms"))).alias("p"), F.sum(F.when(F.col("method") == "listwise", F.col("latency_ms"))).alias("l"))
     return per.agg(F.avg("p").alias("pointwise_ms"), F.avg("l").alias("listwise_ms")).withColumn("speed_up", F.col("pointwise_ms") / F.nullif(F.col("listwise_ms"), F.lit(0.0)))
+
+
+def benchmark(runs: DataFrame, by: tuple[str, ...] = ("method",)) -> DataFrame:
+    """From (repeat, latency_ms, success, degraded, peak_bytes and ``by``): runs, failures, degraded ones, latencies and peaks.
+
+    repeat_total_ms is the list of each repeat's total, in order of repeats; rates are of all runs.
+    """
+    repeats = runs.groupBy(*by, "repeat").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("f"), F.count_if("degraded").alias("d"), F.sum("latency_ms").alias("t"), F.max("peak_bytes").alias("p"),
+    )
+    n = F.sum("n")
+    return repeats.groupBy(*by).agg(
+        n.alias("runs"), F.sum("f").alias("failures"), (F.sum("f") / n).alias("failure_rate"), F.sum("d").alias("degraded"), (F.sum("d") / n).alias("degraded_rate"), (F.sum("t") / n).alias("mean_ms"), F.sum("t").alias("total_ms"),
+        F.transform(F.array_sort(F.collect_list(F.struct("repeat", "t"))), lambda x: x["t"]).alias("repeat_total_ms"), F.max("p").alias("peak_bytes"),
+    )
+
+
+def image_size(width: Column, height: Column, most_pixels: int) -> Column:
+    """struct(width, height) of an image under a cap of pixels, its shape kept; never under a pixel a side."""
+    scale = F.least(F.lit(1.0), F.sqrt(F.lit(float(most_pixels)) / (width * height)))
+    side = lambda x: F.greatest(F.lit(1), F.floor(x * scale)).cast("long")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def sheet_size(n: Column, columns: int = 5, tile: int = 192) -> Column:
+    """struct(rows, width, height) of a contact sheet of ``n`` tiles."""
+    rows = F.ceil(n / columns).cast("long")
+    return F.struct(rows.alias("rows"), F.lit(columns * tile).cast("long").alias("width"), (rows * tile).alias("height"))

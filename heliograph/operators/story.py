@@ -72,11 +72,34 @@ def sections(ordered: DataFrame, gapped: DataFrame) -> DataFrame:
     return ordered.join(gapped.select("story_id", F.col("after_item_id").alias("item_id"), "gap", "reason"), ["story_id", "item_id"], "left")
 
 
-def fallback_answers(evidence: DataFrame) -> DataFrame:
-    """From (question_id, item_id, relevant, facts): an answer of all usable facts with citations, or a refusal."""
+def filled(gapped: DataFrame, generate, seed: int = 0) -> DataFrame:
+    """``gapped`` with status (generated or failed), generated and error: what ``generate`` gives for each gap.
+
+    ``generate`` takes rows with story_id, gap, reason and seed (``seed`` and the gap's place from 0 on) and returns
+    story_id, gap, generated and error; a gap that it returns nothing for has failed.
+    """
+    made = generate(gapped.withColumn("seed", F.lit(seed) + F.col("gap") - 1)).select("story_id", "gap", "generated", "error")
+    out = gapped.join(made, ["story_id", "gap"], "left")
+    good = F.col("generated").isNotNull() & F.col("error").isNull()
+    return out.withColumn("status", F.when(good, "generated").otherwise("failed")).withColumn("error", F.when(~good, F.coalesce("error", F.lit("nothing was generated"))))
+
+
+def written(ordered: DataFrame, gapped: DataFrame) -> DataFrame:
+    """A story a row: sections in order, each an item (struct place, item_id, gap, reason), and the number of gaps."""
+    parts = sections(ordered, gapped).groupBy("story_id").agg(F.array_sort(F.collect_list(F.struct("place", "item_id", "gap", "reason"))).alias("sections"))  # at most MOST a story
+    return parts.withColumn("gaps", F.size(F.filter("sections", lambda s: s["gap"].isNotNull())))
+
+
+def fallback_answers(evidence: DataFrame, most: int = 3) -> DataFrame:
+    """From (question_id, item_id, relevant, facts): an answer of the usable facts with citations, or a refusal.
+
+    Evidence of a question is its first ``most`` items by id.
+    """
+    by = Window.partitionBy("question_id").orderBy("item_id")
+    evidence = evidence.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= most)
     usable = F.coalesce(F.col("relevant"), F.lit(False)) & (F.size("facts") > 0)
     line = F.concat(F.array_join("facts", "; "), F.lit("[img_"), F.col("item_id").cast("string"), F.lit("]"))
-    lines = F.array_sort(F.collect_list(F.when(usable, F.struct(F.col("item_id").alias("i"), line.alias("l")))))  # 1 to 3 items a question
+    lines = F.array_sort(F.collect_list(F.when(usable, F.struct(F.col("item_id").alias("i"), line.alias("l")))))  # at most ``most`` a question
     grouped = evidence.groupBy("question_id").agg(lines.alias("ls"))
     return grouped.select("question_id", F.when(F.size("ls") == 0, "insufficient evidence").otherwise(F.array_join(F.transform("ls", lambda x: x["l"]), " ")).alias("answer"), (F.size("ls") == 0).alias("refused"), F.array_join(F.transform("ls", lambda x: x["i"].cast("string")), ",").alias("citations"))
 

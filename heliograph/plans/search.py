@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.aliases import Catalog
 from heliograph.operators import filters, fusion
-from heliograph.operators.documents import FIELDS, fields, normalized_fields
+from heliograph.operators.delivery import with_fallback
+from heliograph.operators.documents import FIELDS, fields, normalized_fields, query_document
+
+ASKED = (*filters.SLOTS, "excluded_terms", "required_terms", "ocr_terms", "count_target", "count_value", "count_operator")
+REASONS = ("matched_fields", "evidence", "mismatch")
 
 
 @dataclass
 class Searcher:
-    """``branches``: name -> function from (queries, k) to (query_id, item_id, score, rank)."""
+    """``branches``: name -> function from (queries, k) to (query_id, item_id, score, rank).
+
+    ``keep`` is called with each branch's ranking; tables.kept writes it, so that a branch which fails while it runs is
+    left out too, and rankings that several plans read are made once. Without it a plan is made for all at once.
+    """
 
     annotations: DataFrame
     branches: dict[str, Callable[[DataFrame, int], DataFrame]]
@@ -24,6 +32,7 @@ class Searcher:
     method: str = "rrf"
     rrf_k: int = 60
     weights: dict[str, float] = field(default_factory=dict)
+    keep: Callable[[DataFrame], DataFrame] | None = None
     errors: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -37,12 +46,21 @@ class Searcher:
         return (*known, *[b for b in self.branches if b not in known and b not in self.errors])
 
     def recall(self, queries: DataFrame, candidates: int) -> DataFrame:
-        """Rankings of all branches. A branch whose plan can't be made is left out and noted; none left is an error."""
+        """Rankings of all branches, by the query's document. A branch that fails is left out and noted; none left is an error.
+
+        Queries have query_id and either text, or the columns of a parsed query.
+        """
+        if "raw_text" not in queries.columns:
+            queries = queries.withColumn("raw_text", F.col("text"))
+        if "semantic_text" not in queries.columns:
+            queries = queries.withColumn("semantic_text", F.col("raw_text"))
+        queries = queries.withColumn("text", query_document(queries.columns))
         self.errors, out = {}, None
         for name, search in self.branches.items():
             try:
                 one = search(queries, candidates).select("query_id", F.lit(name).alias("branch"), "item_id", "score", "rank")
                 one.schema  # noqa: B018  analyses the plan now
+                one = self.keep(one) if self.keep else one
             except Exception as e:
                 self.errors[name] = f"{type(e).__name__}: {e}"
                 continue
@@ -51,46 +69,55 @@ class Searcher:
             raise RuntimeError(f"all retrieval branches failed: {self.errors}")
         return out
 
-    def decisions(self, rankings: DataFrame, queries: DataFrame) -> DataFrame:
-        """What the filter decides of each recalled pair of query and item, once for all branches."""
-        annotated = normalized_fields(fields(self.annotations)).select("item_id", "object_counts", "f", "n")
-        pairs = rankings.select("query_id", "item_id").distinct().join(annotated, "item_id")
-        asked = [c for c in queries.columns if c in (*filters.SLOTS, "excluded_terms", "required_terms", "ocr_terms", "count_target", "count_value", "count_operator")]
-        pairs = pairs.join(queries.select("query_id", *asked), "query_id")
-        return filters.decide(pairs, self.catalog, self.mode).select("query_id", "item_id", "allowed", "matched_fields", "evidence", "mismatch")
+    def decided(self, rankings: DataFrame, queries: DataFrame, mode: str | None = None) -> DataFrame:
+        """A row for each recalled pair of query and item: hits (branch, rank, score), and what the filter decides of it, once."""
+        hits = rankings.groupBy("query_id", "item_id").agg(F.collect_list(F.struct("branch", "rank", "score")).alias("hits"))  # a few a branch
+        path = [c for c in ("relative_path",) if c in self.annotations.columns]
+        annotated = normalized_fields(fields(self.annotations)).select("item_id", "object_counts", "f", "n", *path)
+        pairs = hits.join(annotated, "item_id").join(queries.select("query_id", *[c for c in queries.columns if c in ASKED]), "query_id")
+        return filters.decide(pairs, self.catalog, mode or self.mode).select("query_id", "item_id", "hits", "allowed", *path, *REASONS)
+
+    def compacted(self, decided: DataFrame) -> DataFrame:
+        """Rankings of what is allowed: an item counts where it first stands in a branch, and ranks are counted anew."""
+        first = F.transform(F.array_distinct(F.transform("hits", lambda h: h["branch"])), lambda b: F.array_min(F.filter("hits", lambda h: h["branch"] == b)))
+        carry = [c for c in decided.columns if c not in ("query_id", "item_id", "hits", "allowed")]
+        rows = decided.filter("allowed").select("query_id", "item_id", *carry, F.inline(first))
+        return fusion.compacted_rows(rows)
+
+    def _fused(self, kept: DataFrame, method: str, weights: dict[str, float], results: int) -> DataFrame:
+        carry = tuple(c for c in kept.columns if c not in ("query_id", "item_id", "branch", "rank", "score"))
+        active = self.active()
+        fused = fusion.rrf(kept, self.rrf_k, carry) if method == "rrf" else fusion.weighted(kept, {b: weights.get(b, 1.0) for b in active}, active, carry)
+        return fusion.top(fused, results).withColumn("active_branches", F.array(*map(F.lit, active)))
 
     def search(self, queries: DataFrame, candidates: int = 50, results: int = 30) -> DataFrame:
-        """query_id, rank, item_id, fused_score, branch_scores, branch_ranks, matched_fields, evidence.
+        """query_id, rank, item_id, relative_path (if annotations have it), fused_score, branch_scores, branch_ranks,
+        matched_fields, evidence, mismatch, active_branches.
 
         Recall takes ``candidates`` a branch before the filter, which may not move below it; ranks are counted anew after.
+        Without candidates or results there are no rows.
         """
         if candidates <= 0 or results <= 0:
-            raise ValueError("candidates and results must be positive")
-        # both are read more than once, and hold at most branches * candidates rows a query
-        rankings = self.recall(queries, candidates).persist()
-        decided = self.decisions(rankings, queries).persist()
-        kept = fusion.compacted(rankings.join(decided.filter("allowed").select("query_id", "item_id"), ["query_id", "item_id"], "left_semi"))
-        fused = fusion.rrf(kept, self.rrf_k) if self.method == "rrf" else fusion.weighted(kept, self.weights, self.active())
-        best = fusion.top(fused, results)
-        return best.join(decided.select("query_id", "item_id", "matched_fields", "evidence"), ["query_id", "item_id"])
+            return self.search(queries, 1, 1).limit(0)
+        return self.fuse(self.recall(queries, candidates), queries, results)
+
+    def fuse(self, rankings: DataFrame, queries: DataFrame, results: int, mode: str | None = None) -> DataFrame:
+        return self._fused(self.compacted(self.decided(rankings, queries, mode)), self.method, self.weights, results)
 
     def with_fallback(self, queries: DataFrame, candidates: int, results: int) -> DataFrame:
         """search(), and for queries with fewer results than asked for, what the soft mode finds; recall is the same."""
-        from heliograph.operators.delivery import with_fallback
-
-        soft = Searcher(self.annotations, self.branches, self.catalog, "soft", self.method, self.rrf_k, self.weights)
-        return with_fallback(self.search(queries, candidates, results), soft.search(queries, candidates, results), results)
+        rankings = self.recall(queries, candidates)
+        return with_fallback(self.fuse(rankings, queries, results), self.fuse(rankings, queries, results, "soft"), results)
 
-    def ablation(self, queries: DataFrame, candidates: int, results: int, weights: dict[str, float]) -> DataFrame:
+    def ablation(self, queries: DataFrame, candidates: int, results: int, weights: dict[str, float], branches: bool = True) -> DataFrame:
         """``variant`` by variant - each branch alone, all by rank, all by weight - from one recall and one filter."""
-        rankings = self.recall(queries, candidates).persist()
-        allowed = self.decisions(rankings, queries).filter("allowed").select("query_id", "item_id")
-        kept = fusion.compacted(rankings.join(allowed, ["query_id", "item_id"], "left_semi")).persist()  # for all variants
+        kept = self.compacted(self.decided(self.recall(queries, candidates), queries)).select("query_id", "item_id", "branch", "rank", "score")
+        kept = self.keep(kept) if self.keep else kept
         out = None
-        for name, part in [*[(b, kept.filter(F.col("branch") == b)) for b in self.active()], ("rrf", kept)]:
-            one = fusion.top(fusion.rrf(part, self.rrf_k), results).withColumn("variant", F.lit(name))
+        for name, part, method in [*[(b, kept.filter(F.col("branch") == b), "rrf") for b in self.active() if branches], ("rrf", kept, "rrf"), ("weighted", kept, "weighted")]:
+            one = self._fused(part, method, weights, results).withColumn("variant", F.lit(name))
             out = one if out is None else out.unionByName(one)
-        return out.unionByName(fusion.top(fusion.weighted(kept, weights, self.active()), results).withColumn("variant", F.lit("weighted")))
+        return out
 
 
 __all__ = ["FIELDS", "Searcher"]

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.manifest import mark_duplicates, numeric_suffix
+from heliograph.sources.tables import kept
 
 # Endings of image files.
 ENDINGS = ("jpg", "jpeg", "png", "webp", "bmp")
+#: Paths that may be broadcast.
+FEW_PATHS = 100_000
 
 
 def scan_directory(spark: SparkSession, path: str, root: str = "", limit: int | None = None, decode=None) -> DataFrame:
-    """item_id, relative_path, sha256, size_bytes, valid, error, duplicate_of of the image files under ``path``.
+    """item_id, relative_path, sha256, size_bytes, valid, error, duplicate_of of the image files under ``path``; none is an error.
 
     The listing (without contents) is cut to ``limit`` first, so that only files which stay are read. ``decode`` is a
     Column function from content to an error text or null.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join([*ENDINGS, *map(str.upper, ENDINGS)]) + "}").load(path)
     named = files.withColumn("relative_path", F.regexp_replace("path", "^.*?" + (root or path).rstrip("/") + "/", ""))
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be positive")
+    if files.select("path").isEmpty():
+        raise ValueError(f"no images under {path}")
     if limit is not None:
-        named = named.join(F.broadcast(named.select("path", "relative_path").orderBy(F.lower("relative_path")).limit(limit).select("path")), "path", "left_semi")  # limit rows
+        first = named.select("path", "relative_path").orderBy(F.lower("relative_path")).limit(limit).select("path")
+        named = named.join(F.broadcast(first) if limit <= FEW_PATHS else first, "path", "left_semi")
     hashed = named.select("relative_path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), (decode(F.col("content")) if decode else F.when(F.col("length") == 0, "empty file")).alias("error"))
     items = hashed.withColumn("item_id", F.concat(F.lit("val-"), F.substring(F.sha2(F.col("relative_path").cast("binary"), 256), 1, 12))).withColumn("valid", F.col("error").isNull())
     return mark_duplicates(items.withColumn("_order", F.lower("relative_path")), order=("_order",)).drop("_order")
@@ -42,10 +50,14 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def json_lines_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(file, line, value) of lines that hold an object, and (file, line, error) of those that don't; blank lines drop.
 
-    Files are read whole for their lines' numbers, as an annotation file is; a file is one task.
+    Files are read in splits: a line's number is its place in its split after the lines of the file's splits before.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    lines = texts.filter(F.trim("value") != "").select("file", (F.col("at") + 1).alias("line"), "value")
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    rows = kept(read)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    starts = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    lines = rows.withColumn("place", place).join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("place")).cast("int").alias("line"), "value").filter(F.trim("value") != "")
     whole = F.try_parse_json("value").isNotNull()
     is_object = F.trim("value").startswith("{")
     return lines.filter(whole & is_object), lines.filter(~(whole & is_object)).select("file", "line", F.when(~whole, "not JSON").otherwise("not an object").alias("error"))

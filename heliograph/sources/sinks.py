@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.text import latex
+from heliograph.operators import manifest
 
 
 def _fs(spark: SparkSession, path: str):
@@ -41,15 +43,70 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("value").write.mode("overwrite").text(path)
 
 
+def _csv(df: DataFrame, path: str) -> None:
+    """CSV with a header, in one file, with the mark by which spreadsheets know UTF-8; for reports of a few rows."""
+    names = df.columns
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+    quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
+    head = "\ufeff" + ",".join(names)
+    rows = df.select(F.concat_ws(",", *quoted).alias("value"), F.lit(1).alias("k"))
+    first = df.sparkSession.createDataFrame([(head, 0)], "value string, k int")
+    first.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+
+
+def _one(spark: SparkSession, text: str, path: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_manifest(items: DataFrame, path: str) -> None:
+    """The manifest's rows as JSON lines, its quality as one JSON row, and what it lists: invalid items and duplicates."""
+    write_atomic(items, f"{path}/items", "json")
+    manifest.quality(items).coalesce(1).write.mode("overwrite").json(f"{path}/quality")
+    manifest.faults(items).write.mode("overwrite").json(f"{path}/faults")
+
+
+def write_import(good: DataFrame, failures: DataFrame, items: DataFrame, path: str) -> None:
+    """Imported annotations, failures, and ids of items that none was imported for; with one row of their numbers."""
+    good.write.mode("overwrite").json(f"{path}/annotations")
+    failures.write.mode("overwrite").json(f"{path}/failures")
+    missing = items.select("item_id").join(good.select("item_id"), "item_id", "left_anti")
+    missing.write.mode("overwrite").json(f"{path}/missing")
+    counts = [df.select(F.lit(n).alias("what")).groupBy("what").count() for n, df in (("imported", good), ("failures", failures), ("missing", missing))]
+    counts[0].unionByName(counts[1]).unionByName(counts[2]).coalesce(1).write.mode("overwrite").json(f"{path}/report")
+
+
 def write_evaluation(details: DataFrame, summary: DataFrame, path: str) -> None:
-    """details and summary as CSV and JSON, failures as JSON lines."""
+    """details and summary as CSV and JSON, the summary as LaTeX too, failures as JSON lines."""
     for name, df in (("details", details), ("summary", summary)):
-        df.write.mode("overwrite").option("header", "true").csv(f"{path}/{name}_csv")
+        _csv(df, f"{path}/{name}_csv")
         df.write.mode("overwrite").json(f"{path}/{name}_json")
+    _one(details.sparkSession, latex_table(summary), f"{path}/summary_tex")
     if "success" in details.columns:
         details.filter(~F.col("success")).write.mode("overwrite").json(f"{path}/failures_json")
 
 
+def write_ablation(rows: DataFrame, path: str) -> None:
+    """A row a variant, as JSON, CSV and LaTeX; none is an error."""
+    if rows.isEmpty():
+        raise ValueError("no ablation results to write")
+    rows.write.mode("overwrite").json(f"{path}/json")
+    _csv(rows, f"{path}/csv")
+    _one(rows.sparkSession, latex_table(rows), f"{path}/tex")
+
+
+def write_benchmark(runs: DataFrame, summary: DataFrame, path: str) -> None:
+    """Runs as JSON lines, and their summary beside them."""
+    runs.write.mode("overwrite").json(path)
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}.summary")
+
+
+def write_delivery(lines: DataFrame, config: str, path: str) -> str:
+    """Batches a line each, and the configuration they were made with; returns its SHA-256, which batches name."""
+    write_lines(lines, f"{path}/batches")
+    _one(lines.sparkSession, config, f"{path}/config")
+    return hashlib.sha256(config.encode()).hexdigest()
+
+
 def latex_table(summary: DataFrame, most: int = 200) -> str:
     """A summary as a LaTeX table; a summary is a few rows."""
     rows = summary.limit(most).collect()
