@@ -39,6 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder: its partitions stay as they are.
+
+    For tables of many rows a step whose work is worth as many tasks again; a Parquet table of the same bytes is read by few.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def hot_keys(counted: DataFrame, key: str, n: str) -> list[tuple]:
     """(key, salts) of the hot keys of ``counted`` (a row a key, with its count ``n``); at most HOT_SHARE of them."""
     total, most = counted.filter(F.col(key).isNotNull()).agg(F.sum(n), F.max(n)).first()

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,13 +258,14 @@ def fit(docs: DataFrame, usable: Column | None = None, text: str = "text", lang:
 def _found(docs: DataFrame, model: Model, text: str):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers: bounded by MAX_LABELS
 
-    @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
-    def score(texts):
-        import pandas as pd
-
-        out = pd.DataFrame(shared.value.predict(list(texts)), columns=["lang_pred", "score", "accepted"])
+    @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
+    def score(texts: pa.Array) -> pa.Array:
+        found: list[tuple[str, float, bool]] = []
+        for at in range(0, len(texts), 1000):
+            found += shared.value.predict(texts.slice(at, 1000).to_pylist())
         trim()
-        return out
+        names, scores, fine = zip(*found) if found else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fine, pa.bool_())], names=["lang_pred", "score", "accepted"])
 
     return score(F.col(text))
 

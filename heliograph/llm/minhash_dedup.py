@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import hot_keys, materialize, partitions_for, salted_join, table
+from heliograph.llm.common import checkpointed, hot_keys, partitions_for, salted_join, table
 from heliograph.llm.components import connected_components
 from heliograph.llm.wordops import mix, shingles, texts_of, trimmed, words
 
@@ -291,7 +291,7 @@ def _cells(members: DataFrame, most: int) -> DataFrame:
     Left-over rows are dealt to sides 0, 1, ..., main ones to sides after them; cell i, j has the rows of both sides, and
     there is one for each i that is left over.
     """
-    sizes = materialize(members.groupBy("key").agg(F.count_if(~F.col("main")).alias("left"), F.count_if("main").alias("mains")))
+    sizes = checkpointed(members.groupBy("key").agg(F.count_if(~F.col("main")).alias("left"), F.count_if("main").alias("mains")))
     sizes = sizes.filter("left > 0").select("key", F.ceil(F.col("left") / most).cast("int").alias("ls"), F.ceil(F.col("mains") / most).cast("int").alias("ms"), (F.col("left") + F.col("mains")).alias("n"))
     sided = salted_join(members, sizes.select("key", "ls", "ms"), "key", hot_keys(sizes, "key", "n"), spread="id")
     sided = sided.withColumn("side", F.when(F.col("main"), F.col("ls") + F.pmod(F.xxhash64("id"), F.col("ms")).cast("int")).otherwise(F.pmod(F.xxhash64("id"), F.col("ls")).cast("int")))
@@ -314,14 +314,14 @@ class _Links:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of distinct ``ids``; of rows that share an id, those with the same text are one."""
-        ids = materialize(ids)
+        ids = checkpointed(ids)
         texts = self.source.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
-        return materialize(texts.mapInArrow(trimmed(_full_sets(self.n)), "id long, set binary").distinct())
+        return checkpointed(texts.mapInArrow(trimmed(_full_sets(self.n)), "id long, set binary").distinct())
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """All links confirmed so far, after the test of ``pairs`` (a, b)."""
-        pairs = materialize(pairs)
-        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+        pairs = checkpointed(pairs)
+        ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
         sets, hot = self.sets(ids.select("id")), hot_keys(ids, "id", "n")
 
         def with_set(of: DataFrame, end: str, other: str) -> DataFrame:
@@ -330,7 +330,7 @@ class _Links:
         # dealt anew: rows with two sets each must not come in few partitions, as the pairs' small table does
         dealt = pairs.repartition(min(partitions_for(pairs.sparkSession), 1 + pairs.count() // PAIRS_A_TASK))
         tested = with_set(with_set(dealt, "a", "b"), "b", "a").mapInArrow(trimmed(_confirm(self.percent)), "a long, b long, ok boolean")
-        tested = materialize(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")))
+        tested = checkpointed(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")))
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
         return self.linked()
 
@@ -344,10 +344,10 @@ class _Links:
 def _large_buckets(banded: DataFrame, sizes: DataFrame, sigs: DataFrame, low_est: float) -> tuple[DataFrame, DataFrame]:
     """(key, id, sig of the members of buckets larger than SIDE, the pair of each member with its most similar pivot)."""
     large = sizes.filter(F.col("n") > SIDE)
-    members = materialize(salted_join(banded, large.select("key"), "key", hot_keys(large, "key", "n"), spread="id").join(sigs, "id"))
+    members = checkpointed(salted_join(banded, large.select("key"), "key", hot_keys(large, "key", "n"), spread="id").join(sigs, "id"))
     # Spark keeps PIVOTS rows a key and task before the shuffle
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))).filter(F.col("r") <= PIVOTS)
-    pivots = materialize(first.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("pivots")))
+    pivots = checkpointed(first.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("pivots")))
     held = salted_join(members, pivots, "key", hot_keys(large, "key", "n"), spread="id").select("key", "id", "sig", F.inline("pivots")).filter("id <> pivot")
     near = held.mapInArrow(trimmed(_plausible(low_est)), "key long, id long, pivot long, est double")
     best = near.groupBy("key", "id").agg(F.max(F.struct("est", (-F.col("pivot")).alias("p"))).alias("b")).select("id", (-F.col("b.p")).alias("pivot"))
@@ -356,9 +356,9 @@ def _large_buckets(banded: DataFrame, sizes: DataFrame, sigs: DataFrame, low_est
 
 def _with_main(members: DataFrame, comps: DataFrame) -> DataFrame:
     """``members`` (key, id, ...) with ``comp`` (their component so far) and ``main`` (it is the largest of its key)."""
-    placed = materialize(members.join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"))
+    placed = checkpointed(members.join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"))
     counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = materialize(counts.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("m"), F.sum("n").alias("n")).select("key", (-F.col("m.c")).alias("largest"), "n"))
+    largest = checkpointed(counts.groupBy("key").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("m"), F.sum("n").alias("n")).select("key", (-F.col("m.c")).alias("largest"), "n"))
     out = salted_join(placed, largest.select("key", "largest"), "key", hot_keys(largest, "key", "n"), spread="id")
     return out.withColumn("main", F.col("comp") == F.col("largest")).drop("largest")
 
@@ -369,18 +369,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     rows = rows_a_band(threshold)
     low_est = threshold - margin(threshold)
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = materialize(source.mapInArrow(trimmed(_sketch(words_a_shingle, rows)), "id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
+    sketched = checkpointed(source.mapInArrow(trimmed(_sketch(words_a_shingle, rows)), "id long, n_shingles long, set_key binary, sig binary, bands array<long>"))
 
     # classes of equal sets
     real = sketched.filter("id is not null and set_key is not null")
-    classes = materialize(real.groupBy("set_key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n")))
+    classes = checkpointed(real.groupBy("set_key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n")))
     reps = real.select("id", "set_key", "sig", "bands").join(classes.select("set_key", F.col("cls").alias("id")), ["set_key", "id"], "left_semi").dropDuplicates(["set_key"])
-    reps = materialize(reps.select("id", "sig", "bands"))
+    reps = checkpointed(reps.select("id", "sig", "bands"))
     sigs = reps.select("id", "sig")
 
     # buckets of bands with two classes or more: small ones in a cell each
     banded = reps.select("id", F.explode("bands").alias("key"))
-    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sizes = checkpointed(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     large = not sizes.filter(F.col("n") > SIDE).isEmpty()
     small = banded.join(sizes.filter(F.col("n") <= SIDE).select("key"), "key").join(sigs, "id")
     celled = small.select("key", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "id", "sig")
@@ -393,7 +393,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     if large:
         cells = _cells(_with_main(members, comps), SIDE)
         more = _dealt(cells.select("key", "cell", "side", "id", "sig")).mapInArrow(trimmed(_by_cell(_forest(low_est), ("side", "id"))), "a long, b long").distinct()
-        more = materialize(more.join(links.tested.select("a", "b"), ["a", "b"], "left_anti"))
+        more = checkpointed(more.join(links.tested.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             comps = connected_components(links.confirm(more))
 
@@ -401,17 +401,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     failed = links.failed()
     for end in ("a", "b"):
         failed = failed.join(comps.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}")), end, "left")
-    failed = materialize(failed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
+    failed = checkpointed(failed.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
     if not failed.isEmpty():
         around = connected_components(failed).select(F.col("id").alias("comp"), F.col("component_id").alias("key"))
-        around = materialize(around.unionByName(around.select(F.col("key").alias("comp"), "key")).distinct())
+        around = checkpointed(around.unionByName(around.select(F.col("key").alias("comp"), "key")).distinct())
         ids = links.tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        members = materialize(ids.join(comps, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp")))
+        members = checkpointed(ids.join(comps, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp")))
         hot = hot_keys(members.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp", "n")
-        near = materialize(salted_join(members, around, "comp", hot, spread="id").select("key", "id"))
+        near = checkpointed(salted_join(members, around, "comp", hot, spread="id").select("key", "id"))
         cells = _cells(_with_main(near, comps), FULL_SIDE).select("key", "cell", "side", "id", "comp")
         cells = cells.join(sigs, "id").join(links.sets(near.select("id").distinct()), "id")
-        more = materialize(_dealt(cells, partitions_for(docs.sparkSession)).mapInArrow(trimmed(_by_cell(_crossing(low_est, percent), ("side", "id", "comp"))), "a long, b long"))
+        more = checkpointed(_dealt(cells, partitions_for(docs.sparkSession)).mapInArrow(trimmed(_by_cell(_crossing(low_est, percent), ("side", "id", "comp"))), "a long, b long"))
         if not more.isEmpty():
             comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
     # a class has its smallest id's component
@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 def keep_one(docs: DataFrame, linked: DataFrame, id: str = "doc_id") -> DataFrame:
     """``docs`` without those that ``linked`` (of near_duplicates) doesn't keep, and with one row of each id."""
-    linked = materialize(linked.select(id, "kept"))
+    linked = checkpointed(linked.select(id, "kept"))
     gone = linked.filter("not kept").select(id).distinct()
     few = gone.count() <= FEW_IDS
     kept = docs.join(F.broadcast(gone) if few else gone, id, "left_anti")

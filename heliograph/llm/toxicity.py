@@ -13,7 +13,7 @@ The model is fitted on a bounded sample: at most SAMPLE_ROWS labelled rows, by t
 most SAMPLE_CHARS characters each; near copies within it count once. Whole texts are scored, however long.
 
 Rows: null and wordless texts get the score of a text without terms; labels that are null, or rows without one, aren't
-learned from; repeated rows score alike; an empty table gives an empty result; without labels of both classes the score
+learned from, and of an id's labels the highest counts; repeated rows score alike; an empty table gives an empty result; without labels of both classes the score
 is the smoothed share of toxic labels; columns named score or predicted are replaced, others are kept. Only text is an
 input of a score.
 """
@@ -153,7 +153,7 @@ def train(rows: list[list[int]], y: np.ndarray, terms: np.ndarray, steps: int =
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Terms are counted where the sampled rows are; the best of them, and their places in each row, come to the driver."""
     rows = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("toxic"), F.xxhash64(F.col(id), F.lit("sample")).alias("d"))
-    few = rows.dropDuplicates(["id"]).orderBy("d", "id").limit(SAMPLE_ROWS)
+    few = rows.groupBy("id", "d").agg(F.max("toxic").alias("toxic")).orderBy("d", "id").limit(SAMPLE_ROWS)
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
     # SAMPLE_ROWS rows; of rows that share an id, the first text counts
     drawn = texts.join(F.broadcast(few), "id").groupBy("id").agg(F.min(F.struct("toxic", "d", "text")).alias("r")).select("r.*")
