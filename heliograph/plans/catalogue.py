@@ -903,7 +903,7 @@ def _(spark, sf):
     return manifest.faults(_manifest(spark, sf))
 
 
-@query("route_prompts", f"WITH {_ROUTE_SQL} SELECT d.doc_id AS item_id, 'Describe.' || coalesce(chr(10) || CASE WHEN category % 2 = 0 THEN 'even' ELSE 'odd' END, '') AS prompt FROM documents d LEFT JOIN (SELECT item_id, category FROM r WHERE place = 1) x ON x.item_id = d.doc_id")
+@query("route_prompts", f"WITH {_ROUTE_SQL} SELECT d.doc_id AS item_id, 'Describe.' || coalesce(chr(10) || CASE category % 2 WHEN 0 THEN 'even' WHEN 1 THEN 'odd' END, '') AS prompt FROM documents d LEFT JOIN (SELECT item_id, category FROM r WHERE place = 1) x ON x.item_id = d.doc_id")
 def _(spark, sf):
     """JOI-07, SEA-11: an item's prompt follows its route."""
     routed = _routed(spark, sf)
