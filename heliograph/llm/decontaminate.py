@@ -42,6 +42,8 @@ STEPS, SAMPLED, TABLES, MOST_WALKS, RATIO = 2, 2, 4, 64, 1.25
 #: Starts about a place that the simulation tries: fewer than a search does.
 TRIED = 5
 SHORT = 5
+#: Windows walked at a time, and words of documents held at a time.
+WINDOWS, HELD = 10_000, 150_000
 
 
 def edit_distance_in(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -291,8 +293,8 @@ def matches(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int, i
         # an item may have lost so many words before the document's first one
         inside = np.searchsorted(begin - k, starts, side="right") - 1
         starts = starts[(inside >= 0) & (starts < begin[inside] + sizes[inside])]
-        for lo in range(0, len(starts), 50_000):
-            part = starts[lo : lo + 50_000]
+        for lo in range(0, len(starts), WINDOWS):
+            part = starts[lo : lo + WINDOWS]
             hits = []
             for no, tables in c.walks:
                 walked = walk(stream, part, c.low, no)
@@ -327,7 +329,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, similarity: float) -> It
         yield build([i for i, _ in items], [w for _, w in items], similarity)
 
 
-def _all(index: Index, column: pa.Array, most: int = 300_000) -> list[tuple[int, int, int, int]]:
+def _all(index: Index, column: pa.Array, most: int = HELD) -> list[tuple[int, int, int, int]]:
     """matches() over a column of texts, about ``most`` words at a time."""
     out, held, first, size = [], [], 0, 0
     for r, data in enumerate(texts_of(column)):
