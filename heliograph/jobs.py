@@ -45,6 +45,11 @@ def index(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps(told))
 
 
+def parse(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Queries as the rules read them."""
+    sinks.write_atomic(_queries(spark, a), a.out, "json")
+
+
 def search(spark: SparkSession, a: argparse.Namespace) -> None:
     found = _searcher(spark, a).search(_queries(spark, a), a.candidates, a.results)
     sinks.write_atomic(found, a.out)
@@ -101,7 +106,7 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_atomic(judging.seeded(judging.sample(spark.read.parquet(a.annotations).select("item_id"), a.n), a.n), a.out)
 
 
-JOBS = {f.__name__: f for f in (scan, index, search, smoke, evaluate, ablate, compare, deliver, pairs, sample)}
+JOBS = {f.__name__: f for f in (scan, index, parse, search, smoke, evaluate, ablate, compare, deliver, pairs, sample)}
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -112,7 +117,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         if name == "scan":
             j.add_argument("--input", required=True)
             j.add_argument("--limit", type=int)
-        else:
+        elif name != "parse":
             j.add_argument("--annotations", required=True)
         if name not in ("index", "smoke"):
             j.add_argument("--out", required=True)
@@ -125,10 +130,11 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             j.add_argument("--allow-missing-branches", action="store_true")
         if name in ("index", "search", "smoke", "evaluate", "ablate", "compare", "deliver"):
             j.add_argument("--indexes", required=True)
-        if name in ("search", "smoke", "evaluate", "ablate", "compare", "deliver"):
+        if name in ("parse", "search", "smoke", "evaluate", "ablate", "compare", "deliver"):
             asked = j.add_mutually_exclusive_group(required=True)
             asked.add_argument("--queries")
             asked.add_argument("--query")
+        if name in ("search", "smoke", "evaluate", "ablate", "compare", "deliver"):
             j.add_argument("--image-queries")
             j.add_argument("--text-queries")
             j.add_argument("--mode", default="hybrid", choices=("soft", "hard", "hybrid"))

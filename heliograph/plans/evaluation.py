@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.operators import judging, metrics
 from heliograph.plans.search import Searcher
+from heliograph.sources.tables import kept
 
 METRICS = ("recall_1", "recall_5", "recall_10", "mrr", "ap", "ndcg")
 
@@ -47,3 +51,24 @@ def compared_fusion(searcher: Searcher, queries: DataFrame, weights: dict[str, f
     category = F.coalesce("category", F.lit("unknown")) if "category" in queries.columns else F.lit("unknown")
     per = per.join(queries.select("query_id", category.alias("category")), "query_id")
     return per, metrics.overlap_summary(per)
+
+
+def compared_encoders(branches: dict[str, Callable[[DataFrame, int], DataFrame]], queries: DataFrame, k: int = 10) -> tuple[list[dict], DataFrame]:
+    """(a row an encoder: cold and warm seconds of the same queries; overlap and rank shift by query of each with the first one).
+
+    Branches search the same items by vectors of different encoders. Each is run twice; the second run is the warm one.
+    """
+    asked, runs, found = kept(queries), [], {}
+    n = asked.count()
+    for name, search in branches.items():
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            found[name] = kept(search(asked, k).select("query_id", "item_id", "rank"))
+            took.append(time.perf_counter() - began)
+        runs.append({"encoder": name, "queries": n, "cold_seconds": took[0], "warm_seconds": took[1], "warm_seconds_a_query": took[1] / max(1, n)})
+    first, *others = found
+    out = metrics.overlap(found[first], found[first], k).withColumn("encoder", F.lit(first))
+    for name in others:
+        out = out.unionByName(metrics.overlap(found[first], found[name], k).withColumn("encoder", F.lit(name)))
+    return runs, out

@@ -109,6 +109,12 @@ def test_evaluate(spark):
         evaluation.evaluate(found, queries, judged.filter("query_id = 1"))
 
 
+def test_compared_encoders(spark):
+    runs, overlap = evaluation.compared_encoders({"one": ranking(spark, "p1 p2 p3"), "two": ranking(spark, "p2 p1 p4")}, asked(spark), 3)
+    assert [r["encoder"] for r in runs] == ["one", "two"] and all(r["warm_seconds"] > 0 and r["queries"] == 1 for r in runs)
+    assert {r.encoder: (round(r.overlap, 3), r.rank_shift) for r in overlap.collect()} == {"one": (1, 0), "two": (0.667, 1)}
+
+
 def test_hybrid_search_reads_documents_once(spark):
     from heliograph.plans import catalogue
 
@@ -169,6 +175,8 @@ def test_jobs(spark, tmp_path):
     jobs.main(["compare", *common, "--queries", at("q"), "--out", at("c")], spark)
     jobs.main(["deliver", *common, "--queries", at("q"), "--out", at("d")], spark)
     assert len(json.loads(spark.read.text(at("d/batches")).first().value)["candidates"]) == 20
+    jobs.main(["parse", "--query", "两只猫", "--out", at("parsed")], spark)
+    assert spark.read.json(at("parsed")).first().count_target == "猫"
     jobs.main(["pairs", "--annotations", at("a"), "--out", at("p")], spark)
     assert spark.read.parquet(at("p")).count() == 50
     jobs.main(["sample", "--annotations", at("a"), "--n", "4", "--out", at("s")], spark)
