@@ -17,6 +17,7 @@ _QUERIES = (
     ("op8_embedding_dedup", "embedding_dedup", "op8", "op8_sql"),
     ("op9_license_scan", "license_scan", "op9", None),
     ("op10_token_scan", "token_scan", "op10", None),
+    ("op11_sessions", "sessions", "op11", "op11_sql"),
 )
 
 
