@@ -18,6 +18,7 @@ _QUERIES = (
     ("op9_license_scan", "license_scan", "op9", None),
     ("op10_token_scan", "token_scan", "op10", None),
     ("op11_sessions", "sessions", "op11", "op11_sql"),
+    ("op12_collocations", "collocations", "op12", "op12_sql"),
 )
 
 
