@@ -19,6 +19,7 @@ _QUERIES = (
     ("op10_token_scan", "token_scan", "op10", None),
     ("op11_sessions", "sessions", "op11", "op11_sql"),
     ("op12_collocations", "collocations", "op12", "op12_sql"),
+    ("op13_language_model", "language_model", "op13", None),
 )
 
 
