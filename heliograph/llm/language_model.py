@@ -41,7 +41,7 @@ _END, _BEGIN, _TURN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays by byte planes, compressed: high bytes of small numbers cost nothing."""
-    raw = pickle.dumps([(x.dtype.str, x.view(np.uint8).reshape(len(x), -1).T.tobytes() if x.dtype.kind in "iu" else x) for x in map(np.ascontiguousarray, arrays)], protocol=5)
+    raw = pickle.dumps([(x.dtype.str, x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() if x.dtype.kind in "iu" else x) for x in map(np.ascontiguousarray, arrays)], protocol=5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
