@@ -6,8 +6,9 @@ small edit distance then agree at many steps, their Hamming distance. Items are
 STEPS times as long as the class's shortest item: moving on in every other step, it passes over all of an item, and what is
 beyond that is padding, which no sample may hold. Windows of a document are as long as that item, and walk the same way. Several walks, and of each several tables that sample a few
 of its steps, are laid on; their number is raised until simulated edits at the threshold, at random places and in one piece
-at either end, are each found as often as ``target`` asks. Windows that share a sample with an item are verified by the
-exact edit distance of the item to the best substring near the window. Classes that MOST_WALKS walks don't find often enough
+at either end, are each found as often as ``target`` asks. A document and an item of which a window shares a sample are
+verified by the exact edit distance of the item to the best substring of the document, so that distances are the least there
+are; only stretches with as many of the item's runs as edits must leave whole are looked at for that. Classes that MOST_WALKS walks don't find often enough
 have no tables: there, all places with as many runs of an item as edits must leave whole are verified.
 
 A window is walked only if a short run of words that some item has lies where such a window would have it: edits within
@@ -260,36 +261,45 @@ def matches(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int, i
     if not len(spot):
         return []
     out: list[tuple[int, int, int, int]] = []
-    found: set[tuple[int, int]] = set()
-
-    def verify(doc: int, item: int, first: int, last: int) -> None:
-        """Match the item with what lies about windows that start from ``first`` to ``last``."""
-        if (doc, item) in found:
+    known: set[tuple[int, int]] = set()
+    of = np.searchsorted(begin, place, side="right") - 1
+    pair = of * len(lengths) + owner
+    by_pair = np.argsort(pair, kind="stable")
+    pair = pair[by_pair]
+
+    def verify(doc: int, item: int) -> None:
+        """Match the item with all of the document's places for it: the least distance, and of those the first."""
+        if (doc, item) in known:
             return
+        known.add((doc, item))
         target = index.items[item]
         edits = allowed(len(target), index.similarity)
-        origin = max(begin[doc], first - edits)
-        near = stream[origin : min(begin[doc] + sizes[doc], last + len(target) + edits)]
-        if sum(map(set(near.tolist()).__contains__, target.tolist())) < len(target) - edits:
-            return
-        distance, end = edit_distance_in(target, near)
-        if distance <= edits:
-            _, back = edit_distance_in(target[::-1], near[:end][::-1])
-            found.add((doc, item))
-            out.append((doc, item, distance, int(origin + end - back - begin[doc])))
+        here = by_pair[slice(*np.searchsorted(pair, [doc * len(lengths) + item, doc * len(lengths) + item + 1]))]
+        best: tuple[int, int] | None = None
+        for _, _, first, last in _places(index, spot[here], owner[here], of[here]):
+            origin = max(begin[doc], first - edits)
+            near = stream[origin : min(begin[doc] + sizes[doc], last + len(target) + edits)]
+            if sum(map(set(near.tolist()).__contains__, target.tolist())) < len(target) - edits:
+                continue
+            distance, end = edit_distance_in(target, near)
+            if distance <= edits and (best is None or distance < best[0]):
+                _, back = edit_distance_in(target[::-1], near[:end][::-1])
+                best = distance, int(origin + end - back - begin[doc])
+        if best:
+            out.append((doc, item, *best))
 
     exact = np.isin(np.searchsorted([c.low for c in index.classes], lengths, side="right") - 1, [j for j, c in enumerate(index.classes) if not c.walks])
     mine = exact[owner]
-    for task in _places(index, spot[mine], owner[mine], np.searchsorted(begin, place[mine], side="right") - 1):
-        verify(*task)
+    for doc, item, *_ in _places(index, spot[mine], owner[mine], of[mine]):
+        verify(doc, item)
     pairs = np.unique(np.stack([spot[~mine], owner[~mine]], 1), axis=0)
-    spot, owner = pairs[:, 0], pairs[:, 1]
+    walked_from, walked_for = pairs[:, 0], lengths[pairs[:, 1]]
     for c in index.classes:
-        mine = (lengths[owner] >= c.low) & (lengths[owner] <= c.high)
+        mine = (walked_for >= c.low) & (walked_for <= c.high)
         if not mine.any():
             continue
         k = allowed(c.high, index.similarity)
-        starts = np.unique((spot[mine][:, None] + np.arange(-k, k + 1)[None, :]).ravel())
+        starts = np.unique((walked_from[mine][:, None] + np.arange(-k, k + 1)[None, :]).ravel())
         # an item may have lost so many words before the document's first one
         inside = np.searchsorted(begin - k, starts, side="right") - 1
         starts = starts[(inside >= 0) & (starts < begin[inside] + sizes[inside])]
@@ -312,7 +322,7 @@ def matches(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int, i
             if not hits:
                 continue
             for start, item in np.unique(np.concatenate(hits), axis=0).tolist():
-                verify(int(np.searchsorted(begin - k, start, side="right") - 1), item, start, start)
+                verify(int(np.searchsorted(begin - k, start, side="right") - 1), item)
     return sorted(out)
 
 
