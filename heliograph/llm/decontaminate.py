@@ -3,7 +3,7 @@
 Words (runs of letters and digits, A-Z lower-cased) are the symbols. The CGK walk maps a sequence to one of steps: at
 each step it writes the symbol it stands on, and moves on by a random bit that depends on step and symbol; sequences of
 small edit distance then agree at many steps, their Hamming distance. Items are put in classes of like length; a walk is
-STEPS times as long as the class's shortest item: moving on in every other step, it passes over all of an item, and what is
+STEPS times as long as the class's shortest item: moving on in every other step, it passes over all of an item with steps to spare, and what is
 beyond that is padding, which no sample may hold. Windows of a document are as long as that item, and walk the same way. Several walks, and of each several tables that sample a few
 of its steps, are laid on; their number is raised until simulated edits at the threshold, at random places and in one piece
 at either end, are each found as often as ``target`` asks. A document and an item of which a window shares a sample are
@@ -39,7 +39,7 @@ from heliograph.llm.wordops import ALNUM, mix, texts_of, trim, words
 #: Words of items that are held at a time: an index takes some 100 bytes a word.
 BLOCK_WORDS = 1_000_000
 #: Steps of a walk for each word, steps sampled a table, tables a walk, walks at most, and the ratio of lengths in a class.
-STEPS, SAMPLED, TABLES, MOST_WALKS, RATIO = 2, 2, 4, 64, 1.25
+STEPS, SAMPLED, TABLES, MOST_WALKS, RATIO = 3, 2, 4, 64, 1.25
 #: Starts about a place that the simulation tries: fewer than a search does.
 TRIED = 5
 SHORT = 5
