@@ -49,6 +49,13 @@ def closed(text: str | None, field: str = "ocr_text", most: int = 10) -> dict |
     return first_object(text[:start] + json.dumps(list(items), ensure_ascii=False) + "}")
 
 
+def string_list(value) -> list[str]:
+    """A field that should be a list of strings: a scalar is one of its own, nothing and blanks are none."""
+    if value is None or value == "":
+        return []
+    return [x for x in (str(v).strip() for v in (value if isinstance(value, list) else [value])) if x]
+
+
 def _udf(parse):
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

@@ -104,10 +104,5 @@ def fallback_answers(evidence: DataFrame, most: int = 3) -> DataFrame:
     return grouped.select("question_id", F.when(F.size("ls") == 0, "insufficient evidence").otherwise(F.array_join(F.transform("ls", lambda x: x["l"]), " ")).alias("answer"), (F.size("ls") == 0).alias("refused"), F.array_join(F.transform("ls", lambda x: x["i"].cast("string")), ",").alias("citations"))
 
 
-def evidence_keys(requests: DataFrame) -> DataFrame:
-    """One request for each item and trimmed question: what a cache would spare."""
-    return requests.select("item_id", F.trim("question").alias("question")).distinct()
-
-
 def bucket_of(scene: Column, summary: Column, attributes: Column) -> Column:
     return time_bucket(F.concat_ws(" ", scene, summary, attributes))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.operators import documents, manifest, parsing, rerank, story
-from heliograph.plans import generation
+from heliograph.plans import answers, generation
 from heliograph.plans.search import Searcher
+from heliograph.sources.keyed import KeyedTable
 from heliograph.sources.tables import kept
 
 
@@ -61,16 +62,30 @@ class Service:
         return scored.withColumn("rank", F.col("new_rank")).drop("new_rank").filter(F.col("rank") <= s.result_count)
 
     def answer(self, candidates: DataFrame, asked: DataFrame, evidence: Callable[[DataFrame], DataFrame], top_k: int = 3) -> tuple[DataFrame, DataFrame]:
-        """(cited answers or refusals by query_id, (query_id, error) of selections that can't be answered).
+        """(answers made of the evidence itself, or refusals, by query_id; (query_id, error) of selections that can't be answered).
 
-        ``evidence`` takes (query_id, item_id, place) to (query_id, item_id, relevant, facts); the same item and question
-        are asked once (``story.evidence_keys``).
+        ``evidence`` takes (query_id, item_id, place) to (query_id, item_id, relevant, facts).
         """
-        if not 1 <= top_k <= 3:
-            raise ValueError("answers are made of 1 to 3 items")
-        taken, errors = manifest.chosen(candidates, asked, 1, top_k)
+        taken, errors = self._selected(candidates, asked, top_k)
         return story.fallback_answers(evidence(taken).withColumnRenamed("query_id", "question_id"), top_k).withColumnRenamed("question_id", "query_id"), errors
 
+    def cited_answer(self, questions: DataFrame, candidates: DataFrame, asked: DataFrame, ask: generation.Generator, generate: generation.Generator, store: KeyedTable, work: str, top_k: int = 3, retries: int = 1) -> tuple[DataFrame, DataFrame]:
+        """(generated answers with checked citations, by query_id; (query_id, error) of questions that can't be answered).
+
+        ``ask`` gives evidence of an item and question, each asked for once: ``store`` (``answers.cache``) keeps it for later
+        runs; ``generate`` writes answers. ``questions`` has query_id and question.
+        """
+        taken, errors = self._selected(candidates, asked, top_k)
+        known = documents.fields(self.searcher.annotations).select("item_id", documents.dense_document().alias("context"))
+        open_ = questions.join(errors, "query_id", "left_anti")
+        found, failed = answers.answer(open_, taken, ask, generate, store, work, known, retries)
+        return found, errors.unionByName(failed)
+
+    def _selected(self, candidates: DataFrame, asked: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame]:
+        if not 1 <= top_k <= answers.MOST:
+            raise ValueError(f"answers are made of 1 to {answers.MOST} items")
+        return manifest.chosen(candidates, asked, 1, top_k)
+
     def stories(self, candidates: DataFrame, asked: DataFrame, fill: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(stories: story_id, sections, gaps; their gaps, filled if ``fill`` is given; (query_id, error) of selections that make none)."""
         taken, errors = manifest.chosen(candidates, asked, story.FEWEST, story.MOST)
