@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +70,18 @@ def allowed(n: int, similarity: float) -> int:
 def walk(symbols: np.ndarray, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
     """(steps, starts) symbols of the CGK walks over ``size`` symbols from each of ``starts``, then over padding (0)."""
     steps = STEPS * size
-    out = np.empty((steps, len(starts)), np.uint64)
+    out, bit = np.empty((steps, len(starts)), np.uint64), np.empty(len(starts), np.uint64)
     at, stop = starts.copy(), starts + size
-    for j in range(steps):
-        s = symbols[at]
-        s[at >= stop] = 0
-        out[j] = s
-        bit = (s ^ np.uint64((seed * 1_000_003 + j * 7_919 + 12_345) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD1B54A32D192ED03)
-        at = np.minimum(at + (bit >> np.uint64(63)).astype(np.int64), stop)
+    for j, s in enumerate(out):
+        np.take(symbols, at, out=s, mode="clip")
+        if j >= size:  # no walk is at its end before
+            s[at >= stop] = 0
+        np.bitwise_xor(s, np.uint64((seed * 1_000_003 + j * 7_919 + 12_345) * 0x9E3779B97F4A7C15 % (1 << 64)), out=bit)
+        bit *= np.uint64(0xD1B54A32D192ED03)
+        bit >>= np.uint64(63)
+        at += bit.view(np.int64)
+        if j >= size:
+            np.minimum(at, stop, out=at)
     return out
 
 
@@ -98,6 +103,14 @@ class Index:
     runs: dict  # length of a run -> (sorted hashes, item, offset)
     classes: list[Class]
 
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each item, its most edits, and the fewest of its runs that these leave whole."""
+        n = np.array([len(i) for i in self.items])
+        k = np.array([allowed(x, self.similarity) for x in n])
+        run = np.array([whole_run(x, self.similarity) if x else 1 for x in n])
+        return n, k, np.maximum(1, n - run + 1 - k * run)
+
     def recall_of(self, item: int) -> float:
         """What was simulated for an item's class; 1 where all places are verified."""
         c = self.classes[int(np.searchsorted([c.low for c in self.classes], len(self.items[item]), side="right")) - 1]
@@ -213,10 +226,8 @@ def _places(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray)
         return
     order = np.lexsort([spot, doc, owner])
     spot, owner, doc = spot[order], owner[order], doc[order]
-    n = np.array([len(i) for i in index.items])
-    k = np.array([allowed(x, index.similarity) for x in n])
-    run = np.array([whole_run(x, index.similarity) if x else 1 for x in n])
-    least = np.maximum(1, n - run + 1 - k * run)[owner]
+    n, k, runs = index.bounds
+    least = runs[owner]
     # the run that is ``least`` - 1 places on is of the same document and item, and no farther than edits can part them
     last = np.arange(len(spot)) + least - 1
     at = np.minimum(last, len(spot) - 1)
@@ -244,7 +255,7 @@ def matches(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int, i
     sizes = np.array([len(d) for d in docs])
     begin = len(gap) + np.concatenate([[0], np.cumsum(sizes + len(gap))[:-1]])
     # places of windows, by item: where a run puts its start, and as far around as edits can
-    lengths = np.array([len(i) for i in index.items])
+    lengths = index.bounds[0]
     spots, owners, places = [], [], []
     for n, (hashes, item, offset) in index.runs.items():
         h = runs_of(stream, n)
