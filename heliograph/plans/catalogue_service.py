@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.plans import answers
-from heliograph.plans.catalogue import _BM25_SQL, _bm25, asked, query
+from heliograph.functions.text import tokens
+from heliograph.operators import rerank
+from heliograph.plans import answers, clients, measured, stages
+from heliograph.plans.catalogue import _BM25_SQL, _bm25, asked, items, query, read
 from heliograph.plans.generation import AGAIN
 from heliograph.sources import tables
+from heliograph.streaming import ledger
 
 # --- cited answers -----------------------------------------------------------------------------------------------
 
@@ -76,3 +79,115 @@ def _(spark, sf):
         one = told.crossJoin(failed.agg(F.count(F.lit(1)).alias("failed"))).select(F.lit(run).alias("run"), "learned", "reused", "failed")  # a row each
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --- staged runs, ledgers, clients, suites -----------------------------------------------------------------------
+
+
+@query("staged_run", r"""WITH n AS (SELECT count(*)::BIGINT AS docs FROM documents), t AS (SELECT count(DISTINCT w)::BIGINT AS terms FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+', 0)) AS w FROM documents)),
+ s AS (SELECT * FROM (VALUES (1, 'manifest', 'completed'), (1, 'tokens', 'completed'), (1, 'terms', 'failed'), (2, 'manifest', 'resumed'), (2, 'tokens', 'resumed'), (2, 'terms', 'made')) v(run, stage, outcome))
+ SELECT run, stage, outcome, CASE WHEN stage <> 'terms' THEN docs WHEN run = 2 THEN terms END AS rows FROM s, n, t""")
+def _(spark, sf):
+    """A run of three stages whose last one dies, taken up again: what was done stays done. Fingerprints are of contents."""
+    folder = tables.scratch(spark)
+
+    def plan(dies: bool) -> list[stages.Stage]:
+        def terms(made, _):
+            if dies:
+                raise RuntimeError("died")
+            return made["tokens"].select(F.explode("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+        return [
+            stages.Stage("manifest", lambda _, __: items(spark, sf), source=True),
+            stages.Stage("tokens", lambda made, _: made["manifest"].select("item_id", tokens(F.col("text")).alias("t")), ("manifest",)),
+            stages.Stage("terms", terms, ("tokens",)),
+        ]
+
+    first = stages.Run(spark, folder, {"table": "documents"})
+    try:
+        first.run(plan(True))
+    except RuntimeError:
+        pass  # as planned
+    told = [(1, name, s["status"], s.get("rows")) for name, s in first.state["stages"].items()]
+    second = stages.Run(spark, folder, {"table": "documents"}, resume=True)
+    told += [(2, name, what, second.state["stages"][name]["rows"]) for name, what in second.run(plan(False)).items()]
+    return spark.createDataFrame(told, "run int, stage string, outcome string, rows long")  # a row a stage
+
+
+@query("annotation_ledger", """WITH k AS (SELECT DISTINCT doc_id AS item_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL)
+ SELECT item_id, sha256, CASE WHEN item_id % 10 = 7 THEN 'failed' ELSE 'done' END AS status, (CASE WHEN item_id % 10 = 7 THEN 3 WHEN item_id % 10 = 3 THEN 2 ELSE 1 END)::INTEGER AS attempt FROM k""")
+def _(spark, sf):
+    """SNK-02, FLT-12, SEA-12: a stream annotates each version of an item once; what fails is tried again by later starts, three times in all."""
+    folder = tables.scratch(spark)
+    shape = read(spark, sf, "documents").schema
+    prepare = lambda d: d.select(F.col("doc_id").alias("item_id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text").isNotNull().alias("valid"))
+
+    def annotate(batch: DataFrame) -> DataFrame:
+        fails = (F.col("item_id") % 10 == 7) | ((F.col("item_id") % 10 == 3) & (F.col("attempt") == 1))
+        return batch.withColumn("answer", F.when(~fails, F.col("sha256"))).withColumn("error", F.when(fails, "timeout"))
+
+    for _ in range(4):  # the last start finds nothing to do; as a pattern, the table may be a file or a folder
+        ledger.annotate_new(spark, f"{sf}/documents.parque[t]", shape, prepare, annotate, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    good, bad = ledger.done(spark, f"{folder}/out"), ledger.failures(spark, f"{folder}/out")
+    shaped = lambda df, s: df.select("item_id", "sha256", F.lit(s).alias("status"), "attempt")
+    return shaped(good, "done").unionByName(shaped(bad, "failed"))
+
+
+@query("client_backoff", "SELECT doc_id AS item_id, CASE WHEN doc_id % 4 < 3 THEN 'ok ' || doc_id END AS raw, CASE WHEN doc_id % 4 = 3 THEN 'failed after 3 attempts: TimeoutError' END AS error, least(doc_id % 4 + 1, 3)::INTEGER AS calls, ([0, 1, 3, 3])[doc_id % 4 + 1]::DOUBLE AS seconds FROM documents")
+def _(spark, sf):
+    """A service that is down for some prompts' first calls; waits are on a clock that only they move."""
+
+    class Service:
+        now, tries = 0.0, 0
+
+        def clock(self):
+            return self.now
+
+        def sleep(self, seconds):
+            self.now += seconds
+
+        def call(self, prompts):
+            k = int(prompts[0])
+            self.tries += 1
+            if self.tries <= k % 4:
+                self.tries *= self.tries < 3  # the third failure is the last
+                raise TimeoutError
+            self.tries = 0
+            return [f"ok {k}"]
+
+    s = Service()
+    ask = clients.client(s.call, clients.Policy(retries=2, tasks=8), s.clock, s.sleep)
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("doc_id").cast("string").alias("prompt"))
+    return ask(rows).drop("prompt")
+
+
+_SUITE_SQL = f"""{_BM25_SQL}, k AS (SELECT unnest([3, 5]) AS top_k), m AS (SELECT unnest(['pointwise', 'listwise']) AS method),
+ r AS (SELECT b.item_id AS q, top_k, method, row_number() OVER (ORDER BY top_k, b.item_id, method DESC) AS run, 'c' || (b.item_id % 3) AS category, NOT (method = 'listwise' AND b.item_id % 9 = 4) AS ok,
+ CASE WHEN method = 'listwise' THEN length('list ' || b.item_id) % 5 + 1 ELSE (SELECT sum(length(br.query_id || ':' || br.item_id) % 5 + 1) FROM br WHERE br.query_id = b.item_id AND rank <= top_k) END AS ms FROM benchmark b, k, m)"""
+
+
+@query("measured_suite", f"""WITH {_SUITE_SQL}, s AS (SELECT *, unnest(['overall', 'phase', 'top_k', 'category']) AS scope, unnest(['all', CASE WHEN run = 1 THEN 'cold' ELSE 'warm' END, top_k::VARCHAR, category]) AS part FROM r)
+ SELECT scope, part, count(*)::BIGINT AS runs, count_if(NOT ok)::BIGINT AS failures, round(avg(CASE WHEN ok THEN ms END), 3) AS mean, round(quantile_cont(CASE WHEN ok THEN ms END, 0.95), 3)::DOUBLE AS p95 FROM s GROUP BY ALL""")
+def _(spark, sf):
+    """DRV-02, DRV-03, DRV-04: candidates once at the largest number, runs of both methods in one order, timed in their tasks."""
+
+    class Ticks:
+        now = 0
+
+        def __call__(self):
+            return self.now / 1000
+
+    clock = Ticks()
+
+    def call(prompt: str) -> str:
+        clock.now += len(prompt) % 5 + 1
+        if prompt.startswith("list ") and int(prompt[5:]) % 9 == 4:
+            raise TimeoutError
+        return prompt
+
+    wanted = asked(spark, sf).select("query_id", F.concat(F.lit("c"), (F.col("query_id") % 3).cast("string")).alias("category"))
+    sets, _ = measured.collected(_bm25(spark, sf, 5), wanted, (3, 5))
+    name = F.col("query_id").cast("string")
+    runs = measured.measured(sets, call, lambda i: F.concat(name, F.lit(":"), i.cast("string")), lambda _: F.concat(F.lit("list "), name), workers=4, most_failures=1 << 30, clock=clock, warm=None)
+    told = rerank.latency_suite(runs)
+    return told.select("scope", F.col("group").alias("part"), "runs", "failures", F.round("mean", 3).alias("mean"), F.round("p95", 3).alias("p95"))
