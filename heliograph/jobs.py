@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.operators import delivery, judging, parsing
-from heliograph.plans import evaluation, indexing
+from heliograph.plans import directory, evaluation, indexing
 from heliograph.plans.search import Searcher
 from heliograph.sources import readers, sinks, tables
 
@@ -83,12 +83,20 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def deliver(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Batches of 20 candidates a query, from the strict filter mode or, where it leaves fewer, the soft one."""
+    """Batches of 20 candidates a query, from the strict filter mode or, where it leaves fewer, the soft one.
+
+    Batches name the index and the configuration that they come from by SHA-256; an index of another version is an error.
+    """
+    stored = indexing.stored_manifest(spark, a.indexes)
+    if stored["annotation_version"] != a.version or stored["count"] < delivery.TOP_K:
+        raise SystemExit(f"the index is of version {stored['annotation_version']!r}, of {stored['count']} items")
     s, queries = _searcher(spark, a), _queries(spark, a)
     full = delivery.full_batches(s.with_fallback(queries, max(a.candidates, delivery.TOP_K), delivery.TOP_K))
-    config = json.dumps({"mode": a.mode, "method": a.method, "weights": s.weights, "candidates": a.candidates, "indexes": a.indexes}, sort_keys=True)
-    digest = sinks.write_delivery(delivery.lines(full.join(queries.select("query_id", F.col("raw_text").alias("query"), F.coalesce("category", F.lit("")).alias("category")), "query_id"), {"split": a.split, "fusion_method": a.method, "annotation_version": a.version, "index_manifest_sha256": "", "config_sha256": ""}), config, a.out)
-    print(digest)
+    config = json.dumps({"mode": a.mode, "method": a.method, "weights": s.weights, "candidates": a.candidates, "indexes": a.indexes, "split": a.split}, sort_keys=True)
+    told = {"split": a.split, "fusion_method": a.method, "annotation_version": a.version, "index_manifest_sha256": indexing.manifest_digest(spark, a.indexes), "config_sha256": sinks.config_digest(config)}
+    category = F.coalesce("category", F.lit("")) if "category" in queries.columns else F.lit("")  # a query given as text has none
+    named = full.join(queries.select("query_id", F.col("raw_text").alias("query"), category.alias("category")), "query_id")
+    print(sinks.write_delivery(delivery.lines(named, told), config, a.out))
 
 
 def pairs(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -106,7 +114,45 @@ def sample(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_atomic(judging.seeded(judging.sample(spark.read.parquet(a.annotations).select("item_id"), a.n), a.n), a.out)
 
 
-JOBS = {f.__name__: f for f in (scan, index, parse, search, smoke, evaluate, ablate, compare, deliver, pairs, sample)}
+def tasks(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Blank tasks for people, drawn from a manifest, with an empty table of judgments; work that is there is refused, unless forced."""
+    _, fs, jvm = sinks._fs(spark, a.out)
+    if fs.exists(jvm.org.apache.hadoop.fs.Path(a.out)) and not a.force:
+        raise SystemExit(f"{a.out} exists; --force replaces it")
+    made = judging.blank_tasks(spark.read.json(a.manifest), a.n, a.seed)
+    sinks.write_atomic(made, f"{a.out}/queries", "json")
+    sinks.write_atomic(spark.createDataFrame([], "query_id string, image_id string, relevance int, annotator string, note string"), f"{a.out}/relevance", "csv", header="true")
+
+
+def validate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Facts of an evaluation set that people made; one with faults is refused, the first ones told."""
+    queries = spark.read.schema("query_id string, text string, category string, annotator string, reviewed boolean").json(f"{a.tasks}/queries")
+    judged = spark.read.schema("query_id string, item_id string, relevance int, annotator string, note string").csv(f"{a.tasks}/relevance", header=True, enforceSchema=True)
+    items = spark.read.json(a.manifest).filter("valid").select("item_id")
+    errors = tables.kept(judging.set_errors(queries, judged, items, a.n))
+    first = [f"{r['query_id']}: {r['error']}" for r in errors.orderBy("query_id", "error").limit(10).collect()]
+    if first:
+        raise SystemExit(f"{errors.count()} faults: {'; '.join(first)}")
+    print(json.dumps(judging.set_facts(queries, judged).first().asDict()))
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> None:
+    """From a folder of images to indexes, in stages that --resume takes up again.
+
+    --generator names a function of the caller's, module:function, that annotates; vectors are tables (item_id, vector).
+    """
+    from importlib import import_module
+
+    annotate = None
+    if a.generator:
+        module, _, name = a.generator.partition(":")
+        annotate = getattr(import_module(module), name)
+    given = {name: (lambda items, t=t: spark.read.parquet(t).join(items.select("item_id"), "item_id", "left_semi")) for name, t in (("image", a.image_vectors), ("text", a.text_vectors)) if t}
+    done = directory.run(spark, a.input, a.out, a.resume, mode=a.mode, limit=a.limit, prompt=a.prompt, version=a.version, annotate=annotate, **given)
+    print(json.dumps(done.done))
+
+
+JOBS = {f.__name__: f for f in (scan, index, parse, search, smoke, evaluate, ablate, compare, deliver, pairs, sample, tasks, validate, run)}
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -114,19 +160,30 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     jobs = p.add_subparsers(dest="job", required=True)
     for name, f in JOBS.items():
         j = jobs.add_parser(name, help=f.__doc__)
-        if name == "scan":
+        if name in ("scan", "run"):
             j.add_argument("--input", required=True)
             j.add_argument("--limit", type=int)
+        elif name in ("tasks", "validate"):
+            j.add_argument("--manifest", required=True)
         elif name != "parse":
             j.add_argument("--annotations", required=True)
-        if name not in ("index", "smoke"):
+        if name == "validate":
+            j.add_argument("--tasks", required=True)
+        if name == "run":
+            j.add_argument("--mode", default="full", choices=directory.MODES)
+            j.add_argument("--resume", action="store_true")
+            j.add_argument("--generator")
+            j.add_argument("--prompt", default="")
+        if name not in ("index", "smoke", "validate"):
             j.add_argument("--out", required=True)
         if name in ("index", "deliver"):
             j.add_argument("--split", default="")
+        if name in ("index", "deliver", "run"):
             j.add_argument("--version", default="")
-        if name == "index":
+        if name in ("index", "run"):
             j.add_argument("--image-vectors")
             j.add_argument("--text-vectors")
+        if name == "index":
             j.add_argument("--allow-missing-branches", action="store_true")
         if name in ("index", "search", "smoke", "evaluate", "ablate", "compare", "deliver"):
             j.add_argument("--indexes", required=True)
@@ -146,9 +203,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             j.add_argument("--branch", action="append", default=[])
         if name in ("evaluate", "ablate"):
             j.add_argument("--judgments", required=True)
-        if name == "sample":
-            j.add_argument("--n", type=int, default=50)
+        if name in ("sample", "tasks", "validate"):
+            j.add_argument("--n", type=int, default=50 if name == "sample" else 100)
+        if name in ("sample", "tasks"):
             j.add_argument("--force", action="store_true")
+        if name == "tasks":
+            j.add_argument("--seed", type=int, default=20260810)
     return p.parse_args(argv)
 
 

@@ -104,6 +104,22 @@ def sample(items: DataFrame, n: int, seed: int = 7) -> DataFrame:
     return items.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(n).orderBy("item_id")
 
 
+def blank_tasks(manifest: DataFrame, n: int, seed: int = 20260810) -> DataFrame:
+    """Tasks for people, with nothing in them but the item to look at: query_id, item_id, relative_path and empty fields.
+
+    Items are drawn, by a seed, from the manifest's usable ones; fewer than ``n`` are an error. No query or judgment is made.
+    """
+    if n <= 0:
+        raise ValueError("the number of tasks must be positive")
+    usable = manifest.filter(F.col("valid") & F.col("duplicate_of").isNull())
+    drawn = sample(usable.select("item_id", *[c for c in ("relative_path",) if c in manifest.columns]), n, seed)
+    if (have := drawn.count()) < n:
+        raise ValueError(f"{n} tasks are asked for, of {have} usable items")
+    numbered = drawn.withColumn("_k", F.row_number().over(Window.orderBy("item_id")))  # n rows
+    blank = lambda name: F.lit("").alias(name)
+    return numbered.select(F.concat(F.lit("q"), F.lpad(F.col("_k").cast("string"), 3, "0")).alias("query_id"), *drawn.columns, blank("text"), blank("category"), blank("annotator"), F.lit(False).alias("reviewed"), blank("note"))
+
+
 #: Items of a ring that are sorted in a task.
 RING_ROWS = 50_000
 

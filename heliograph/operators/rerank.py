@@ -6,36 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.payloads import extract_object
+from heliograph.functions.text import none_of_strings
 
 
 def pointwise(candidates: DataFrame, fused_weight: float = 0.35, scorer_weight: float = 0.65) -> DataFrame:
     """From (query_id, item_id, fused_score, response: 0 to 100, error): with rerank_score, combined, mismatch and new_rank.
 
-    rerank_score is the response within 0 and 100, and 0 where the scorer failed, which mismatch tells. The order is that of
+    rerank_score is the response within 0 and 100, and 0 if it is NaN or the scorer failed, of which mismatch (a list, the
+    candidates' own if they have one) then tells alone. The order is that of
     ``combined``, the weighted sum of the relative fused score and rerank_score / 100 - a failed item keeps its first part -
     and ties go by id. If the best fused score is 0, fused scores count as they are.
     """
     top = F.max("fused_score").over(Window.partitionBy("query_id"))
     relative = F.col("fused_score") / F.when(top == 0, 1.0).otherwise(top)
     ok = F.col("error").isNull() & F.col("response").isNotNull()
-    score = F.when(ok, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("response")))).otherwise(0.0)
+    score = F.when(ok, _within(F.col("response"))).otherwise(0.0)
+    told = F.col("mismatch") if "mismatch" in candidates.columns else none_of_strings()
     out = candidates.withColumn("rerank_score", score).withColumn("combined", fused_weight * relative + scorer_weight * score / 100)
-    out = out.withColumn("mismatch", F.when(~ok, F.concat(F.lit("rerank failed: "), F.coalesce("error", F.lit("no response")))))
+    out = out.withColumn("mismatch", F.when(~ok, F.array(F.concat(F.lit("rerank failed: "), F.coalesce("error", F.lit("no response"))))).otherwise(told))
     by = Window.partitionBy("query_id").orderBy(F.round("combined", 9).desc(), "item_id")
     return out.withColumn("new_rank", F.row_number().over(by))
 
 
+def _within(score: Column) -> Column:
+    """From 0 to 100; NaN, which is greater than any number to Spark, is 0."""
+    return F.when(F.isnan(score), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+
+
 def pointwise_answers(candidates: DataFrame, answers: DataFrame) -> DataFrame:
-    """``candidates`` with response and error, from (query_id, item_id, answer: prose with a JSON object, or null).
+    """``candidates`` with response, error, evidence and mismatch, from (query_id, item_id, answer: prose with a JSON object, or null).
 
-    An answer that names another item, or whose score is no number, fails; one without a score has 0.
+    An answer that names another item, or whose score is no number, fails; one without a score has 0. Evidence and mismatch
+    (lists of texts) are the answer's; where it fails, the candidates' own stay, or are empty.
     """
     got = answers.select("query_id", "item_id", extract_object(F.col("answer")).alias("j"))
     met = candidates.join(got, ["query_id", "item_id"], "left")
     name, score = F.trim(F.coalesce(F.get_json_object("j", "$.image_id"), F.lit(""))), F.get_json_object("j", "$.score")
     number = F.when(score.isNull(), 0.0).otherwise(score.try_cast("double"))
     error = F.when(F.col("j").isNull(), "no JSON object").when((name != "") & (name != F.col("item_id").cast("string")), F.concat(F.lit("names "), name)).when(number.isNull(), "score is no number")
-    return met.withColumn("error", error).withColumn("response", F.when(error.isNull(), number)).drop("j")
+    out = met.withColumn("error", error).withColumn("response", F.when(error.isNull(), number))
+    for name in ("evidence", "mismatch"):
+        own = F.col(name) if name in candidates.columns else none_of_strings()
+        out = out.withColumn(name, F.when(F.col("error").isNull(), texts(F.get_json_object("j", f"$.{name}"))).otherwise(own))
+    return out.drop("j")
+
+
+def texts(raw: Column) -> Column:
+    """A field's JSON text as a list of texts that aren't blank: of an array its entries, of anything else itself."""
+    listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
+    return F.filter(F.transform(F.coalesce(listed, F.when(raw.isNotNull(), F.array(raw)), none_of_strings()), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def listwise(candidates: DataFrame, answers: DataFrame) -> DataFrame:
@@ -59,7 +78,7 @@ def listwise(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     first = met.filter("item_id is not null").groupBy("query_id", "item_id").agg(F.min(F.struct("place", "score")).alias("f"), F.count(F.lit(1)).alias("times"))
     all_ = candidates.join(sizes, "query_id").join(bad, "query_id", "left").join(first, ["query_id", "item_id"], "left")
     failed = F.coalesce(F.col("unknown") > 0, F.lit(True)) | F.coalesce(F.col("named") == 0, F.lit(True))
-    told = F.when(F.col("f.score").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("f.score"))))  # least() passes over nulls
+    told = F.when(F.col("f.score").isNotNull(), _within(F.col("f.score")))  # least() passes over nulls
     given = F.coalesce(told, 100.0 * (F.col("n") - F.col("f.place")) / F.greatest(F.lit(1), F.col("n") - 1))
     w = Window.partitionBy("query_id")
     out = all_.withColumn("error", F.when(failed, "no valid ranking")).withColumn("score", F.when(failed, 0.0).otherwise(F.coalesce(given, F.lit(0.0))))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.text import tokens
-from heliograph.operators import rerank
+from heliograph.operators import lexical, rerank
 from heliograph.plans import answers, clients, measured, stages
 from heliograph.plans.catalogue import _BM25_SQL, _bm25, asked, items, query, read
 from heliograph.plans.generation import AGAIN
@@ -191,3 +191,32 @@ def _(spark, sf):
     runs = measured.measured(sets, call, lambda i: F.concat(name, F.lit(":"), i.cast("string")), lambda _: F.concat(F.lit("list "), name), workers=4, most_failures=1 << 30, clock=clock, warm=None)
     told = rerank.latency_suite(runs)
     return told.select("scope", F.col("group").alias("part"), "runs", "failures", F.round("mean", 3).alias("mean"), F.round("p95", 3).alias("p95"))
+
+
+# --- rankings with scores below zero, and answers that are no numbers --------------------------------------------
+
+
+@query("bm25_negative", """WITH s AS (SELECT count(*) AS n, count_if(coalesce(lang, '') = 'en') AS df FROM documents), i AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) AS raw, df / n AS avgdl FROM s),
+ sc AS (SELECT b.item_id AS query_id, d.doc_id AS item_id, round(CASE WHEN b.item_id % 2 = 0 AND coalesce(lang, '') = 'en' THEN CASE WHEN raw < 0 THEN 0.25 * raw ELSE raw END * 2.5 / (1 + 1.5 * (0.25 + 0.75 / avgdl)) ELSE 0 END, 6) AS score FROM benchmark b, documents d, i),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 10""")
+def _(spark, sf):
+    """SEA-04, TOP-01: a collection whose only term is in most items scores them below zero, so that items without it come first."""
+    one = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.when(F.col("lang") == "en", "english").otherwise("").alias("text"))
+    wanted = asked(spark, sf).select("query_id", F.when(F.col("query_id") % 2 == 0, "english").otherwise("others").alias("text"))
+    found = lexical.search(lexical.build(one, tables.scratch(spark)), wanted, 10)
+    return found.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("pointwise_answers", f"""WITH {_BM25_SQL}, c AS (SELECT query_id, item_id, score, rank, item_id % 5 AS k FROM br WHERE rank <= 10), r AS (SELECT *, (CASE k WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 40 ELSE 0 END)::DOUBLE AS rs FROM c),
+ s AS (SELECT *, 0.35::DOUBLE * score / (CASE WHEN max(score) OVER w = 0 THEN 1 ELSE max(score) OVER w END) + 0.65::DOUBLE * rs / 100 AS cb FROM r WINDOW w AS (PARTITION BY query_id))
+ SELECT query_id, item_id, rs AS rerank_score, CASE k WHEN 2 THEN 'seen|twice' WHEN 0 THEN 'one' ELSE '' END AS evidence, CASE k WHEN 2 THEN 'age' WHEN 3 THEN 'rerank failed: names nobody' WHEN 4 THEN 'rerank failed: score is no number' ELSE '' END AS mismatch, row_number() OVER (PARTITION BY query_id ORDER BY round(cb, 9) DESC, item_id) AS new_rank FROM s""")
+def _(spark, sf):
+    """SEA-09, MTH-09: NaN is 0 and infinity 100; an answer's evidence and mismatch are told, and so is what failed."""
+    found = _bm25(spark, sf, 10).withColumnRenamed("score", "fused_score")
+    k = F.col("item_id") % 5
+    said = (
+        F.when(k == 0, '{"score": "NaN", "evidence": " one "}').when(k == 1, '{"score": "Infinity", "mismatch": null}').when(k == 2, 'So: {"score": 40, "evidence": ["seen", " ", "twice"], "mismatch": ["age"]}')
+        .when(k == 3, '{"image_id": "nobody", "score": 90}').otherwise('{"score": "high"}')
+    )
+    out = rerank.pointwise(rerank.pointwise_answers(found, found.select("query_id", "item_id", said.alias("answer"))))
+    return out.select("query_id", "item_id", "rerank_score", F.array_join("evidence", "|").alias("evidence"), F.array_join("mismatch", "|").alias("mismatch"), F.col("new_rank").cast("long").alias("new_rank"))

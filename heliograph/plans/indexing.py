@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
@@ -57,6 +58,11 @@ def stored_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first()["value"])
 
 
+def manifest_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of the manifest as it is stored: what deliveries name their index by."""
+    return hashlib.sha256(spark.read.text(f"{path}/manifest").first()["value"].encode()).hexdigest()
+
+
 def errors(spark: SparkSession, path: str, annotations: DataFrame, branches: list[str], split: str = "", version: str = "") -> list[str]:
     """What differs between a folder's manifest and the annotations at hand."""
     ids = manifest.id_digest(annotations).first()

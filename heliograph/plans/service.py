@@ -55,7 +55,7 @@ class Service:
         found = kept(found)  # what the scorer sees is what is ranked
         answers = kept(self.scorer(found))
         if s.rerank_method == "pointwise":
-            scored = rerank.pointwise(rerank.pointwise_answers(found.drop("mismatch"), answers), s.fused_weight, s.scorer_weight).drop("combined", "response", "error")
+            scored = rerank.pointwise(rerank.pointwise_answers(found, answers), s.fused_weight, s.scorer_weight).drop("combined", "response", "error")
         else:
             new = rerank.listwise(found.select("query_id", "item_id", "rank"), answers).withColumnRenamed("score", "rerank_score")
             scored = found.join(new, ["query_id", "item_id"])

@@ -100,11 +100,15 @@ def write_benchmark(runs: DataFrame, summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(f"{path}.summary")
 
 
+def config_digest(config: str) -> str:
+    return hashlib.sha256(config.encode()).hexdigest()
+
+
 def write_delivery(lines: DataFrame, config: str, path: str) -> str:
     """Batches a line each, and the configuration they were made with; returns its SHA-256, which batches name."""
     write_lines(lines, f"{path}/batches")
     _one(lines.sparkSession, config, f"{path}/config")
-    return hashlib.sha256(config.encode()).hexdigest()
+    return config_digest(config)
 
 
 def latex_table(summary: DataFrame, most: int = 200) -> str:
