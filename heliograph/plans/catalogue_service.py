@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.text import tokens
-from heliograph.operators import lexical, rerank
-from heliograph.plans import answers, clients, measured, stages
+from heliograph.operators import ann, lexical, rerank
+from heliograph.plans import answers, catalogue, clients, measured, sql, stages
 from heliograph.plans.catalogue import _BM25_SQL, _bm25, asked, items, query, read
 from heliograph.plans.generation import AGAIN
 from heliograph.sources import tables
@@ -220,3 +220,32 @@ def _(spark, sf):
     )
     out = rerank.pointwise(rerank.pointwise_answers(found, found.select("query_id", "item_id", said.alias("answer"))))
     return out.select("query_id", "item_id", "rerank_score", F.array_join("evidence", "|").alias("evidence"), F.array_join("mismatch", "|").alias("mismatch"), F.col("new_rank").cast("long").alias("new_rank"))
+
+
+# --- inverted lists, SQL -----------------------------------------------------------------------------------------
+
+
+@query("ivf_exact_topk", catalogue._knn_sql("embedding::DOUBLE[]"))
+def _(spark, sf):
+    """Inverted lists whose second pass makes them exact: a few cells first, then those that can still hold something better."""
+    index = ann.build(catalogue.vectors(spark, sf), tables.scratch(spark), cells=16)
+    found = ann.search(index, catalogue.query_vectors(spark, sf), catalogue.K, probes=4, exact=True)
+    return found.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("sql_hybrid_search", catalogue.oracle_sql()["hybrid_search"].replace("SELECT query_id, item_id, rank, round(f, 6) AS fused_score, image_rank, text_rank, bm25_rank FROM ft", "SELECT query_id, item_id, rank, round(f, 6) AS fused_score FROM ft"))
+def _(spark, sf):
+    """The flagship search, said in SQL."""
+    sql.register(catalogue.searcher(spark, sf), catalogue._parsed(spark, sf), catalogue.DEPTH, "shop_")
+    return spark.sql(f"SELECT query_id, item_id, CAST(rank AS LONG) AS rank, round(fused_score, 6) AS fused_score FROM shop_hybrid_search(results => {catalogue.K})")
+
+
+@query("sql_metrics", catalogue.oracle_sql()["query_metrics"])
+def _(spark, sf):
+    """Metrics of a ranking by a table function."""
+    sql.register_metrics(spark, "long", "shop_")
+    _bm25(spark, sf, catalogue.DEPTH).createOrReplaceTempView("shop_ranked")
+    catalogue._judged(spark, sf).createOrReplaceTempView("shop_judged")
+    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in catalogue._NAMES)
+    return spark.sql(f"""SELECT query_id, {rounded} FROM shop_ranking_metrics(TABLE(
+        SELECT j.query_id, r.rank, j.grade FROM shop_judged j LEFT JOIN shop_ranked r ON r.query_id = j.query_id AND r.item_id = j.item_id) PARTITION BY query_id)""")
