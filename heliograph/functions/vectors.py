@@ -27,8 +27,11 @@ def is_sound(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit length; null where the vector isn't sound."""
-    return F.when(is_sound(v), F.transform(doubles(v), lambda x: x / norm(v)))
+    """Unit length; null where the vector isn't sound.
+
+    The norm is bound by an outer transform over one value: inside the inner one it would be taken again for each component.
+    """
+    return F.when(is_sound(v), F.transform(F.array(norm(v)), lambda n: F.transform(doubles(v), lambda x: x / n))[0])
 
 
 def truncated(v: Column, size: int) -> Column:

@@ -80,7 +80,7 @@ def asked(spark, sf) -> DataFrame:
 
 
 def vectors(spark, sf) -> DataFrame:
-    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return tables.spread(read(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")))
 
 
 def query_vectors(spark, sf) -> DataFrame:
@@ -285,7 +285,7 @@ def _(spark, sf):
 @query("tokenize_counts", r"SELECT token, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+', 0)) AS token FROM documents) GROUP BY 1")
 def _(spark, sf):
     """STR-11. A document gives its tokens and, once more, its distinct ones; one aggregation merges both on the map side."""
-    t = items(spark, sf).select(T.tokens(F.col("text")).alias("t"))
+    t = tables.spread(items(spark, sf)).select(T.tokens(F.col("text")).alias("t"))
     entry = lambda n, docs: lambda x: F.struct(x.alias("token"), F.lit(n).alias("n"), F.lit(docs).alias("docs"))
     each = t.select(F.inline(F.concat(F.transform("t", entry(1, 0)), F.transform(F.array_distinct("t"), entry(0, 1)))))
     return each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -390,7 +390,7 @@ def bm25_index(spark, sf) -> lexical.Index:
     key = (spark.sparkContext.applicationId, *tables.fingerprint(spark, f"{sf}/documents.parquet"))
     if key not in _INDEXES:
         path = tables.scratch(spark)
-        lexical.build(items(spark, sf), path)
+        lexical.build(tables.spread(items(spark, sf)), path)
         _INDEXES[key] = path
     return lexical.Index.load(spark, _INDEXES[key])
 

@@ -26,6 +26,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, over as many tasks as there are cores if its files give it fewer: a small file is one task's.
+
+    Not for what a shuffle made, which would run for its partitions to be known.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple[str, int, int]:
     """(path, bytes, time of the last change) of a file or folder: tells whether what was made from it still holds."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
