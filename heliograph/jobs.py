@@ -36,7 +36,7 @@ def _queries(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def scan(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.write_manifest(readers.scan_directory(spark, a.input, limit=a.limit), a.out)
+    sinks.write_manifest(readers.scan_directory(spark, a.input, limit=a.limit, measured=a.measured), a.out)
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -148,7 +148,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         module, _, name = a.generator.partition(":")
         annotate = getattr(import_module(module), name)
     given = {name: (lambda items, t=t: spark.read.parquet(t).join(items.select("item_id"), "item_id", "left_semi")) for name, t in (("image", a.image_vectors), ("text", a.text_vectors)) if t}
-    done = directory.run(spark, a.input, a.out, a.resume, mode=a.mode, limit=a.limit, prompt=a.prompt, version=a.version, annotate=annotate, **given)
+    done = directory.run(spark, a.input, a.out, a.resume, mode=a.mode, limit=a.limit, measured=a.measured, prompt=a.prompt, version=a.version, annotate=annotate, **given)
     print(json.dumps(done.done))
 
 
@@ -163,6 +163,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         if name in ("scan", "run"):
             j.add_argument("--input", required=True)
             j.add_argument("--limit", type=int)
+            j.add_argument("--measured", action="store_true", help="read widths, heights and modes; files without an image's header are invalid")
         elif name in ("tasks", "validate"):
             j.add_argument("--manifest", required=True)
         elif name != "parse":

@@ -13,7 +13,7 @@ from heliograph.operators import ann, lexical, rerank
 from heliograph.plans import answers, catalogue, clients, measured, sql, stages
 from heliograph.plans.catalogue import _BM25_SQL, _bm25, asked, items, query, read
 from heliograph.plans.generation import AGAIN
-from heliograph.sources import tables
+from heliograph.sources import images, tables
 from heliograph.streaming import ledger
 
 # --- cited answers -----------------------------------------------------------------------------------------------
@@ -249,3 +249,18 @@ def _(spark, sf):
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in catalogue._NAMES)
     return spark.sql(f"""SELECT query_id, {rounded} FROM shop_ranking_metrics(TABLE(
         SELECT j.query_id, r.rank, j.grade FROM shop_judged j LEFT JOIN shop_ranked r ON r.query_id = j.query_id AND r.item_id = j.item_id) PARTITION BY query_id)""")
+
+
+# --- image headers -----------------------------------------------------------------------------------------------
+
+
+@query("image_facts", """WITH d AS (SELECT doc_id AS item_id, doc_id % 4000 AS w, length(coalesce(text, '')) + 1 AS h, ([0, 2, 3, 4, 6, 5])[doc_id % 6 + 1] AS color FROM documents),
+ e AS (SELECT *, CASE WHEN color = 5 THEN 'no PNG header' WHEN w = 0 THEN 'an image without pixels' END AS error FROM d)
+ SELECT item_id, error IS NULL AS valid, CASE WHEN error IS NULL THEN w END::INTEGER AS width, CASE WHEN error IS NULL THEN h END::INTEGER AS height, CASE WHEN error IS NULL THEN CASE color WHEN 0 THEN 'L' WHEN 2 THEN 'RGB' WHEN 3 THEN 'P' WHEN 4 THEN 'LA' ELSE 'RGBA' END END AS mode, error FROM e""")
+def _(spark, sf):
+    """SRC-01, SRC-02: sizes and modes from headers, here those of PNG files as wide as an id and as high as a text is long."""
+    four = lambda n: F.lpad(F.hex(n), 8, "0")
+    color = F.element_at(F.array(*map(F.lit, ("00", "02", "03", "04", "06", "05"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    made = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("doc_id") % 4000), four((F.length(F.coalesce("text", F.lit(""))) + 1).cast("long")), F.lit("08"), color))
+    found = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), images.facts(made).alias("f"))
+    return found.select("item_id", F.col("f.error").isNull().alias("valid"), "f.width", "f.height", "f.mode", "f.error")

@@ -32,7 +32,7 @@ def snapshot_faults(items: DataFrame, annotations: DataFrame, version: str, most
     return out
 
 
-def planned(spark: SparkSession, input_dir: str, mode: str = "full", limit: int | None = None, prompt: str = "", version: str = "1", annotate: generation.Generator | None = None, image: Callable[[DataFrame], DataFrame] | None = None, text: Callable[[DataFrame], DataFrame] | None = None, retries: int = 2) -> list[Stage]:
+def planned(spark: SparkSession, input_dir: str, mode: str = "full", limit: int | None = None, prompt: str = "", version: str = "1", annotate: generation.Generator | None = None, image: Callable[[DataFrame], DataFrame] | None = None, text: Callable[[DataFrame], DataFrame] | None = None, retries: int = 2, measured: bool = False) -> list[Stage]:
     """The stages of a run."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -40,7 +40,7 @@ def planned(spark: SparkSession, input_dir: str, mode: str = "full", limit: int
         raise ValueError("a full run needs a generator that annotates")
 
     def scanned(_, __) -> DataFrame:
-        return readers.scan_directory(spark, input_dir, limit=limit)
+        return readers.scan_directory(spark, input_dir, limit=limit, measured=measured)
 
     def usable(items: DataFrame, _) -> list[str]:
         return ["all images are invalid"] if items.filter("valid").isEmpty() else []
@@ -65,7 +65,7 @@ def planned(spark: SparkSession, input_dir: str, mode: str = "full", limit: int
         rows = [(k, v, None) for k, v in made["branches"].items()] + [(k, None, v) for k, v in made["failed"].items()]
         return spark.createDataFrame([(k, n, e, at) for k, n, e in rows], "branch string, items long, error string, folder string")
 
-    stages = [Stage("manifest", scanned, params={"limit": limit}, check=usable, source=True)]
+    stages = [Stage("manifest", scanned, params={"limit": limit, "measured": measured}, check=usable, source=True)]
     if mode == "full":
         stages.append(Stage("annotation", annotated, ("manifest",), {"prompt": prompt, "retries": retries}, version))
         stages.append(Stage("validation", valid, ("manifest", "annotation"), version=version, check=lambda made, t: snapshot_faults(t["manifest"], made, version)))

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.operators import judging, metrics
+from heliograph.operators import dense, judging, metrics
 from heliograph.plans.search import Searcher
+from heliograph.sources import tables
 from heliograph.sources.tables import kept
 
 METRICS = ("recall_1", "recall_5", "recall_10", "mrr", "ap", "ndcg")
@@ -72,3 +73,38 @@ def compared_encoders(branches: dict[str, Callable[[DataFrame, int], DataFrame]]
     for name in others:
         out = out.unionByName(metrics.overlap(found[first], found[name], k).withColumn("encoder", F.lit(name)))
     return runs, out
+
+
+def encoder_costs(items: DataFrame, queries: DataFrame, encoders: dict[str, tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]], path: str, k: int = 5, batch: dict[str, int] | None = None, clock=time.perf_counter) -> dict:
+    """What encoders cost on the same items and queries: a report with a row an encoder.
+
+    Each is a pair of functions, from (item_id, ...) to (item_id, vector), and from (query_id, ...) to (query_id, vector). Its index
+    is built and written under ``path``; counted are the seconds of that, items a second, the bytes of the files written, the
+    dimension, and the seconds of the queries after an unmeasured one. All must index the same ids. The report makes no claim
+    about quality: no judgment is looked at.
+    """
+    spark, ids = items.sparkSession, kept(items.select("item_id"))
+    n, asked = ids.count(), kept(queries)
+    wanted = asked.count()
+    if not n or not wanted or not encoders:
+        raise ValueError("items, queries and encoders are needed")
+    rows, heads = [], []
+    for name, (encode, encode_query) in encoders.items():
+        began = clock()
+        dense.save(encode(items), f"{path}/{name}", model=name, kind="image")
+        built = clock() - began
+        stored = dense.load(spark, f"{path}/{name}", name)
+        met = stored.select("item_id", F.lit(1).alias("a")).join(ids.select("item_id", F.lit(1).alias("b")), "item_id", "full")
+        if not met.filter("a is null or b is null").isEmpty():
+            raise ValueError(f"{name} doesn't index the same items as the others")
+        dense.search(stored, encode_query(asked.limit(1)), k).count()  # not measured
+        began = clock()
+        found = kept(dense.search(stored, encode_query(asked), k))
+        took = clock() - began
+        heads.append(found.select(F.lit(name).alias("encoder"), "query_id", "rank", "item_id", "score"))
+        dimension = stored.select(F.size("vector").alias("d")).first()["d"]
+        rows.append({"encoder": name, "items": n, "batch_size": (batch or {}).get(name), "dimension": dimension, "build_seconds": built, "items_per_second": n / built if built else None, "index_bytes": tables.fingerprint(spark, f"{path}/{name}/vectors")[1], "queries": wanted, "mean_warm_query_seconds": took / wanted})
+    top = heads[0]
+    for h in heads[1:]:
+        top = top.unionByName(h)
+    return {"encoders": rows, "items": n, "has_relevance_judgments": False, "quality_claim_allowed": False, "note": "costs only; quality needs judgments by people", "top": top}

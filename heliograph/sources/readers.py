@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.manifest import mark_duplicates, numeric_suffix
+from heliograph.sources import images
 from heliograph.sources.tables import kept
 
 # Endings of image files.
@@ -14,11 +15,12 @@ ENDINGS = ("jpg", "jpeg", "png", "webp", "bmp")
 FEW_PATHS = 100_000
 
 
-def scan_directory(spark: SparkSession, path: str, root: str = "", limit: int | None = None, decode=None) -> DataFrame:
+def scan_directory(spark: SparkSession, path: str, root: str = "", limit: int | None = None, decode=None, measured: bool = False) -> DataFrame:
     """item_id, relative_path, sha256, size_bytes, valid, error, duplicate_of of the image files under ``path``; none is an error.
 
     The listing (without contents) is cut to ``limit`` first, so that only files which stay are read. ``decode`` is a
-    Column function from content to an error text or null.
+    Column function from content to an error text or null. ``measured`` adds width, height and mode, from the files' headers;
+    what has no image's header isn't valid then.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join([*ENDINGS, *map(str.upper, ENDINGS)]) + "}").load(path)
     named = files.withColumn("relative_path", F.regexp_replace("path", "^.*?" + (root or path).rstrip("/") + "/", ""))
@@ -29,16 +31,26 @@ def scan_directory(spark: SparkSession, path: str, root: str = "", limit: int |
     if limit is not None:
         first = named.select("path", "relative_path").orderBy(F.lower("relative_path")).limit(limit).select("path")
         named = named.join(F.broadcast(first) if limit <= FEW_PATHS else first, "path", "left_semi")
-    hashed = named.select("relative_path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), (decode(F.col("content")) if decode else F.when(F.col("length") == 0, "empty file")).alias("error"))
+    error = decode(F.col("content")) if decode else F.when(F.col("length") == 0, "empty file")
+    named, more, error = _measured(named, error) if measured else (named, [], error)
+    hashed = named.select("relative_path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), error.alias("error"), *more)
     items = hashed.withColumn("item_id", F.concat(F.lit("val-"), F.substring(F.sha2(F.col("relative_path").cast("binary"), 256), 1, 12))).withColumn("valid", F.col("error").isNull())
     return mark_duplicates(items.withColumn("_order", F.lower("relative_path")), order=("_order",)).drop("_order")
 
 
-def scan_split(spark: SparkSession, path: str, split: str, decode=None) -> DataFrame:
+def _measured(files: DataFrame, error: Column) -> tuple[DataFrame, list[Column], Column]:
+    found = files.withColumn("_facts", images.facts(F.col("content")))
+    more = [F.col(f"_facts.{c}").alias(c) for c in ("width", "height", "mode")]
+    return found, more, F.coalesce(error, F.col("_facts.error"))
+
+
+def scan_split(spark: SparkSession, path: str, split: str, decode=None, measured: bool = False) -> DataFrame:
     """The same of a flat folder of .jpg files, ids from their names' numbers, in numeric order."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path)
     stem = F.regexp_extract("path", r"([^/]+)\.jpg$", 1)
-    items = files.select(F.concat(F.lit(split.lower() + "-"), stem).alias("item_id"), F.lit(split).alias("split"), F.concat(F.lit(split + "/"), stem, F.lit(".jpg")).alias("relative_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), (decode(F.col("content")) if decode else F.lit(None).cast("string")).alias("error"), numeric_suffix(stem).alias("_n"))
+    error = decode(F.col("content")) if decode else F.lit(None).cast("string")
+    files, more, error = _measured(files, error) if measured else (files, [], error)
+    items = files.select(F.concat(F.lit(split.lower() + "-"), stem).alias("item_id"), F.lit(split).alias("split"), F.concat(F.lit(split + "/"), stem, F.lit(".jpg")).alias("relative_path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), error.alias("error"), numeric_suffix(stem).alias("_n"), *more)
     return mark_duplicates(items.withColumn("valid", F.col("error").isNull()), order=("_n",)).drop("_n")
 
 
