@@ -13,9 +13,10 @@ counted in the first shard that both share. Nothing but counts and a spanning fo
 copies aren't expanded into pairs. Links are verified in double precision.
 
 Shards that come out larger than MOST, as centers can't part a dense group, are dealt in cells of bounded size that cover
-all their pairs. The recall is audited: AUDIT random nodes, and LINKED ones that have links, are held against brute force
-over all nodes; while it is below ``target``, shards are compared by exact blocks, then nodes are put in twice as many
-shards, and in the end all nodes of a label are compared, whose cost grows as its square.
+all their pairs. The recall is audited: random nodes - AUDIT, or more until ENOUGH links are seen, MOST_AUDIT in the end - and
+LINKED ones that have links are held against brute force over all nodes, each kind by itself. While the worse of both is
+below ``target``, shards are compared by exact blocks, then nodes are put in twice as many shards, and in the end all nodes of
+a label are compared, whose cost grows as its square. ``audited`` tells the recall beside each row.
 
 Rows: vectors that are null, empty or zero or have a null or non-finite component, and null labels, link with nothing;
 vectors of different lengths never link; a null id is no node (its links are null, and it is kept); rows that repeat an
@@ -38,8 +39,8 @@ from heliograph.llm.components import connected_components
 SHARD, SPLIT, OVERLAP, MOST = 1_500, 2_500, 3, 6_000
 #: Nodes of a shard that its centers are fitted on, centers of a shard at most, nodes that meet them at a time, most cuts.
 SAMPLE, FAN, BATCH, CUTS = 2_000, 64, 1_000, 8
-#: Nodes audited: random ones, and ones with links.
-AUDIT, LINKED = 500, 200
+#: Nodes audited: random ones at first, ones with links; links to be seen among the random ones, and most of these.
+AUDIT, LINKED, ENOUGH, MOST_AUDIT = 500, 200, 200, 8_000
 #: Edges of a node, and random ones besides; candidates of a node, and what hides a farther one.
 DEGREE, FAR, BUILD, ALPHA = 16, 4, 32, 1.2
 #: Nodes in a search's beam, those expanded at a time, queries at a time, and how far beyond the range nodes are expanded.
@@ -332,11 +333,26 @@ def _search(nodes: DataFrame, kind: str, least: float, overlap: int, whole: bool
     return found, found.filter("node <> parent").select(F.col("node").alias("a"), F.col("parent").alias("b"))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, kind: str, least: float) -> float | None:
-    """Links found over links there are, of the audited nodes, which are compared with all nodes; None if they have none."""
-    drawn = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(AUDIT).select("node", "label", "b")
+def _audit(nodes: DataFrame, counted: DataFrame, kind: str, least: float) -> tuple[float | None, int]:
+    """(recall, random nodes audited): links found over links there are, of nodes that are compared with all nodes.
+
+    Random nodes and nodes with links are judged apart, and the worse share counts: groups that were lost as a whole show
+    among the random ones only. Of these, more are drawn until ENOUGH links are seen; None if there are none among MOST_AUDIT.
+    """
     linked = nodes.join(counted.filter("n > 0").orderBy(F.xxhash64("node", F.lit("linked"))).limit(LINKED).select("node"), "node").select("node", "label", "b")
-    audit = drawn.unionByName(linked).distinct().toPandas()
+    share, links = _share(nodes, linked, counted, kind, least)
+    every, n = nodes.count(), AUDIT
+    while True:
+        drawn = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(n).select("node", "label", "b")
+        random, seen = _share(nodes, drawn, counted, kind, least)
+        if seen >= ENOUGH or n >= min(every, MOST_AUDIT):
+            return min((x for x in (share, random) if x is not None), default=None), min(n, every)
+        n = min(4 * n, MOST_AUDIT)
+
+
+def _share(nodes: DataFrame, drawn: DataFrame, counted: DataFrame, kind: str, least: float) -> tuple[float | None, int]:
+    """(links found over links there are, links there are) of the nodes ``drawn``, of which there are MOST_AUDIT at most."""
+    audit = drawn.toPandas()
     shared = nodes.sparkSession.sparkContext.broadcast({k: (g["node"].to_numpy(), _matrix(g["b"].tolist(), kind)) for k, g in audit.groupby(["label", audit["b"].map(len)])})
 
     def compare(batches):
@@ -345,13 +361,16 @@ def _audit(nodes: DataFrame, counted: DataFrame, kind: str, least: float) -> flo
             for k, part in pdf.groupby(["label", pdf["b"].map(len)]):
                 if k in shared.value:
                     ids, x = shared.value[k]
-                    hit = (x @ _matrix(part["b"].tolist(), kind).T >= least) & (ids[:, None] != part["node"].to_numpy()[None, :])
-                    out.append(pd.DataFrame({"node": ids, "n": hit @ part["copies"].to_numpy()}))
+                    y, names, copies, n = _matrix(part["b"].tolist(), kind), part["node"].to_numpy(), part["copies"].to_numpy(), np.zeros(len(ids), np.int64)
+                    for lo in range(0, len(y), QUERIES):
+                        hit = (x @ y[lo : lo + QUERIES].T >= least) & (ids[:, None] != names[None, lo : lo + QUERIES])
+                        n += hit @ copies[lo : lo + QUERIES]
+                    out.append(pd.DataFrame({"node": ids, "n": n}))
             yield pd.concat(out)
 
     true = nodes.select("node", "label", "b", "copies").mapInPandas(compare, "node long, n long").groupBy("node").agg(F.sum("n").alias("true_n"))
     got = true.join(counted, "node", "left").agg(F.sum("true_n"), F.sum(F.least("true_n", F.coalesce("n", F.lit(0))))).first()
-    return float(got[1] / got[0]) if got[0] else None
+    return (float(got[1] / got[0]) if got[0] else None), int(got[0] or 0)
 
 
 def packed(kind: str):
@@ -375,7 +394,7 @@ def packed(kind: str):
 
 
 def linked(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, target: float = 0.98) -> tuple[DataFrame, float | None]:
-    """(id, n_links, component_id, kept - a row for each row of ``vectors``; the audited recall, None without links)."""
+    """(id, n_links, component_id, kept - a row for each row of ``vectors``; the audited recall, None if the audit saw no link)."""
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     source = vectors.select(F.col(id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), (F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")).alias("v"))
     sound = source.withColumn("b", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), packed(kind)("v"))).drop("v")
@@ -388,7 +407,7 @@ def linked(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", la
     while True:
         found, links = _search(nodes, kind, least, overlap, whole)
         counted = materialize(found.groupBy("node").agg(F.sum("n").alias("n")))
-        recall = _audit(nodes, counted, kind, least)
+        recall, _ = _audit(nodes, counted, kind, least)
         if recall is None or recall >= target or not overlap:
             break
         if not whole:
@@ -405,6 +424,12 @@ def linked(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", la
     return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))), recall
 
 
+def audited(vectors: DataFrame, **options) -> DataFrame:
+    """The rows of ``linked``, with ``recall``: what the audit measured for the whole table; null if it saw no link."""
+    rows, recall = linked(vectors, **options)
+    return rows.withColumn("recall", F.lit(recall).cast("double"))
+
+
 def near_duplicates(vectors: DataFrame, **options) -> DataFrame:
     """The rows of ``linked``."""
     return linked(vectors, **options)[0]
