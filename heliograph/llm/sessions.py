@@ -12,7 +12,7 @@ does the next click within an island. What must be handed on further (the last s
 blocks, with one row a client and stretch of FAN blocks at its top, however many clicks these have.
 
 Rows: clicks with a null id, client or time are passed over; of rows that share an id one counts, the least by time, arrival,
-client, kind and value; a null arrival isn't late, a null kind not final; null, NaN and infinite values are 0; ties in time go
+client, finality and value; a null arrival isn't late, a null kind not final; null, NaN and infinite values are 0; ties in time go
 by id; clients without a timely click have no session; further columns, whatever their names, are left out; an empty table
 gives an empty result. A session's path is one value, as long as the session; nothing else is gathered. Times without a zone
 count as UTC, whatever the session's zone is.
@@ -44,26 +44,38 @@ def _floor(us: Column, width: int) -> Column:
 
 
 def _clean(clicks: DataFrame, late: int, final_kind: str, final_value: float) -> DataFrame:
-    """click_id, client_id, us, late, fin, cents: a row a click."""
+    """click_id, client_id, us, late, fin, cents: a row a click.
+
+    Rows that repeat a click mostly are the same, which plain minima and maxima show; only ids whose rows differ are sorted out.
+    """
     value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
-    us, arrived = micros(clicks, "ts"), micros(clicks, "arrived_at")
     rows = clicks.filter("click_id is not null and client_id is not null and ts is not null").select(
         "click_id",
-        F.struct(
-            us.alias("us"),
-            arrived.alias("arrived"),
-            F.col("client_id").alias("client_id"),
-            F.coalesce((F.col("kind") == final_kind) & (value >= final_value), F.lit(False)).alias("fin"),
-            F.coalesce(F.floor(value * 100 + F.lit(0.5)).cast("long"), F.lit(0)).alias("cents"),
-        ).alias("r"),
+        micros(clicks, "ts").alias("us"),
+        micros(clicks, "arrived_at").alias("arrived"),
+        F.col("client_id").alias("client_id"),
+        F.coalesce((F.col("kind") == final_kind) & (value >= final_value), F.lit(False)).alias("fin"),
+        F.coalesce(F.floor(value * 100 + F.lit(0.5)).cast("long"), F.lit(0)).alias("cents"),
     )
-    one = rows.groupBy("click_id").agg(F.min("r").alias("r")).select("click_id", "r.*")
-    return one.select("click_id", "client_id", "us", F.coalesce(F.col("arrived") - F.col("us") > late, F.lit(False)).alias("late"), "fin", "cents")
+    names = [c for c in rows.columns if c != "click_id"]
+    n = F.count(F.lit(1))
+    both = [f(c).alias(f"{c}{k}") for c in names for k, f in enumerate((F.min, F.max))]
+    one = rows.groupBy("click_id").agg(*both, n.alias("n"), F.count("arrived").alias("arrivals"))
+    same = F.col("arrivals").isin(F.lit(0), F.col("n"))
+    for c in names:
+        same = same & F.col(f"{c}0").eqNullSafe(F.col(f"{c}1"))
+    is_late = F.coalesce(F.col("arrived") - F.col("us") > late, F.lit(False)).alias("late")
+    one = materialize(one.select("click_id", *(F.col(f"{c}0").alias(c) for c in names), same.alias("same")).select("click_id", "client_id", "us", is_late, "fin", "cents", "same"))
+    odd = one.filter("not same").select("click_id")
+    if odd.isEmpty():
+        return one.drop("same")
+    least = rows.join(odd.hint("merge"), "click_id").groupBy("click_id").agg(F.min(F.struct(*names)).alias("r")).select("click_id", "r.*")
+    return materialize(one.filter("same").drop("same").unionByName(least.select("click_id", "client_id", "us", is_late, "fin", "cents")))
 
 
 def _before(blocks: DataFrame, key: str) -> DataFrame:
-    """key, block, before: the greatest ``mark`` of the key's earlier blocks; ``blocks`` may have several rows a block."""
-    heads = blocks.groupBy(key, "block").agg(F.max("mark").alias("mark")).withColumn("stretch", _floor(F.col("block"), FAN))
+    """key, block, before: the greatest ``mark`` of the key's earlier blocks, from a row a block."""
+    heads = blocks.select(key, "block", "mark").withColumn("stretch", _floor(F.col("block"), FAN))
     earlier = Window.partitionBy(key, "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     tops = heads.groupBy(key, "stretch").agg(F.max("mark").alias("top"))
     above = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,8 +101,10 @@ def _islands(timely: DataFrame, gap: int) -> DataFrame:
     rows = rows.withColumn("ago", F.col("us") - F.lag("us").over(by)).withColumn("cut", F.lag("fin").over(by))
     first = F.col("click_id").isNotNull() & (F.col("ago").isNull() | F.col("cut") | (F.col("ago") >= gap))
     rows = rows.withColumn("mark", F.max(F.when(first, F.struct("us", "click_id"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("last", F.lead("us").over(by).isNull())
     rows = materialize(rows.filter("click_id is not null").drop("ago", "cut"))
-    return _filled(rows, rows, "client_id")
+    # a block's greatest mark is that of its last click
+    return _filled(rows.drop("last"), rows.filter("last"), "client_id")
 
 
 def _length_cuts(rest: DataFrame, gap: int, span: int) -> DataFrame | None:
@@ -123,7 +137,7 @@ def _dealt(rest: DataFrame, cuts: DataFrame, gap: int, span: int) -> DataFrame:
 def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120, late_minutes: int = 60, final_kind: str = "purchase", final_value: float = 60.0) -> DataFrame:
     """client_id, session_id, start_us, end_us, n_clicks, n_late, value_cents, closed_by, path (click ids in order)."""
     gap, span = gap_minutes * MINUTE, span_minutes * MINUTE
-    clean = materialize(_clean(clicks, late_minutes * MINUTE, final_kind, final_value))
+    clean = _clean(clicks, late_minutes * MINUTE, final_kind, final_value)
     timely, late = clean.filter("not late").drop("late"), clean.filter("late").select("client_id", "us")
 
     clicks = _islands(timely, gap).withColumn("island", F.col("mark.click_id")).withColumn("past", F.col("us") - F.col("mark.us") > span).drop("mark")
@@ -143,7 +157,7 @@ def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120,
         F.sort_array(F.collect_list(F.struct("us", "click_id")))["click_id"].alias("path"),
     )
     found = materialize(found)
-    lasts = timely.groupBy("client_id").agg(F.max(F.struct("us", "click_id"))["click_id"].alias("last_id")).select("last_id", F.lit(True).alias("is_last"))
+    lasts = found.groupBy("client_id").agg(F.max("last")["click_id"].alias("last_id")).select("last_id", F.lit(True).alias("is_last"))
 
     # late clicks belong to the last session that begins no later
     at = F.struct(F.col("start_us").alias("us"), F.col("session_id").alias("click_id")).alias("mark")
@@ -151,7 +165,7 @@ def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120,
     both = marks.unionByName(late.select("client_id", _floor(F.col("us"), gap).alias("block"), "us", F.lit(1).alias("late")), allowMissingColumns=True)
     by = Window.partitionBy("client_id", "block").orderBy("us", "late").rowsBetween(Window.unboundedPreceding, 0)
     asof = both.withColumn("mark", F.max("mark").over(by)).filter("late = 1")
-    n_late = _filled(asof, both, "client_id").filter("mark is not null").groupBy(F.col("mark.click_id").alias("session_id")).agg(F.count(F.lit(1)).alias("n_late"))
+    n_late = _filled(asof, both.groupBy("client_id", "block").agg(F.max("mark").alias("mark")), "client_id").filter("mark is not null").groupBy(F.col("mark.click_id").alias("session_id")).agg(F.count(F.lit(1)).alias("n_late"))
 
     out = found.withColumn("last_id", F.col("last.click_id")).join(lasts.hint("merge"), "last_id", "left").join(n_late.hint("merge"), "session_id", "left")
     out = out.join(by_length.hint("merge"), "session_id", "left") if by_length is not None else out.withColumn("by_length", F.lit(None).cast("boolean"))

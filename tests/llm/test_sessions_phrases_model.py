@@ -121,6 +121,20 @@ def test_sessions_are_those_of_a_plain_walk(spark, tmp_path, zone):
     assert sum(s[0] == 1 and s[6] == "length" for s in want.values()) >= 15  # as many rounds
 
 
+def test_clicks_whose_rows_differ_count_once(spark, tmp_path):
+    rows = made_clicks()[700:790]
+    odd = [(rows[3][0], rows[3][1] - dt.timedelta(hours=3), *rows[3][2:]), (*rows[5][:2], None, *rows[5][3:]), (*rows[8][:3], 77, *rows[8][4:])]
+    sf = read(spark, rows + odd, CLICKS, tmp_path, "clicks")
+    least = {}
+    for r in rows + odd:
+        if None not in (r[0], r[1], r[3]):
+            fin = r[4] == "purchase" and r[5] is not None and math.isfinite(r[5]) and r[5] >= 60
+            cents = math.floor(r[5] * 100 + 0.5) if r[5] is not None and math.isfinite(r[5]) else 0
+            key = (us(r[1]), (r[2] is not None, us(r[2]) if r[2] else 0), r[3], fin, cents)
+            least[r[0]] = min(least.get(r[0], (key, r)), (key, r), key=lambda x: x[0])
+    assert found_sessions(spark, sf) == brute_sessions([r for _, r in least.values()])
+
+
 def test_sessions_of_no_clicks_and_of_clashing_columns(spark, tmp_path):
     assert found_sessions(spark, read(spark, [], CLICKS, tmp_path, "clicks")) == {}
     rows = made_clicks()[700:760]
