@@ -43,9 +43,3 @@ def prompts_for(items: DataFrame, routed: DataFrame, prompts: dict[str, str], de
 
 def distribution(routed: DataFrame) -> DataFrame:
     return routed.filter("place = 1").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
-def prompt_groups(items: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items with their category, items without a route)."""
-    first = routed.filter("place = 1").select("item_id", "category")
-    return items.join(first, "item_id"), items.join(first, "item_id", "left_anti")

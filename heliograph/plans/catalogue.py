@@ -242,7 +242,7 @@ def _(spark, sf):
 
 @query("query_type", """SELECT doc_id AS query_id, (['count','count','count','simple','count','count'])[doc_id % 6 + 1] AS query_type, (['汽车','人物','狗','','汽车','人物'])[doc_id % 6 + 1] AS objects, CASE WHEN doc_id % 6 = 1 THEN '室外' ELSE '' END AS scene FROM documents""")
 def _(spark, sf):
-    """STR-10, SEA-08, JSN-04."""
+    """STR-10, SEA-08."""
     return parsing.parse(_counts(spark, sf)).select("query_id", "query_type", F.array_join("objects", ",").alias("objects"), F.array_join("scene", ",").alias("scene"))
 
 
@@ -461,7 +461,7 @@ def _ranks(df: DataFrame) -> list:
 
 @query("rrf_fusion", f"WITH {_ALL_SQL}, {_fuse_sql('al', K)} SELECT query_id, item_id, rank, round(f, 6) AS fused_score, image_rank, text_rank, bm25_rank FROM ft")
 def _(spark, sf):
-    """AGG-01, JOI-02, WIN-01, TOP-04, SET-07, MAP-01, SEA-03."""
+    """AGG-01, JOI-02, WIN-01, TOP-04, SET-07, MAP-01."""
     best = fusion.top(fusion.rrf(_rankings(spark, sf)), K)
     return best.select("query_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("fused_score", 6).alias("fused_score"), *_ranks(best))
 

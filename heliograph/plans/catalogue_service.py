@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.text import tokens
-from heliograph.operators import ann, lexical, rerank
-from heliograph.plans import answers, catalogue, clients, measured, sql, stages
+from heliograph.operators import ann, lexical, parsing, rerank
+from heliograph.plans import answers, catalogue, clients, generation, measured, sql, stages
 from heliograph.plans.catalogue import _BM25_SQL, _bm25, asked, items, query, read
 from heliograph.plans.generation import AGAIN
 from heliograph.sources import images, tables
@@ -264,3 +264,32 @@ def _(spark, sf):
     made = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(F.col("doc_id") % 4000), four((F.length(F.coalesce("text", F.lit(""))) + 1).cast("long")), F.lit("08"), color))
     found = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), images.facts(made).alias("f"))
     return found.select("item_id", F.col("f.error").isNull().alias("valid"), "f.width", "f.height", "f.mode", "f.error")
+
+
+# --- branches and parsers ----------------------------------------------------------------------------------------
+
+
+@query("active_branches", catalogue.oracle_sql()["hybrid_search"].replace("SELECT query_id, item_id, rank, round(f, 6) AS fused_score, image_rank, text_rank, bm25_rank FROM ft", "SELECT query_id, count(*)::BIGINT AS items, 'image,text,bm25' AS branches FROM ft GROUP BY 1"))
+def _(spark, sf):
+    """SEA-03: branches are told in one order, whatever order they were given in, and one that fails isn't among them."""
+    given = catalogue.branches(spark, sf)
+
+    def broken(queries, k):
+        raise OSError("no such index")
+
+    s = catalogue.Searcher(catalogue.annotations(spark, sf), {"bm25": given["bm25"], "broken": broken, "text": given["text"], "image": given["image"]}, catalogue.CATALOG)
+    found = s.search(catalogue._parsed(spark, sf), catalogue.DEPTH, catalogue.K)
+    return found.groupBy("query_id", F.array_join("active_branches", ",").alias("branches")).agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("parsed_by_generator", """SELECT item_id AS query_id, (['generator', 'rules_fallback', 'rules_fallback', 'rules_fallback'])[item_id % 4 + 1] AS backend, ([NULL, 'query_type', 'no JSON object', 'timeout'])[item_id % 4 + 1] AS error, CASE WHEN item_id % 4 = 0 THEN 'calm' ELSE '' END AS mood FROM benchmark""")
+def _(spark, sf):
+    """JSN-04: a generator's parse is merged into the rules' one; what can't be used leaves it as it was, and says why."""
+    k = F.col("query_id") % 4
+
+    def says(rows: DataFrame) -> DataFrame:
+        said = F.when(k == 0, 'So: {"mood": ["calm"]}').when(k == 1, '{"query_type": "odd"}').when(k == 2, "prose")
+        return rows.withColumn("raw", said).withColumn("error", F.when(k == 3, "timeout"))
+
+    out = generation.parsed_with(parsing.parse(asked(spark, sf)), "Parse.", says)
+    return out.select("query_id", "backend", "error", F.array_join("mood", ",").alias("mood"))

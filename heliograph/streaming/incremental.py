@@ -7,27 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.sources.tables import kept
+
 
 def annotate_stream(spark: SparkSession, source: str, schema: str, annotate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Each micro-batch's valid items that ``out`` doesn't hold yet are annotated and appended; failures go aside.
+    """Each valid item that the stream hasn't seen yet is annotated, once; failures go aside (``ledger`` tries them again).
 
-    A batch that is run again after a failure writes nothing twice: what it wrote is anti-joined away.
+    What was seen is the stream's state, so a batch costs the same however much is written. A batch's rows lie in a folder of
+    its own, which a batch that is run again after a crash replaces.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        todo = batch.filter("valid").dropDuplicates(["item_id"])
-        try:
-            done = spark.read.json(out, schema="item_id string")
-            todo = todo.join(done, "item_id", "left_anti")
-        except Exception as e:  # the first batch has nothing to read
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        answered = annotate(todo).persist()
-        answered.filter("error is null").write.mode("append").json(out)
-        answered.filter("error is not null").write.mode("append").json(f"{out}.failures")
-        answered.unpersist()
-
-    stream = spark.readStream.schema(schema).parquet(source)
+        answered = kept(annotate(batch))
+        answered.filter("error is null").write.mode("overwrite").json(f"{out}/epoch={epoch}")
+        answered.filter("error is not null").write.mode("overwrite").json(f"{out}.failures/epoch={epoch}")
+
+    stream = spark.readStream.schema(schema).parquet(source).filter("valid").dropDuplicates(["item_id"])
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
