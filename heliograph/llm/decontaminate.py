@@ -372,7 +372,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
     kind = to_arrow_type(benchmark.schema[item].dataType)
     schema = f"`{id}` {types[0]}, `{item}` {types[1]}, distance int, similarity double, word_start long, recall double"
     for index in _blocks(benchmark, item, "text", similarity):
-        shared = spark.sparkContext.broadcast(index)  # at most about BLOCK_ITEMS items
+        shared = spark.sparkContext.broadcast(index)  # items of at most about BLOCK_WORDS words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
