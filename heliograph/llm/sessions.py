@@ -11,8 +11,8 @@ predecessor matters only if it lies in the same block or in the one before (from
 does the next click within an island. What must be handed on further (the last start before a block) goes up a tree of
 blocks, with one row a client and stretch of FAN blocks at its top, however many clicks these have.
 
-Rows: clicks with a null id, client or time are passed over; of rows that share an id one counts, the least by time, arrival,
-client, finality and value; a null arrival isn't late, a null kind not final; null, NaN and infinite values are 0; ties in time go
+Rows: clicks with a null id, client or time are passed over; of rows that share an id one counts, the least by time, lateness
+and finality, client and value; a null arrival isn't late, a null kind not final; null, NaN and infinite values are 0; ties in time go
 by id; clients without a timely click have no session; further columns, whatever their names, are left out; an empty table
 gives an empty result. A session's path is one value, as long as the session; nothing else is gathered. Times without a zone
 count as UTC, whatever the session's zone is.
@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialize, shared_folder, table
+from heliograph.llm.common import settled, shared_folder, table
 
 MINUTE = 60_000_000
 #: Blocks of a stretch at the top of the tree.
@@ -49,28 +49,24 @@ def _clean(clicks: DataFrame, late: int, final_kind: str, final_value: float) ->
     Rows that repeat a click mostly are the same, which plain minima and maxima show; only ids whose rows differ are sorted out.
     """
     value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
+    us = micros(clicks, "ts")
+    is_late = F.coalesce(micros(clicks, "arrived_at") - us > late, F.lit(False)).cast("int")
+    fin = F.coalesce((F.col("kind") == final_kind) & (value >= final_value), F.lit(False)).cast("int")
     rows = clicks.filter("click_id is not null and client_id is not null and ts is not null").select(
-        "click_id",
-        micros(clicks, "ts").alias("us"),
-        micros(clicks, "arrived_at").alias("arrived"),
-        F.col("client_id").alias("client_id"),
-        F.coalesce((F.col("kind") == final_kind) & (value >= final_value), F.lit(False)).alias("fin"),
-        F.coalesce(F.floor(value * 100 + F.lit(0.5)).cast("long"), F.lit(0)).alias("cents"),
+        "click_id", us.alias("us"), (2 * is_late + fin).alias("flags"), F.col("client_id").alias("client_id"), F.coalesce(F.floor(value * 100 + F.lit(0.5)).cast("long"), F.lit(0)).alias("cents")
     )
-    names = [c for c in rows.columns if c != "click_id"]
-    n = F.count(F.lit(1))
-    both = [f(c).alias(f"{c}{k}") for c in names for k, f in enumerate((F.min, F.max))]
-    one = rows.groupBy("click_id").agg(*both, n.alias("n"), F.count("arrived").alias("arrivals"))
-    same = F.col("arrivals").isin(F.lit(0), F.col("n"))
+    names = [c for c in rows.columns if c != "click_id"]  # none is null
+    one = rows.groupBy("click_id").agg(*(f(c).alias(f"{c}{k}") for c in names for k, f in enumerate((F.min, F.max))))
+    same = F.lit(True)
     for c in names:
-        same = same & F.col(f"{c}0").eqNullSafe(F.col(f"{c}1"))
-    is_late = F.coalesce(F.col("arrived") - F.col("us") > late, F.lit(False)).alias("late")
-    one = materialize(one.select("click_id", *(F.col(f"{c}0").alias(c) for c in names), same.alias("same")).select("click_id", "client_id", "us", is_late, "fin", "cents", "same"))
+        same = same & (F.col(f"{c}0") == F.col(f"{c}1"))
+    shape = ["click_id", "client_id", "us", (F.col("flags") >= 2).alias("late"), (F.col("flags") % 2 == 1).alias("fin"), "cents"]
+    one = settled(one.select("click_id", *(F.col(f"{c}0").alias(c) for c in names), same.alias("same")).select(*shape, "same"))
     odd = one.filter("not same").select("click_id")
     if odd.isEmpty():
         return one.drop("same")
     least = rows.join(odd.hint("merge"), "click_id").groupBy("click_id").agg(F.min(F.struct(*names)).alias("r")).select("click_id", "r.*")
-    return materialize(one.filter("same").drop("same").unionByName(least.select("click_id", "client_id", "us", is_late, "fin", "cents")))
+    return settled(one.filter("same").drop("same").unionByName(least.select(*shape)))
 
 
 def _before(blocks: DataFrame, key: str) -> DataFrame:
@@ -102,7 +98,7 @@ def _islands(timely: DataFrame, gap: int) -> DataFrame:
     first = F.col("click_id").isNotNull() & (F.col("ago").isNull() | F.col("cut") | (F.col("ago") >= gap))
     rows = rows.withColumn("mark", F.max(F.when(first, F.struct("us", "click_id"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("last", F.lead("us").over(by).isNull())
-    rows = materialize(rows.filter("click_id is not null").drop("ago", "cut"))
+    rows = settled(rows.filter("click_id is not null").drop("ago", "cut"))
     # a block's greatest mark is that of its last click
     return _filled(rows.drop("last"), rows.filter("last"), "client_id")
 
@@ -141,7 +137,7 @@ def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120,
     timely, late = clean.filter("not late").drop("late"), clean.filter("late").select("client_id", "us")
 
     clicks = _islands(timely, gap).withColumn("island", F.col("mark.click_id")).withColumn("past", F.col("us") - F.col("mark.us") > span).drop("mark")
-    rest = materialize(clicks.filter("past").drop("past"))
+    rest = settled(clicks.filter("past").drop("past"))
     dealt = clicks.filter("not past").drop("past").withColumn("session_id", F.col("island"))
     by_length = None
     if not rest.isEmpty():
@@ -156,7 +152,7 @@ def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120,
         F.sum("cents").alias("value_cents"),
         F.sort_array(F.collect_list(F.struct("us", "click_id")))["click_id"].alias("path"),
     )
-    found = materialize(found)
+    found = settled(found)
     lasts = found.groupBy("client_id").agg(F.max("last")["click_id"].alias("last_id")).select("last_id", F.lit(True).alias("is_last"))
 
     # late clicks belong to the last session that begins no later

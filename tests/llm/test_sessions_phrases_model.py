@@ -130,7 +130,8 @@ def test_clicks_whose_rows_differ_count_once(spark, tmp_path):
         if None not in (r[0], r[1], r[3]):
             fin = r[4] == "purchase" and r[5] is not None and math.isfinite(r[5]) and r[5] >= 60
             cents = math.floor(r[5] * 100 + 0.5) if r[5] is not None and math.isfinite(r[5]) else 0
-            key = (us(r[1]), (r[2] is not None, us(r[2]) if r[2] else 0), r[3], fin, cents)
+            is_late = r[2] is not None and us(r[2]) - us(r[1]) > 60 * MINUTE
+            key = (us(r[1]), 2 * is_late + fin, r[3], cents)
             least[r[0]] = min(least.get(r[0], (key, r)), (key, r), key=lambda x: x[0])
     assert found_sessions(spark, sf) == brute_sessions([r for _, r in least.values()])
 
