@@ -39,16 +39,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``materialize``, after which the shuffles that made the table may go.
-
-    They lie on the executors' disks until the driver's collector finds that nobody holds them, which may be long after.
-    """
-    out = materialize(df)
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder: its partitions stay as they are.
 
