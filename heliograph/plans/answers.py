@@ -71,7 +71,7 @@ def evidence(requests: DataFrame, generate: generation.Generator, store: KeyedTa
     once however many requests share it, and what was learned is put into the store as the batch of ``work``. Failures aren't
     kept: they are asked again next time. ``annotations`` has item_id and context, what is known of an item beforehand.
     """
-    requests = requests.withColumn("question", F.trim("question"))
+    requests = kept(requests.withColumn("question", F.trim("question")))  # read by each step; the search behind it runs once
     known, lacking = store.lookup(requests)
     known = kept(known)
     rows = lacking.join(annotations.select("item_id", "context"), "item_id", "left") if annotations is not None else lacking.withColumn("context", F.lit(None).cast("string"))

@@ -1,6 +1,7 @@
 """Scores below zero, answers that are no numbers, digests of deliveries, tasks for people."""
 
 import json
+import math
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph import jobs
 from heliograph.operators import judging, lexical, rerank
+from heliograph.plans import answers
 
 
 def test_items_without_a_term_come_before_those_with_negative_scores(spark, tmp_path):
@@ -87,3 +89,43 @@ def test_deliveries_name_their_index_and_configuration(spark, tmp_path, capsys):
     digest = capsys.readouterr().out.strip().splitlines()[-1]
     assert batch["config_sha256"] == digest and all(re.fullmatch("[0-9a-f]{64}", batch[k]) for k in ("config_sha256", "index_manifest_sha256"))
     assert len(batch["candidates"]) == 20
+
+
+def test_bm25_scores_items_where_they_lie(spark, tmp_path, monkeypatch):
+    for name, most in (("FEW_TERMS", 9), ("TILE", 7), ("SHARED", 5)):
+        monkeypatch.setattr(lexical, name, most, raising=False)
+    texts = [" ".join(["a"] * (k % 3) + [f"w{k % 5}", f"w{k % 7}"] * (k % 4 > 0)) for k in range(60)]
+    docs = spark.createDataFrame([(f"i{k:02}", t) for k, t in enumerate(texts)], "item_id string, text string").repartition(3)
+    asked = [*[f"a w{k} w{k} {'w6' * (k % 2)}" for k in range(5)], "", None, "unknown"]
+    index = lexical.build(docs, f"{tmp_path}/i")
+    found = lexical.search(index, spark.createDataFrame(list(enumerate(asked)), "query_id int, text string"), 12)
+    words = [t.split() for t in texts]
+    df = {w: sum(w in d for d in words) for w in {w for d in words for w in d}}
+    raw = {w: math.log(60 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+    mean = sum(map(len, words)) / 60
+    score = lambda d, q: round(sum(idf[w] * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in (q or "").split() if w in d), 6)
+    got = found.collect()
+    for q, text in enumerate(asked):
+        want = sorted((-score(d, text), f"i{k:02}") for k, d in enumerate(words))[:12]
+        mine = sorted((r.rank, r.item_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in mine] == [i for _, i in want] and [s for *_, s in mine] == pytest.approx([-s for s, _ in want], abs=2e-6)
+    # what is shuffled is k rows a query and task: one exchange a query, and no join of queries with items
+    monkeypatch.undo()
+    plan = lexical.search(index, spark.createDataFrame([(0, "a w1")], "query_id int, text string"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_evidence_runs_its_search_once(spark, tmp_path):
+    searched = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            searched.add(b.num_rows)
+            yield b
+
+    found = spark.createDataFrame([(1, 7, 1, "why")], "query_id long, item_id long, place int, question string").repartition(1)
+    found = found.mapInArrow(noted, found.schema)
+    says = lambda rows: rows.withColumn("raw", F.lit('{"facts": ["f"]}')).withColumn("error", F.lit(None).cast("string"))
+    got, failed = answers.evidence(found, says, answers.cache(spark, f"{tmp_path}/c", "long", buckets=2), "one")
+    assert got.count() == 1 and failed.count() == 0 and searched.value == 1
