@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from heliograph import jobs
 from heliograph.operators import judging, lexical, rerank
 from heliograph.plans import answers
@@ -129,3 +130,18 @@ def test_evidence_runs_its_search_once(spark, tmp_path):
     says = lambda rows: rows.withColumn("raw", F.lit('{"facts": ["f"]}')).withColumn("error", F.lit(None).cast("string"))
     got, failed = answers.evidence(found, says, answers.cache(spark, f"{tmp_path}/c", "long", buckets=2), "one")
     assert got.count() == 1 and failed.count() == 0 and searched.value == 1
+
+
+def test_totals_of_large_benchmarks_are_those_of_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    made = spark.range(0, 4000, 1, 7).select(
+        F.col("id").alias("event_id"), F.concat(F.lit("m"), (F.col("id") % 2).cast("string")).alias("event_type"), (F.col("id") % 12).alias("user_id"),
+        F.when(F.col("id") % 1000 < 2, 123456789.01).otherwise(F.col("id") % 7 / 100 + 0.07).alias("value"),
+    )
+    made.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    e = __spark_entry__
+    got = [tuple(r) for r in e.queries()["benchmark_summary"](spark, str(tmp_path)).orderBy("method").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == con.execute(f"SELECT * FROM ({e.oracle_sql()['benchmark_summary']}) ORDER BY method").fetchall()
+    assert "E" not in got[0][-1]
