@@ -277,7 +277,7 @@ def _(spark, sf):
     def broken(queries, k):
         raise OSError("no such index")
 
-    s = catalogue.Searcher(catalogue.annotations(spark, sf), {"bm25": given["bm25"], "broken": broken, "text": given["text"], "image": given["image"]}, catalogue.CATALOG)
+    s = catalogue.Searcher(catalogue.annotations(spark, sf), {"bm25": given["bm25"], "broken": broken, "text": given["text"], "image": given["image"]}, catalogue.CATALOG, keep=tables.kept)
     found = s.search(catalogue._parsed(spark, sf), catalogue.DEPTH, catalogue.K)
     return found.groupBy("query_id", F.array_join("active_branches", ",").alias("branches")).agg(F.count(F.lit(1)).alias("items"))
 

@@ -6,11 +6,13 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from test_operators import ann
 
 import __spark_entry__
 from heliograph import jobs
 from heliograph.operators import judging, lexical, rerank
 from heliograph.plans import answers
+from heliograph.plans.search import Searcher
 
 
 def test_items_without_a_term_come_before_those_with_negative_scores(spark, tmp_path):
@@ -145,3 +147,15 @@ def test_totals_of_large_benchmarks_are_those_of_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == con.execute(f"SELECT * FROM ({e.oracle_sql()['benchmark_summary']}) ORDER BY method").fetchall()
     assert "E" not in got[0][-1]
+
+
+def test_only_recalled_annotations_are_normalized(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    a = ann(spark, {"item_id": "i1", "scene": "street"}, {"item_id": "i2"})
+    hits = spark.createDataFrame([("q", "image", "i1", 1.0, 1)], "query_id string, branch string, item_id string, score double, rank int")
+    queries = spark.createDataFrame([("q", ["red"])], "query_id string, excluded_terms array<string>")
+    out = Searcher(a, {}).decided(hits, queries)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "foldCase" in plan and "foldCase" not in plan[plan.rindex("Join") :]  # below the last join are the tables as they are
+    assert [(r.item_id, r.allowed) for r in out.collect()] == [("i1", True)]
