@@ -11,8 +11,8 @@ verified by the exact edit distance of the item to the best substring of the doc
 are; only stretches with as many of the item's runs as edits must leave whole are looked at for that. Classes that MOST_WALKS walks don't find often enough
 have no tables: there, all places with as many runs of an item as edits must leave whole are verified.
 
-A window is walked only if a short run of words that some item has lies where such a window would have it: edits within
-the threshold leave at least one run of each item whole, and can't move it by more than their number. Windows may start
+A window is walked only if as many short runs of words as edits within the threshold must leave whole lie where such a window
+would have them, within what these edits can move them by: elsewhere nothing could be verified. Windows may start
 before a document, in the padding that parts documents, for items that have lost their first words.
 Benchmarks are read in blocks of bounded size, each of them against all documents in a pass of its own.
 
@@ -217,6 +217,26 @@ def build(ids: list, items: list[np.ndarray], similarity: float = 0.8, target: f
     return Index(similarity, ids, items, runs, classes)
 
 
+def _enough(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows from which on the item's runs put enough windows close together, the last row of each), of rows by item, document and spot."""
+    _, k, runs = index.bounds
+    # the run that is ``least`` - 1 places on is of the same document and item, and no farther than edits can part them
+    last = np.arange(len(spot)) + runs[owner] - 1
+    at = np.minimum(last, len(spot) - 1)
+    rows = np.flatnonzero((last < len(spot)) & (owner[at] == owner) & (doc[at] == doc) & (spot[at] - spot <= 2 * k[owner]))
+    return rows, at[rows]
+
+
+def _crowded(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows are part of a stretch of ``_places``: no others can be of a match."""
+    order = np.lexsort([spot, doc, owner])
+    first, last = _enough(index, spot[order], owner[order], doc[order])
+    depth = np.bincount(first, minlength=len(spot) + 1) - np.bincount(last + 1, minlength=len(spot) + 1)
+    out = np.zeros(len(spot), bool)
+    out[order] = np.cumsum(depth)[:-1] > 0
+    return out
+
+
 def _places(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(document, item, first and last start) of all stretches where the item's runs put enough windows close together.
 
@@ -226,12 +246,8 @@ def _places(index: Index, spot: np.ndarray, owner: np.ndarray, doc: np.ndarray)
         return
     order = np.lexsort([spot, doc, owner])
     spot, owner, doc = spot[order], owner[order], doc[order]
-    n, k, runs = index.bounds
-    least = runs[owner]
-    # the run that is ``least`` - 1 places on is of the same document and item, and no farther than edits can part them
-    last = np.arange(len(spot)) + least - 1
-    at = np.minimum(last, len(spot) - 1)
-    rows = np.flatnonzero((last < len(spot)) & (owner[at] == owner) & (doc[at] == doc) & (spot[at] - spot <= 2 * k[owner]))
+    n, k, _ = index.bounds
+    rows, _ = _enough(index, spot, owner, doc)
     if not len(rows):
         return
     # overlapping stretches are verified at once
@@ -269,11 +285,15 @@ def matches(index: Index, docs: list[np.ndarray]) -> list[tuple[int, int, int, i
         owners.append(item[which])
         places.append(np.repeat(at, count))
     spot, owner, place = np.concatenate(spots), np.concatenate(owners), np.concatenate(places)
+    if not len(spot):
+        return []
+    of = np.searchsorted(begin, place, side="right") - 1
+    near = _crowded(index, spot, owner, of)
+    spot, owner, of = spot[near], owner[near], of[near]
     if not len(spot):
         return []
     out: list[tuple[int, int, int, int]] = []
     known: set[tuple[int, int]] = set()
-    of = np.searchsorted(begin, place, side="right") - 1
     pair = of * len(lengths) + owner
     by_pair = np.argsort(pair, kind="stable")
     pair = pair[by_pair]
