@@ -57,7 +57,8 @@ def _clean(clicks: DataFrame, late: int, final_kind: str, final_value: float) ->
             F.coalesce(F.floor(value * 100 + F.lit(0.5)).cast("long"), F.lit(0)).alias("cents"),
         ).alias("r"),
     )
-    one = rows.groupBy("click_id").agg(F.min("r").alias("r")).select("click_id", "r.*")
+    # few rows repeat a click: they are sorted where they arrive, not before and after
+    one = rows.repartition("click_id").groupBy("click_id").agg(F.min("r").alias("r")).select("click_id", "r.*")
     return one.select("click_id", "client_id", "us", F.coalesce(F.col("arrived") - F.col("us") > late, F.lit(False)).alias("late"), "fin", "cents")
 
 
@@ -73,10 +74,10 @@ def _before(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def _filled(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose null ``mark`` is the last one of the earlier blocks."""
+    """``rows`` whose null ``mark`` is the last one of the earlier blocks; these are found once, however often the result is read."""
     whole, open_ = rows.filter("mark is not null"), rows.filter("mark is null").drop("mark")
     found = open_.join(_before(blocks, key).hint("merge"), [key, "block"], "left").withColumnRenamed("before", "mark")
-    return whole.unionByName(found)
+    return whole.unionByName(materialize(found))
 
 
 def _islands(timely: DataFrame, gap: int) -> DataFrame:
@@ -124,7 +125,7 @@ def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120,
     """client_id, session_id, start_us, end_us, n_clicks, n_late, value_cents, closed_by, path (click ids in order)."""
     gap, span = gap_minutes * MINUTE, span_minutes * MINUTE
     clean = materialize(_clean(clicks, late_minutes * MINUTE, final_kind, final_value))
-    timely, late = clean.filter("not late").drop("late"), clean.filter("late").select("client_id", "us")
+    timely, late = clean.filter("not late").drop("late"), materialize(clean.filter("late").select("client_id", "us"))  # the few late ones are read four times
 
     clicks = _islands(timely, gap).withColumn("island", F.col("mark.click_id")).withColumn("past", F.col("us") - F.col("mark.us") > span).drop("mark")
     rest = materialize(clicks.filter("past").drop("past"))
@@ -143,7 +144,7 @@ def sessions(clicks: DataFrame, gap_minutes: int = 30, span_minutes: int = 120,
         F.sort_array(F.collect_list(F.struct("us", "click_id")))["click_id"].alias("path"),
     )
     found = materialize(found)
-    lasts = timely.groupBy("client_id").agg(F.max(F.struct("us", "click_id"))["click_id"].alias("last_id")).select("last_id", F.lit(True).alias("is_last"))
+    lasts = found.groupBy("client_id").agg(F.max("last")["click_id"].alias("last_id")).select("last_id", F.lit(True).alias("is_last"))
 
     # late clicks belong to the last session that begins no later
     at = F.struct(F.col("start_us").alias("us"), F.col("session_id").alias("click_id")).alias("mark")

@@ -135,6 +135,13 @@ def test_clicks_whose_rows_differ_count_once(spark, tmp_path):
     assert found_sessions(spark, sf) == brute_sessions([r for _, r in least.values()])
 
 
+def test_marks_from_earlier_blocks_are_found_once(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 3, None), (2, 1, None)], "key long, block long, mark string")
+    filled = sessions._filled(rows, rows, "key")
+    assert {tuple(r) for r in filled.select("key", "block", "mark").collect()} == {(1, 0, "a"), (1, 1, "a"), (1, 3, "a"), (2, 1, None)}
+    assert "Join" not in filled._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sessions_of_no_clicks_and_of_clashing_columns(spark, tmp_path):
     assert found_sessions(spark, read(spark, [], CLICKS, tmp_path, "clicks")) == {}
     rows = made_clicks()[700:760]
