@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from heliograph.operators import lexical
+from heliograph.plans import catalogue
 
 DOCUMENTS, QUERIES = 3_000, 40
 
@@ -55,3 +56,9 @@ def test_a_search_shuffles_no_vocabulary(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     assert [r.item_id for r in sorted(found, key=lambda r: r["rank"])] == [7, 9, 0]
+
+
+def test_an_index_shuffles_no_postings(spark, shop, monkeypatch):
+    """A row a document, as a small file is spread over tasks, and a row a word and task."""
+    monkeypatch.setattr(catalogue, "_INDEXES", {})
+    assert 0 < run(spark, shop, "bm25_stats") < 2 * DOCUMENTS
