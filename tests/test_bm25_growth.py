@@ -39,7 +39,7 @@ def run(spark, shop, name) -> int:
     return shuffled(spark, lambda: entry.queries()[name](spark, shop).write.format("noop").mode("overwrite").save())
 
 
-@pytest.mark.parametrize("name", ["cited_answers", "pointwise_answers", "query_metrics", "listwise_repair", "eval_summary", "bm25_negative", "pointwise_rerank", "sql_metrics"])
+@pytest.mark.parametrize("name", ["cited_answers", "pointwise_answers", "query_metrics", "listwise_repair", "eval_summary", "bm25_negative", "pointwise_rerank", "sql_metrics", "measured_suite"])
 def test_queries_shuffle_no_pairs(spark, shop, name):
     """A ranking's rows for each task, and a row a label."""
     assert run(spark, shop, name) < DOCUMENTS * QUERIES / 4
